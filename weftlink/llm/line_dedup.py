@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import digest, line_key
+from .common import digest, line_key, materialise
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
@@ -18,7 +18,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     and each is cut on its own; a null id is a document too, smaller than any other. An empty table gives an empty result.
     Other columns are not read, so their names do not matter.
 
-    The text crosses one exchange, with the positions to drop; counting moves 16-byte digests. A line held by a large
+    The text crosses one exchange, with the positions to drop; counting moves 16-byte digests, written once as a table in
+    the shared folder. A line held by a large
     share of all documents is pre-aggregated before its exchange, and the join that finds its positions is one that
     adaptive execution splits.
     """
@@ -27,6 +28,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = rows.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     lines = lines.select("doc_id", "text_hash", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
     lines = lines.select("doc_id", "text_hash", "pos", digest(F.col("key")).alias("h"))
+    lines = materialise(lines, "lines")
     common = lines.groupBy("h", "doc_id").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count("one").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
     gone = lines.join(common.select("h", "keeper"), "h").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     gone = gone.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("gone")).withColumnsRenamed({"doc_id": "g_id", "text_hash": "g_hash"})
