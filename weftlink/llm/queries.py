@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .decontaminate import contained_items
 from .line_dedup import line_dedup
+from .pii import pseudonymise
 from .quality import quality_rules
 from .secrets import secret_scan
 from .url_filters import url_filter
@@ -26,14 +28,33 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("base_sha256", F.sha2("base_spans", 256)).drop("base_spans")
 
 
+def op6_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_line_dedup, op4_secret_scan, op8_url_filter)}
+def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op2_quality_rules,
+        op3_line_dedup,
+        op4_secret_scan,
+        op6_benchmark_containment,
+        op8_url_filter,
+        op10_pii_pseudonyms,
+    )
+}
 
 _WS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _KEY = f"translate(trim(line, {_WS}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
 ORACLE_SQL = {
@@ -46,6 +67,15 @@ marked AS (SELECT keyed.*, common.k IS NOT NULL AND doc_id <> keeper AS gone FRO
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id""",
+    "op6_benchmark_containment": rf"""
+WITH i AS (SELECT item_id, list_transform({_WORDS.format('"text"')}, lambda x: {_LOWER.format("x")}) AS ws FROM benchmark),
+sized AS (SELECT item_id, ws, least(5, len(ws)) AS n FROM i WHERE len(ws) > 0),
+si AS (SELECT DISTINCT item_id, n, ws[j:j + n - 1] AS s FROM (SELECT *, unnest(range(1, len(ws) - n + 2)) AS j FROM sized)),
+counts AS (SELECT item_id, count(*) AS n_shingles FROM si GROUP BY item_id),
+d AS (SELECT doc_id, list_transform({_WORDS.format('"text"')}, lambda x: {_LOWER.format("x")}) AS ws FROM documents),
+sd AS (SELECT DISTINCT doc_id, ws[j:j + n - 1] AS s FROM (SELECT *, unnest(range(1, len(ws) - n + 2)) AS j FROM d, (SELECT DISTINCT n FROM sized) WHERE len(ws) >= n))
+SELECT doc_id, item_id, count(*) AS n_shared, n_shingles FROM si JOIN sd USING (s) JOIN counts USING (item_id)
+GROUP BY doc_id, item_id, n_shingles HAVING 100 * count(*) >= 80 * n_shingles""",
     "op2_quality_rules": rf"""
 WITH d AS (SELECT doc_id, "source" AS host, coalesce("text", '') AS t FROM documents),
 w AS (SELECT *, {_WORDS.format("t")} AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
