@@ -70,6 +70,7 @@ def batches(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
 
         for batch in it:
             if batch.num_rows and (out := fn(batch)) is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in target], schema=target)
+                columns = [out[f.name].cast(f.type) if isinstance(out[f.name], pa.Array) else pa.array(out[f.name], f.type) for f in target]
+                yield pa.RecordBatch.from_arrays(columns, schema=target)
 
     return df.mapInArrow(run, schema)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontaminate import contained_items
 from .line_dedup import line_dedup
+from .pieces import encode_decode, read_model
 from .pii import pseudonymise
 from .quality import quality_rules
 from .secrets import secret_scan
@@ -32,6 +33,12 @@ def op6_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = encode_decode(table(spark, sf_dir, "documents"), read_model())
+    ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
@@ -47,6 +54,7 @@ QUERIES = {
         op3_line_dedup,
         op4_secret_scan,
         op6_benchmark_containment,
+        op7_sentencepiece,
         op8_url_filter,
         op10_pii_pseudonyms,
     )
