@@ -12,6 +12,7 @@ from .pieces import encode_decode, read_model
 from .pii import pseudonymise
 from .quality import quality_rules
 from .secrets import secret_scan
+from .simhash import near_duplicates
 from .url_filters import url_filter
 
 
@@ -29,6 +30,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("base_sha256", F.sha2("base_spans", 256)).drop("base_spans")
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -53,6 +58,7 @@ QUERIES = {
         op2_quality_rules,
         op3_line_dedup,
         op4_secret_scan,
+        op5_simhash,
         op6_benchmark_containment,
         op7_sentencepiece,
         op8_url_filter,
