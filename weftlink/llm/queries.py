@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import contained_items
+from .language_model import lm_scores
 from .line_dedup import line_dedup
 from .pieces import encode_decode, read_model
 from .pii import pseudonymise
@@ -48,6 +49,10 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(table(spark, sf_dir, "documents"))
 
@@ -62,6 +67,7 @@ QUERIES = {
         op6_benchmark_containment,
         op7_sentencepiece,
         op8_url_filter,
+        op9_lm_scores,
         op10_pii_pseudonyms,
     )
 }
