@@ -51,10 +51,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame, what: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: computed once, and safe when an executor is lost."""
+    """``df`` as a Parquet table in the shared folder: computed once, and safe when an executor is lost.
+
+    The shuffle files that the write needed go as it ends, so a chain of tables holds one step's files at a time.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup, "false")
+    spark.conf.set(cleanup, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(cleanup, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

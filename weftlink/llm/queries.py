@@ -14,9 +14,15 @@ from .pii import pseudonymise
 from .quality import quality_rules
 from .secrets import secret_scan
 from .simhash import near_duplicates
+from .substring_dedup import substring_dedup
 from .url_filters import url_filter
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).drop("text_hash", "boilerplate", "depleted")
 
@@ -60,6 +66,7 @@ def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_substring_dedup,
         op2_quality_rules,
         op3_line_dedup,
         op4_secret_scan,
