@@ -1,5 +1,69 @@
-"""A corpus pipeline."""
+"""A corpus pipeline of five stages: quality rules, line dedup, near-duplicates, decontamination, tokens."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftlink.llm.common import materialise, table
+from weftlink.llm.decontaminate import contained_items
+from weftlink.llm.line_dedup import line_dedup
+from weftlink.llm.pieces import encode_decode, read_model
+from weftlink.llm.quality import quality_rules, without_boilerplate
+from weftlink.llm.simhash import near_duplicates
+
+#: SQL cannot express the last stage; tests/llm holds the whole against a brute-force version.
 ORACLE_SQL = None
-STAGES = []
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def _with_text(docs: DataFrame, rows: DataFrame, text: str) -> DataFrame:
+    """``rows`` with the columns of ``docs``: the text from column ``text``, and its length where ``docs`` lists one."""
+    new = {"text": F.col(text)}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected documents go; the others lose their host's furniture lines."""
+    judged = quality_rules(docs).groupBy("doc_id", "text_hash").agg(F.bool_and("kept").alias("kept"), F.first("boilerplate").alias("lines"))
+    judged = judged.where("kept").select(F.struct("doc_id", "text_hash", "lines").alias("_judged"))
+    own = F.coalesce(docs["text"], F.lit(""))
+    kept = docs.join(judged, docs["doc_id"].eqNullSafe(F.col("_judged.doc_id")) & (F.xxhash64(own) == F.col("_judged.text_hash")))
+    return _with_text(docs, kept.withColumn("_new_text", without_boilerplate(F.coalesce(docs["text"], F.lit("")), F.col("_judged.lines"))), "_new_text")
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that many documents share stay in one of them."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    found = line_dedup(docs, carry=others)
+    found = found.select("doc_id", F.col("text").alias("_new_text"), *([F.col(f"carried.`{c}`").alias(c) for c in others]))
+    return _with_text(docs, found, "_new_text")
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays: the one with the smallest id."""
+    firsts = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.struct("doc_id").alias("_first")).distinct()
+    return docs.join(firsts, docs["doc_id"].eqNullSafe(F.col("_first.doc_id")), "left_semi")
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a test item go."""
+    found = contained_items(docs, table(spark, sf_dir, "benchmark")).select(F.struct("doc_id").alias("_found")).distinct()
+    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("_found.doc_id")), "left_anti")
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id, n_tokens, ids, decoded`` of every document that is left."""
+    return encode_decode(docs, read_model()).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
+
+
+STAGES = [("quality rules", quality), ("line dedup", lines), ("near-duplicates", near), ("decontamination", decontaminated), ("tokens", tokens)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents; each stage reads the table that the one before has left in the shared folder."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
