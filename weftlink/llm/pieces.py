@@ -55,8 +55,9 @@ class PieceCoder:
             raise ValueError("a vocabulary that marks and keeps white space is needed")
         joined = [p for p in self.ids if len(p) > 1]
         self.by_word = not any(re.search(rf"[^{SPACE}]{SPACE}", p) or "\n" in p for p in joined)
-        self.memo: dict[str, tuple[int, ...]] = {}
-        self.new: list[str] = []
+        self.marked: dict[str, tuple[int, ...]] = {}
+        self.bare: dict[str, tuple[int, ...]] = {}
+        self.new: list[tuple[str, bool]] = []
 
     def merge(self, text: str) -> tuple[int, ...]:
         """The ids of a text in which space marks stand for spaces."""
@@ -88,55 +89,51 @@ class PieceCoder:
                     out.append(i)
         return tuple(out)
 
-    def _word(self, word: str) -> tuple[int, ...]:
-        ids = self.memo.get(word)
-        if ids is None:
-            ids = self.memo[word] = self.merge(word)
-            self.new.append(word)
+    def _word(self, word: str, marked: bool) -> tuple[int, ...]:
+        """The ids of a word, with or without a space mark before it."""
+        memo = self.marked if marked else self.bare
+        ids = memo[word] = self.merge((SPACE if marked else "") + word.replace(" ", SPACE))
+        self.new.append((word, marked))
         return ids
 
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
-        if len(self.memo) > self.most:
+        if len(self.marked) + len(self.bare) > self.most:
             self.check()
-            self.memo.clear()
-        if not self.by_word:
-            return list(self._word(SPACE + text.replace(" ", SPACE)))
+            self.marked.clear()
+            self.bare.clear()
         if SPACE in text:
             text = text.replace(SPACE, " ")
-        get, word = self.memo.get, self._word
+        if not self.by_word:
+            return list(self.merge(SPACE + text.replace(" ", SPACE)))
+        get, word = self.marked.get, self._word
         feed = self.bytes_[10] if "\n" not in self.ids else self.ids["\n"]
         out: list[int] = []
         for k, line in enumerate(text.split("\n")):
+            # Words that a single space leads are keyed without it; runs of spaces belong to the word behind them.
+            words = line.split(" ") if "  " not in line else re.split(r"(?<! ) ", line)
             if k:
                 out.append(feed)
-            else:
-                line = " " + line
-            if "  " in line:
-                words = re.findall(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", line.replace(" ", SPACE))
-            else:
-                words = line.replace(" ", " " + SPACE).split(" ")
+                if words[0]:
+                    out += self.bare.get(words[0]) or word(words[0], False)
+                del words[0]
+            elif line[0:1] == " ":
+                words[:2] = [" " + words[1]]
             for w in words:
-                if w:
-                    out += get(w) or word(w)
+                out += get(w) or word(w, True)
         return out
 
     def check(self) -> None:
-        """Holds the words met since the last check against the library: ids and decoded text."""
-        inner = [w for w in self.new if w[0] != SPACE]
-        outer = [w for w in self.new if w[0] == SPACE]
-        self.new = []
-        asked = [w[1:].replace(SPACE, " ") for w in outer] + ["\n" + w.replace(SPACE, " ") for w in inner]
-        if outer:
-            lone = [w for w in outer if w == SPACE]  # the library gives no ids for an empty text
-            outer, asked = [w for w in outer if w != SPACE], [a for a in asked if a]
-            if lone and self.memo[SPACE] != tuple(self.library.encode("\n")[:1]):
-                raise ValueError("a lone space mark is encoded unlike the library does")
-        cut = len(self.library.encode("\n"))
-        for k, (word, theirs) in enumerate(zip(outer + inner, self.library.encode(asked, num_threads=1), strict=True)):
-            if tuple(theirs if k < len(outer) else theirs[cut:]) != self.memo[word]:
-                raise ValueError(f"{word!r} is encoded unlike the library does: {self.memo[word]}, {theirs}")
+        """Holds the words met since the last check against the library."""
+        new, self.new = self.new, []
+        feed = self.library.encode("\n")
+        # The library marks what starts a text; behind a line feed it marks nothing.
+        asked = [w if marked and w else "\n" + (" " if marked else "") + w for w, marked in new]
+        for (w, marked), text, theirs in zip(new, asked, self.library.encode(asked, num_threads=1), strict=True):
+            mine = (self.marked if marked else self.bare)[w]
+            if tuple(theirs if text is w else theirs[len(feed) :]) != mine:
+                raise ValueError(f"{text!r} is encoded unlike the library does: {mine}, {theirs}")
 
     def decode(self, ids: list[int]) -> str:
         """The text of some ids: pieces with marks as spaces, runs of byte pieces as UTF-8, less the first mark."""
