@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
-_ONE, _SIX, _LOW = np.uint64(1), 6, 63
+_SIX, _LOW = 6, 63
+_BELOW = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
 
 
 class WaveletMatrix:
@@ -20,7 +21,7 @@ class WaveletMatrix:
             words.view(np.uint8)[: len(packed)] = packed
             ones = np.bitwise_count(words).astype(np.int64)
             self.bits.append(words)
-            self.counts.append((np.cumsum(ones) - ones).astype(np.int32))
+            self.counts.append(np.cumsum(ones) - ones)
             self.zeros.append(self.n - int(ones.sum()))
             symbols = np.concatenate([symbols[bit == 0], symbols[bit == 1]])
         self.first = self._down(np.arange(sigma, dtype=np.int64), np.zeros(sigma, np.int64))
@@ -28,9 +29,8 @@ class WaveletMatrix:
     def _down(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
         for k, (words, counts, zeros) in enumerate(zip(self.bits, self.counts, self.zeros, strict=True)):
             at = i >> _SIX
-            mask = (_ONE << (i & _LOW).astype(np.uint64)) - _ONE
-            ones = counts[at] + np.bitwise_count(words[at] & mask)
-            i = np.where((c >> (self.levels - 1 - k)) & 1, zeros + ones, i - ones)
+            ones = np.bitwise_count(words.take(at) & _BELOW.take(i & _LOW)) + counts.take(at)
+            i = np.where((c >> (self.levels - 1 - k)) & 1, ones + zeros, i - ones)
         return i
 
     def rank(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:

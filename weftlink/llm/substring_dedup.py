@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from collections import defaultdict
+from itertools import count
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -107,21 +109,22 @@ def _search(it, window: int, shard_words: int):
     import pyarrow as pa
 
     def shard(rows):
-        words = [w for _, s, _, _ in rows for w in (*s.encode().split(), b"")]
-        number: dict[bytes, int] = {b"": 0}
-        text = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
+        # A form feed stands alone behind each segment; no word holds one.
+        words = " \f ".join([*(r[1] for r in rows), ""]).split(" ")[:-1]
+        number: dict[str, int] = defaultdict(count(1).__next__, {"\f": 0})
+        text = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
         ends = np.flatnonzero(text == 0)
         lengths = np.diff(np.concatenate([[-1], ends]))
         least = np.fromiter((r[2] for r in rows), np.int64, len(rows))
         index = FMIndex(text, len(number), np.repeat(least, lengths), window)
         starts = ends - lengths + 1
-        counts = lengths - window  # a segment of w words has w - window + 1 windows; lengths count the 0 too
-        at = np.repeat(starts + window - 1 - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
+        windows = lengths - window  # a segment of w words has w - window + 1 windows; lengths count the 0 too
+        at = np.repeat(starts + window - 1 - np.concatenate([[0], np.cumsum(windows)[:-1]]), windows) + np.arange(windows.sum())
         run, low, high = index.matching_statistics(text, at)
         if (run < window).any():
             raise AssertionError("an indexed window was not found")
         earliest = index.least(low, high)
-        cuts = np.cumsum(counts)[:-1]
+        cuts = np.cumsum(windows)[:-1]
         keep = [(r[0], r[1], e.tolist()) for r, e in zip(rows, np.split(earliest, cuts), strict=True) if e.min() < r[3]]
         if keep:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*keep, strict=True), (pa.int64(), pa.string(), pa.list_(pa.int64())), strict=True)], ["key", "segment", "earliest"])
@@ -175,7 +178,7 @@ def repeated_windows(docs: DataFrame, window: int, gram: int, shard_words: int,
 
 
 def substring_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, gram: int = 5, shard_words: int = 1_000_000, key_rows: int = 1_000_000
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, gram: int = 5, shard_words: int = 100_000, key_rows: int = 1_000_000
 ) -> DataFrame:
     """``doc_id, n_words, n_removed, text``, one row per input row: the words that stay, joined by a space.
 
