@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches
-from .ngrams import hash_words, ngram_hashes, split_words
+from .ngrams import ngram_hashes, split_words, text_hashes
 
 TABLE_BITS = 20
 
@@ -33,7 +33,7 @@ class Sketches:
                 continue
             n = min(size, len(words))
             strings = {b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)}
-            hashes = np.unique(ngram_hashes(hash_words(words), n))
+            hashes = np.unique(ngram_hashes(text_hashes(text, lower=True), n))
             m = 1 << max(0, math.ceil(math.log2(len(strings))))
             for h in hashes[: (100 - percent) * m // 100 + 1].tolist():
                 by_length[n][h].append(len(self.items))
@@ -47,9 +47,7 @@ class Sketches:
 
     def find(self, text: str | None) -> list[tuple]:
         """(item id, shared, size) of each item of which the text holds the wanted share."""
-        words = split_words(text.lower() if text and text.isascii() else text)
-        words = words if text and text.isascii() else [w.lower() for w in words]
-        hashed, found = hash_words(words), []
+        hashed, found, words = text_hashes(text, lower=True), [], None
         for n, (keys, coarse, of) in self.index.items():
             grams = ngram_hashes(hashed, n)
             some = np.unique(grams[coarse[grams >> np.uint64(64 - TABLE_BITS)]])
@@ -57,6 +55,7 @@ class Sketches:
             at[at == len(keys)] = 0
             for i in sorted({i for k in at[keys[at] == some].tolist() for i in of[k]}):
                 item_id, strings, hashes = self.items[i]
+                words = words or [w.lower() for w in split_words(text)]
                 places = np.flatnonzero(np.isin(grams, hashes)).tolist()
                 shared = len(strings & {b" ".join(words[p : p + n]) for p in places})
                 if 100 * shared >= self.percent * len(strings):

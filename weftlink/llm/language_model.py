@@ -10,17 +10,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches, materialise
-from .ngrams import hash_words
+from .ngrams import text_hashes
 
-#: What stands for a text's end among hashed words: no word holds white space.
-END = b"\n"
+#: What stands for a text's end among hashed words.
+END = np.uint64(0x5851F42D4C957F2D)
 
 
 def tokens(text: str | None) -> np.ndarray:
     """Hashes of a text's words (A-Z lower-cased) and of its end."""
-    words = text.encode().lower().split() if text else []
-    words.append(END)
-    return hash_words(words)
+    return np.concatenate([text_hashes(text, lower=True), [END]])
 
 
 @dataclass
@@ -70,7 +68,7 @@ class LogBilinear:
     def contexts(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.concatenate([[self.start], symbols[:-1]]), np.concatenate([[self.start, self.start], symbols[:-2]])[: len(symbols)]
 
-    def step(self, w: np.ndarray, a: np.ndarray, b: np.ndarray, k: int = 32, rate: float = 0.05) -> None:
+    def step(self, w: np.ndarray, a: np.ndarray, b: np.ndarray, k: int = 32, rate: float = 0.2) -> None:
         """One Adagrad step on a batch: each token against ``k`` noise symbols drawn for the whole batch."""
         r, q, bias, c = self.params
         ra, rb = r[a], r[b]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import batches, materialise
 from .fm_index import FMIndex
-from .ngrams import hash_words, ngram_hashes, split_words
+from .ngrams import ngram_hashes, split_words, text_hashes
 
 
 def segments(hashes: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -41,7 +41,7 @@ def _shared_keys(docs: DataFrame, window: int, gram: int, key_rows: int) -> Data
     """
     spark = docs.sparkSession
     bytes_, = docs.agg(F.sum(F.octet_length("text"))).first()
-    ranges = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((bytes_ or 0) / 30 / key_rows))
+    ranges = max(8 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((bytes_ or 0) / 30 / key_rows))
 
     def pack(it):
         import pyarrow as pa
@@ -67,7 +67,7 @@ def _shared_keys(docs: DataFrame, window: int, gram: int, key_rows: int) -> Data
         names = ["range", "key", "doc", "single"]
         for batch in it:
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                found = segments(hash_words(split_words(text)), window, gram)[2]
+                found = segments(text_hashes(text), window, gram)[2]
                 if len(found):
                     found = np.unique(found)
                     keys.append(found)
@@ -143,7 +143,7 @@ def _search(it, window: int, shard_words: int):
 
 
 def repeated_windows(docs: DataFrame, window: int, gram: int, shard_words: int, key_rows: int) -> DataFrame:
-    """``doc_id, runs``: (first window, number of windows) of the windows that an earlier document has too.
+    """``doc_id, text_hash, runs``: (first window, number of windows) of the windows that an earlier document has too.
 
     A window's least n-gram hash is its key. Texts are cut into segments of windows with one key; segments whose key one
     document alone has cannot repeat and go no further. Equal segments are one; each partition indexes its segments in shards
@@ -152,29 +152,30 @@ def repeated_windows(docs: DataFrame, window: int, gram: int, shard_words: int,
     hits = materialise(_shared_keys(docs, window, gram, key_rows).groupBy("doc_id").agg(F.collect_set("key").alias("keys")), "hits")
 
     def cut(batch):
-        out = {"doc_id": [], "start": [], "key": [], "segment": []}
-        for doc_id, text, keys in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), batch["keys"].to_numpy(zero_copy_only=False), strict=True):
+        out = {"doc_id": [], "text_hash": [], "start": [], "key": [], "segment": []}
+        for doc_id, text_hash, text, keys in zip(*(batch[c].to_pylist() for c in ("doc_id", "text_hash", "text")), batch["keys"].to_numpy(zero_copy_only=False), strict=True):
             words = split_words(text)
-            first, count, key = segments(hash_words(words), window, gram)
+            first, count, key = segments(text_hashes(text), window, gram)
             some = np.flatnonzero(np.isin(key, np.asarray(keys, np.int64).view(np.uint64)))
             out["doc_id"] += [doc_id] * len(some)
+            out["text_hash"] += [text_hash] * len(some)
             out["start"] += first[some].tolist()
             out["key"] += key[some].view(np.int64).tolist()
             out["segment"] += [b" ".join(words[a : a + c + window - 1]).decode() for a, c in zip(first[some].tolist(), count[some].tolist(), strict=True)]
         return out if out["doc_id"] else None
 
-    cuts = batches(docs.join(hits, "doc_id"), cut, "doc_id long, start int, key long, segment string")
+    cuts = batches(docs.join(hits, "doc_id"), cut, "doc_id long, text_hash long, start int, key long, segment string")
     cuts = materialise(cuts.withColumn("of", F.xxhash64("segment")), "segments")
     distinct = cuts.groupBy("key", "segment").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last"))
     found = distinct.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _search(it, window, shard_words), "key long, segment string, earliest array<long>")
     found = materialise(found.select(F.col("key").alias("f_key"), F.xxhash64("segment").alias("f_of"), "earliest"), "answers")
-    each = cuts.select("doc_id", "start", "key", "of").join(found, (F.col("key") == F.col("f_key")) & (F.col("of") == F.col("f_of")))
+    each = cuts.select("doc_id", "text_hash", "start", "key", "of").join(found, (F.col("key") == F.col("f_key")) & (F.col("of") == F.col("f_of")))
     single = F.transform(
         F.filter(F.sequence(F.lit(0), F.size("earliest") - 1), lambda k: F.get("earliest", k) < F.col("doc_id")),
         lambda k: F.struct((F.col("start") + k).alias("first"), F.lit(1).alias("count")),
     )
     runs = F.when(F.array_max("earliest") < F.col("doc_id"), F.array(F.struct(F.col("start").alias("first"), F.size("earliest").alias("count")))).otherwise(single)
-    return each.select("doc_id", runs.alias("runs")).where(F.size("runs") > 0).groupBy("doc_id").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    return each.select("doc_id", "text_hash", runs.alias("runs")).where(F.size("runs") > 0).groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
 
 def substring_dedup(
@@ -193,6 +194,7 @@ def substring_dedup(
     ``shard_words``, or the different segments of one key where these are more.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    docs = docs.withColumn("text_hash", F.xxhash64("text"))
     known = docs.where("doc_id IS NOT NULL")
     runs = repeated_windows(known, window, gram, shard_words, key_rows)
 
@@ -214,4 +216,4 @@ def substring_dedup(
             out["text"].append(b" ".join(words).decode())
         return out
 
-    return batches(docs.join(runs, "doc_id", "left"), rebuild, "doc_id long, n_words long, n_removed long, text string")
+    return batches(docs.join(runs, ["doc_id", "text_hash"], "left"), rebuild, "doc_id long, n_words long, n_removed long, text string")
