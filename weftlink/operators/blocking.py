@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import text as T
+from ..functions.hashing import hash_unit
 
 CORE, SORTED, SQUASH, NAME_SPACE, WORD_SPACE, ADDRESS_SPACE, NAME_NUMBER, NOFILL = (1 << k for k in range(8))
 EXACT = CORE | SORTED | SQUASH
@@ -171,17 +172,20 @@ def label_pairs(pairs: DataFrame, truth: DataFrame) -> DataFrame:
     return existing(pairs, truth, "label").withColumn("label", F.col("label").cast("int"))
 
 
-def one_word_pairs(s1: DataFrame, pool: DataFrame, max_group: int = 20) -> DataFrame:
+def one_word_pairs(s1: DataFrame, pool: DataFrame, max_group: int = 20, share: float = 1.0, seed: int = 7373) -> DataFrame:
     """``side, word`` of pairs whose names differ by one word that one side has more.
 
     The longer name's words, less each word in turn, meet the shorter name's sorted words in an equi-join. On either side names
-    must be unique among entities, and a pool name of over ``max_group`` records is left out where the pool is the shorter.
+    must be unique among entities (of which a hash share may be drawn), and a pool name of over ``max_group`` records is left
+    out where the pool is the shorter.
     """
     key = lambda df: df.where(F.col("name_sorted") != "").select("country", "entity_id", "name_sorted", F.split("name_sorted", " ").alias("toks"))
     less = lambda df: df.withColumn("word", F.explode("toks")).withColumn("key", T.spaced(F.array_remove("toks", F.col("word"))))
     names = key(s1)
     once = names.groupBy("country", "name_sorted").agg(F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
     left, right = names.join(once, ["country", "name_sorted"]), key(pool)
+    if share < 1:
+        left = left.where(hash_unit(F.col("entity_id"), seed) < share)
     few = right.groupBy("country", "name_sorted").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= max_group).drop("n")
     a = left.select("country", F.col("name_sorted").alias("key"), F.col("entity_id").alias(L))
     pool_more = less(right).select("country", "key", "word", F.col("entity_id").alias(R)).join(a, ["country", "key"])

@@ -314,13 +314,21 @@ def tok_evidence(df, ctx, strong: float = 1.0):
         outs += [F.sum(v).alias(f"te_{s}_sum"), F.min(v).alias(f"te_{s}_min"), F.max(v).alias(f"te_{s}_max")]
         outs += [F.count_if(v <= -strong).alias(f"te_{s}_decoy"), F.count_if(v >= strong).alias(f"te_{s}_filler")]
         outs.append(F.count_if((F.col("side") == s) & F.col("llr").isNull()).alias(f"te_{s}_unknown"))
-    return df.join(rows.groupBy(L, R).agg(*outs), [L, R], "left").na.fill(0, [c for c in REGISTRY["tok_evidence"].columns])
+    return df.join(rows.groupBy(L, R).agg(*outs), [L, R], "left").na.fill(0, [f"te_{s}_{k}" for s in ("pool", "s1") for k in ("sum", "decoy", "filler", "unknown")])
 
 
-@group("interactions", "name_strong_addr_weak addr_strong_name_weak both_strong", ("name_tokens", "address"))
-def interactions(df, ctx, high: float = 0.9, low: float = 0.2, half: float = 0.5):
-    n, a = F.col("tok_jaccard"), F.col("ad_jaccard")
-    return df.withColumns({"name_strong_addr_weak": flag((n >= high) & (a <= low)), "addr_strong_name_weak": flag((a >= high) & (n <= low)), "both_strong": flag((n >= half) & (a >= half))})
+def interaction_flags(name: Column, addr: Column, overlap: Column, high: float = 0.9, weak_addr: float = 0.2, weak_name: float = 0.5) -> dict[str, Column]:
+    """Strong on one side and weak on the other, or strong on both; 0 where a value is undefined."""
+    return {
+        "name_strong_addr_weak": flag((name >= high) & (overlap < weak_addr)),
+        "addr_strong_name_weak": flag((addr >= high) & (name < weak_name)),
+        "both_strong": flag((name >= high) & (addr >= high)),
+    }
+
+
+@group("interactions", "name_strong_addr_weak addr_strong_name_weak both_strong", ("name_fuzzy", "address"))
+def interactions(df, ctx):
+    return df.withColumns(interaction_flags(F.col("core_token_set"), F.col("ad_token_set"), F.col("ad_jaccard")))
 
 
 @group("missing_flags", "nums_empty_l nums_empty_r")
@@ -330,23 +338,21 @@ def missing_flags(df, ctx):
 
 @group("phonetic", " ".join(f"{p}phonetic_{k}" for p in ("", "addr_") for k in ("exact_match", "jaccard", "token_overlap_ratio")))
 def phonetic(df, ctx):
-    """Soundex and Metaphone codes of all words, pooled; null on rows of other scripts."""
+    """Soundex and Metaphone codes of the lettered words, pooled as sets and compared in order; null on rows of other scripts."""
     for column, prefix, script in (("name_core", "", "non_latin"), ("addr_norm", "addr_", "addr_non_latin")):
-        codes = []
         for s in "lr":
             lettered = F.filter(T.words(F.col(f"{column}_{s}")), lambda t: t.rlike("^[a-z]"))
-            df = df.withColumn(f"_ph_{s}", S.metaphone_codes(lettered))
-            codes.append(F.array_distinct(F.concat(F.transform(lettered, lambda t: F.concat(F.lit("s"), F.soundex(t))), F.transform(f"_ph_{s}", lambda t: F.concat(F.lit("m"), t)))))
-        a, b = codes
-        known = ~(F.col(f"{script}_l") | F.col(f"{script}_r")) & (F.size(a) > 0) & (F.size(b) > 0)
+            df = df.withColumn(f"_sx_{s}", F.transform(lettered, lambda t: F.soundex(t))).withColumn(f"_mp_{s}", S.metaphone_codes(lettered))
+        a, b = (F.array_distinct(F.concat(F.transform(f"_sx_{s}", lambda t: F.concat(F.lit("s"), t)), F.transform(f"_mp_{s}", lambda t: F.concat(F.lit("m"), t)))) for s in "lr")
+        known = ~(F.col(f"{script}_l").cast("boolean") | F.col(f"{script}_r").cast("boolean")) & (F.size(a) > 0) & (F.size(b) > 0)
         both = F.size(F.array_intersect(a, b))
         df = df.withColumns(
             {
-                f"{prefix}phonetic_exact_match": tristate(F.array_sort(a) == F.array_sort(b), known),
+                f"{prefix}phonetic_exact_match": tristate((F.col("_sx_l") == F.col("_sx_r")) & (F.col("_mp_l") == F.col("_mp_r")), known),
                 f"{prefix}phonetic_jaccard": F.when(known, jaccard(a, b)),
-                f"{prefix}phonetic_token_overlap_ratio": F.when(known, both / F.least(F.size(a), F.size(b))),
+                f"{prefix}phonetic_token_overlap_ratio": F.when(known, both / F.size(a)),
             }
-        ).drop("_ph_l", "_ph_r")
+        ).drop("_sx_l", "_sx_r", "_mp_l", "_mp_r")
     return df
 
 

@@ -13,7 +13,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import fold_of
+from ..functions.hashing import fold_of, hash_unit
 
 L, R = "source1_entity_id", "entity_id"
 
@@ -150,19 +150,58 @@ def log_loss(rows: DataFrame, prob: str = "prob", label: str = "label") -> DataF
     return rows.agg(F.avg(F.when(F.col(label) == 1, -F.log(p)).otherwise(-F.log(1 - p))).alias("log_loss"))
 
 
-def hard_negative_weights(pairs: DataFrame, same_name: float = 3.0, same_addr: float = 2.0, singleton: float = 2.0, easy: float = 0.25) -> DataFrame:
-    """``weight`` of each pair: the largest of the rules that mine it, plus one for false positives of a first round.
+KINDS = ("same_name_diff_addr", "same_addr_diff_name", "top_cosine_nonmatch", "singleton_decoy")
 
-    Needs ``label, tok_jaccard, ad_jaccard, singleton`` and, after a first round, ``prob``.
+
+def mined(kind: str) -> Column:
+    """Whether a pair is a hard negative of a kind; needs ``label, singleton`` and the features it reads."""
+    rules = {
+        "same_name_diff_addr": lambda: (F.col("core_eq") == 1) & (F.col("ad_jaccard") < 0.2),
+        "same_addr_diff_name": lambda: (F.col("ad_token_set") >= 0.9) & (F.col("core_token_set") < 0.5),
+        "top_cosine_nonmatch": lambda: F.col("ctx_rank_name") == 1,
+        "singleton_decoy": lambda: F.col("singleton"),
+    }
+    if kind not in rules:
+        raise ValueError(f"unknown kind {kind!r}; known: {KINDS}")
+    return F.coalesce((F.col("label") == 0) & rules[kind](), F.lit(False))
+
+
+def easy_negative() -> Column:
+    """Negatives that both similarities call distant; never a singleton's, never where one is undefined."""
+    return F.coalesce((F.col("label") == 0) & (F.col("sim_name_char") < 0.5) & (F.col("ad_jaccard") < 0.1) & ~F.col("singleton"), F.lit(False))
+
+
+def with_singleton(pairs: DataFrame, truth: DataFrame) -> DataFrame:
+    """Marks candidates of entities that have no true pair."""
+    owners = truth.select(L).distinct().withColumn("_owner", F.lit(True))
+    return pairs.join(owners, L, "left").withColumn("singleton", F.col("_owner").isNull()).drop("_owner")
+
+
+def hard_negative_weights(
+    pairs: DataFrame,
+    kinds: Sequence[str] = (),
+    rule_weight: float = 3.0,
+    singleton_weight: float = 1.0,
+    easy_keep: float = 1.0,
+    fp_weight: float = 1.0,
+    miss_weight: float = 1.0,
+    seed: int = 7,
+) -> DataFrame:
+    """``weight`` of each pair.
+
+    One; 0 for easy negatives outside a hash sample of ``easy_keep``; at least ``rule_weight`` for mined kinds and
+    ``singleton_weight`` for candidates of singletons. With a first round's ``prob``, false positives and near misses then
+    gain their weights less one.
     """
-    neg = F.col("label") == 0
-    name, addr = F.coalesce("tok_jaccard", F.lit(0.0)), F.coalesce("ad_jaccard", F.lit(0.0))
-    rules = [
-        F.when(neg & (name >= 0.9) & (addr < 0.5), same_name),
-        F.when(neg & (addr >= 0.9) & (name < 0.5), same_addr),
-        F.when(neg & F.col("singleton") & (name >= 0.5), singleton),
-        F.when(neg & (name < 0.1) & (addr < 0.1), easy),
-    ]
-    base = F.coalesce(F.greatest(*rules), F.lit(1.0))
-    more = F.when(neg & (F.col("prob") >= 0.5), 1.0).when(~neg & (F.col("prob") < 0.5), 1.0).otherwise(0.0) if "prob" in pairs.columns else F.lit(0.0)
-    return pairs.withColumn("weight", base + F.coalesce(more, F.lit(0.0)))
+    base = F.lit(1.0)
+    if easy_keep < 1:
+        kept = hash_unit(F.concat_ws("|", L, R), seed) < easy_keep
+        base = F.when(easy_negative() & ~kept, 0.0).otherwise(1.0)
+    for kind in kinds:
+        base = F.when(mined(kind), F.greatest(base, F.lit(rule_weight))).otherwise(base)
+    if singleton_weight > 1:
+        base = F.when(F.col("singleton"), F.greatest(base, F.lit(singleton_weight))).otherwise(base)
+    if "prob" in pairs.columns:
+        wrong, lost = (F.col("label") == 0) & (F.col("prob") >= 0.5), (F.col("label") == 1) & (F.col("prob") < 0.5)
+        base = base + F.when(wrong, fp_weight - 1).when(lost, miss_weight - 1).otherwise(0.0)
+    return pairs.withColumn("weight", base)

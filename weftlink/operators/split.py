@@ -96,24 +96,27 @@ def shape(s1: DataFrame, pool: DataFrame) -> DataFrame:
 def mock_fold(fold: Fold, target: Mapping[str, tuple[int, int]], roles: DataFrame, drop_first: DataFrame | None = None) -> tuple[Fold, DataFrame]:
     """A fold of the target's shape per country (``(n_s1, n_pool)``) and a role per entity.
 
-    Entities stay by hash with the target's share of the pool, and their records with them; then entities leave in order of
-    another hash, those of ``drop_first`` before others, until the ratio fits. Entities whose role is val or tune never leave
-    in the second step. ``roles`` is ``entity_id, role``.
+    Entities stay by hash with the target's share of the pool, and their records with them (unowned records by their own
+    hash). Then entities of ``drop_first`` leave, and of the role ``fit`` those with the smallest other hash, until the number
+    of entities fits the pool that is left. Entities of role val or tune never leave in the last step; a country without a
+    target stays whole. ``roles`` is ``entity_id, role``.
     """
     spark = fold.s1.sparkSession
-    goal = spark.createDataFrame([(c, *v) for c, v in target.items()], "country string, goal_s1 long, goal_pool long")
-    have = shape(fold.s1, fold.pool).join(F.broadcast(goal), "country")
-    share = have.select("country", F.least(F.lit(1.0), F.col("goal_pool") / F.col("n_pool")).alias("share"), (F.col("goal_pool") / F.col("goal_s1")).alias("ratio"))
-    s1 = fold.s1.join(F.broadcast(share), "country").where(hash_unit(F.col("entity_id"), MOCK) < F.col("share"))
-    pool = fold.pool.join(owners(fold.truth), R, "left").join(F.broadcast(share), "country")
-    pool = pool.where(hash_unit(F.coalesce("owner", R), MOCK) < F.col("share")).drop("owner", "share", "ratio")
-    want = pool.groupBy("country").agg(F.count(F.lit(1)).alias("kept")).join(share, "country").select("country", F.round(F.col("kept") / F.col("ratio")).cast("long").alias("want"))
-    first = drop_first.select("entity_id").distinct().withColumn("first", F.lit(1)) if drop_first is not None else s1.select("entity_id").limit(0).withColumn("first", F.lit(1))
-    rows = s1.join(roles, "entity_id", "left").join(first, "entity_id", "left").join(F.broadcast(want), "country")
-    fixed = F.coalesce(F.col("role").isin("val", "tune"), F.lit(False))
-    order = W.partitionBy("country").orderBy(fixed.cast("int"), F.coalesce("first", F.lit(0)).desc(), hash_unit(F.col("entity_id"), DROP), "entity_id")
-    extra = F.count(F.lit(1)).over(W.partitionBy("country")) - F.col("want")
-    rows = rows.withColumn("_n", F.row_number().over(order)).withColumn("_extra", extra).where(fixed | (F.col("_n") > F.col("_extra")))
-    kept = rows.withColumn("role", F.coalesce("role", F.lit("fit"))).select(*fold.s1.columns, "role")
-    truth = fold.truth.join(kept.select(F.col("entity_id").alias(L)), L, "left_semi").join(pool.select(R), R, "left_semi")
-    return Fold(kept.drop("role"), pool, truth.select(L, R)), kept.select("entity_id", "role")
+    goal = spark.createDataFrame([(c, *v) for c, v in target.items() if all(v)], "country string, goal_s1 long, goal_pool long")
+    have = shape(fold.s1, fold.pool).join(F.broadcast(goal), "country", "left")
+    share = have.select(
+        "country", F.coalesce(F.least(F.lit(1.0), F.col("goal_pool") / F.col("n_pool")), F.lit(1.0)).alias("share"), (F.col("goal_pool") / F.col("goal_s1")).alias("ratio")
+    )
+    s1 = fold.s1.join(share, "country").where(hash_unit(F.col("entity_id"), MOCK) < F.col("share"))
+    pool = fold.pool.join(owners(fold.truth), R, "left").join(share, "country")
+    pool = pool.where(hash_unit(F.coalesce("owner", R), MOCK) < F.col("share")).drop("owner", "share")
+    want = pool.groupBy("country", "ratio").agg(F.count(F.lit(1)).alias("kept")).select("country", F.rint(F.col("kept") / F.col("ratio")).cast("long").alias("want"))
+    if drop_first is not None:
+        s1 = s1.join(drop_first.select("entity_id"), "entity_id", "left_anti")
+    rows = s1.join(roles, "entity_id", "left").withColumn("role", F.coalesce("role", F.lit("fit"))).join(want, "country", "left")
+    order = W.partitionBy("country").orderBy((F.col("role") != "fit").cast("int"), hash_unit(F.col("entity_id"), DROP), "entity_id")
+    extra = F.count(F.lit(1)).over(W.partitionBy("country")) - F.coalesce("want", F.lit(1 << 62))
+    rows = rows.withColumn("_n", F.row_number().over(order)).withColumn("_extra", extra)
+    kept = rows.where((F.col("role") != "fit") | (F.col("_n") > F.col("_extra"))).select(*fold.s1.columns, "role")
+    truth = fold.truth.join(kept.select(F.col("entity_id").alias(L)), L, "left_semi")
+    return Fold(kept.drop("role"), pool.drop("ratio"), truth.select(L, R)), kept.select("entity_id", "role")

@@ -538,10 +538,17 @@ def feat_nofill(w: World) -> DataFrame:
 
 
 @query(
-    f"""SELECT {P}, (n >= 0.9 AND a <= 0.2)::INT AS name_strong_addr_weak, (a >= 0.9 AND n <= 0.2)::INT AS addr_strong_name_weak, (n >= 0.5 AND a >= 0.5)::INT AS both_strong
-  FROM (SELECT s, e, coalesce({Q.jaccard(_A, _B2)}, 0) AS n, coalesce({Q.jaccard(_DA, _DB)}, 0) AS a FROM al)"""
+    f"""SELECT {P}, coalesce(n >= 0.9 AND a < 0.2, false)::INT AS name_strong_addr_weak, coalesce(a >= 0.9 AND n < 0.5, false)::INT AS addr_strong_name_weak,
+  coalesce(n >= 0.9 AND a >= 0.9, false)::INT AS both_strong FROM (SELECT s, e, {Q.jaccard(_A, _B2)} AS n, {Q.jaccard(_DA, _DB)} AS a FROM al)"""
 )
 def feat_interactions(w: World) -> DataFrame:
+    """The flags over word overlaps, which SQL has too."""
+    n, a = X.jaccard(*X.sets("name_core")), X.jaccard(*X.sets("addr_norm"))
+    return w.aligned.withColumns(X.interaction_flags(n, a, a)).select(L, R, "name_strong_addr_weak", "addr_strong_name_weak", "both_strong")
+
+
+@query()
+def feat_interactions_fuzzy(w: World) -> DataFrame:
     return _features(w, "interactions")
 
 
@@ -603,8 +610,8 @@ _N1L, _N1R = "la[1]", "lb[1]"
 
 
 @query(
-    f"""SELECT {P}, (known AND x = y)::INT AS hn_eq, (known AND x <> y AND sub)::INT AS hn_substr, (known AND x <> y AND NOT sub AND one)::INT AS hn_onedigit,
-  (known AND x <> y AND NOT sub AND NOT one AND abs(x::DOUBLE - y::DOUBLE) <= 20)::INT AS hn_near, {q6("CASE WHEN known THEN ln(1 + abs(x::DOUBLE - y::DOUBLE)) END AS hn_absdiff")},
+    f"""SELECT {P}, CASE WHEN known THEN (x = y)::INT END AS hn_eq, CASE WHEN known THEN (x <> y AND sub)::INT END AS hn_substr,
+  CASE WHEN known THEN (x <> y AND NOT sub AND one)::INT END AS hn_onedigit, CASE WHEN known THEN (x <> y AND NOT sub AND NOT one AND abs(x::DOUBLE - y::DOUBLE) <= 20)::INT END AS hn_near, {q6("CASE WHEN known THEN ln(1 + abs(x::DOUBLE - y::DOUBLE)) END AS hn_absdiff")},
   CASE WHEN x IS NULL THEN 1 ELSE 0 END + CASE WHEN y IS NULL THEN 2 ELSE 0 END AS hn_missing
   FROM (SELECT s, e, x, y, x IS NOT NULL AND y IS NOT NULL AS known, contains(x, y) OR contains(y, x) AS sub,
   length(x) = length(y) AND len(list_filter(range(1, length(x) + 1), lambda i: substr(x, i, 1) <> substr(y, i, 1))) = 1 AS one
@@ -762,7 +769,7 @@ def decode_tight(w: World) -> DataFrame:
     return D.decode_tight(w.scored, 3.0, 0.2, 11, True)
 
 
-_GRID = D.Grid((0.3, 0.1, 5), (0.0, 0.6), (0.4, 0.6), (2, 11))
+_GRID = D.Grid((0.3, 0.7, 0.1), (0.0, 0.6), (0.0, 0.2), (2, 11))
 _RULES = _GRID.rules()
 
 
@@ -867,7 +874,7 @@ def error_samples(w: World) -> DataFrame:
 _REL = f"SELECT l.doc_id, round({Q.hash_unit('l.doc_id::VARCHAR', 3)}, 9) AS p, quality FROM labels l"
 
 
-@query("""SELECT bin, count(*) AS n, round(avg(p), 6) AS mean_prob, round(avg(quality), 6) AS mean_label FROM (SELECT *, ntile(20) OVER (ORDER BY p, doc_id) AS bin FROM rel) GROUP BY bin""", rel=_REL)
+@query("""SELECT bin, count(*) AS n, round(avg(p), 6) AS mean_prob, round(avg(quality), 6) AS mean_label FROM (SELECT p, quality, i, max(b)::INT AS bin FROM (SELECT *, row_number() OVER (ORDER BY p, doc_id) - 1 AS i, count(*) OVER () AS n FROM rel), range(1, 21) r(b) WHERE round_even(n * (b - 1) / 20.0::DOUBLE, 0) <= i GROUP BY ALL) GROUP BY bin""", rel=_REL)
 def reliability(w: World) -> DataFrame:
     labels = w.spark.read.parquet(f"{w.sf_dir}/labels.parquet").withColumn("p", F.round(hash_unit(F.col("doc_id"), 3), 9))
     return E.reliability(labels, "p", "quality", "doc_id").select("bin", "n", *r6("mean_prob", "mean_label"))
@@ -922,18 +929,18 @@ def budget_sample(w: World) -> DataFrame:
     return SP.budget_sample(sizes, L, "n", 50, SP.SAMPLE, "country").select(L, "country")
 
 
-_MOCK = {"en": (30, 90), "de": (20, 50), "fr": (10, 40), "es": (10, 30)}
+_MOCK = {"en": (30, 90), "de": (20, 50), "fr": (10, 40)}
 
 
 @query(
     f"""SELECT entity_id, role FROM (SELECT *, row_number() OVER (PARTITION BY country ORDER BY (role IN ('val', 'tune'))::INT, {Q.hash_unit("entity_id", 5152)}, entity_id) AS k,
   count(*) OVER (PARTITION BY country) - want AS extra FROM
-  (SELECT m.entity_id, m.country, CASE WHEN {Q.hash_unit("m.entity_id", 42)} < 0.2 THEN 'val' ELSE 'fit' END AS role, want FROM ms1 m JOIN mwant USING (country))) WHERE role IN ('val', 'tune') OR k > extra""",
+  (SELECT m.entity_id, m.country, CASE WHEN {Q.hash_unit("m.entity_id", 42)} < 0.2 THEN 'val' ELSE 'fit' END AS role, coalesce(want, 1000000) AS want FROM ms1 m LEFT JOIN mwant USING (country))) WHERE role IN ('val', 'tune') OR k > extra""",
     goal=" UNION ALL ".join(f"SELECT '{c}' AS country, {a} AS gs, {p} AS gp" for c, (a, p) in _MOCK.items()),
-    mshare="SELECT g.country, least(1.0::DOUBLE, gp::DOUBLE / n) AS share, gp::DOUBLE / gs AS ratio FROM goal g JOIN (SELECT country, count(*) AS n FROM pool GROUP BY country) USING (country)",
+    mshare="SELECT c.country, coalesce(least(1.0::DOUBLE, gp::DOUBLE / n), 1.0::DOUBLE) AS share, gp::DOUBLE / gs AS ratio FROM (SELECT country, count(*) AS n FROM pool GROUP BY country) c LEFT JOIN goal USING (country)",
     ms1=f"SELECT s1.* FROM s1 JOIN mshare USING (country) WHERE {Q.hash_unit('entity_id', 5151)} < share",
     mpool=f"SELECT p.country FROM pool p JOIN mshare USING (country) LEFT JOIN (SELECT e, min(s) AS s FROM truth GROUP BY e) o ON p.entity_id = o.e WHERE {Q.hash_unit('coalesce(o.s, p.entity_id)', 5151)} < share",
-    mwant="SELECT country, round(count(*) / ratio)::BIGINT AS want FROM mpool JOIN mshare USING (country) GROUP BY country, ratio",
+    mwant="SELECT country, round_even(count(*) / ratio, 0)::BIGINT AS want FROM mpool JOIN mshare USING (country) GROUP BY country, ratio",
 )
 def mock_fold(w: World) -> DataFrame:
     roles = w.s1.select("entity_id", F.when(SP.val_mask(F.col("entity_id")), "val").otherwise("fit").alias("role"))
@@ -979,17 +986,18 @@ _HN = f"""SELECT s, e, label, sng, coalesce({Q.jaccard(_A, _B2)}, 0) AS n, coale
 
 
 @query(
-    f"""SELECT {P}, coalesce(greatest(CASE WHEN label = 0 AND n >= 0.9 AND a < 0.5 THEN 3.0 END, CASE WHEN label = 0 AND a >= 0.9 AND n < 0.5 THEN 2.0 END,
-  CASE WHEN label = 0 AND sng AND n >= 0.5 THEN 2.0 END, CASE WHEN label = 0 AND n < 0.1 AND a < 0.1 THEN 0.25 END), 1.0)::DOUBLE
-  + CASE WHEN (label = 0 AND prob >= 0.5) OR (label = 1 AND prob < 0.5) THEN 1 ELSE 0 END AS weight FROM hn""",
+    f"""SELECT {P}, (CASE WHEN label = 0 AND ((n = 1 AND a < 0.2) OR (a >= 0.9 AND n < 0.5)) THEN 3.0
+  WHEN sng THEN 2.0 WHEN label = 0 AND n < 0.5 AND a < 0.1 AND {Q.hash_unit("(s || '|' || e)", 7)} >= 0.5 THEN 0.0 ELSE 1.0 END)::DOUBLE
+  + CASE WHEN label = 0 AND prob >= 0.5 THEN 1.0 WHEN label = 1 AND prob < 0.5 THEN 0.5 ELSE 0.0 END::DOUBLE AS weight FROM hn""",
     hn=_HN,
 )
 def hard_negative_weights(w: World) -> DataFrame:
+    """The rules over word overlaps in place of fuzzy scores, which SQL lacks."""
     rows = X.REGISTRY["name_tokens"].add(w.scored, X.Context())
-    rows = rows.withColumn("ad_jaccard", X.jaccard(*X.sets("addr_norm")))
-    single = w.truth.select(L).distinct().withColumn("_t", F.lit(True))
-    rows = B.label_pairs(rows, w.truth).join(single, L, "left").withColumn("singleton", F.col("_t").isNull())
-    return M.hard_negative_weights(rows).select(L, R, "weight")
+    rows = rows.withColumn("ad_jaccard", F.coalesce(X.jaccard(*X.sets("addr_norm")), F.lit(0.0)))
+    stand = {"ad_token_set": F.col("ad_jaccard"), "core_token_set": F.col("tok_jaccard"), "sim_name_char": F.col("tok_jaccard"), "core_eq": (F.col("tok_jaccard") == 1).cast("int")}
+    rows = M.with_singleton(B.label_pairs(rows, w.truth), w.truth).withColumns(stand)
+    return M.hard_negative_weights(rows, M.KINDS[:2], 3.0, 2.0, 0.5, 2.0, 1.5).select(L, R, "weight")
 
 
 @query(

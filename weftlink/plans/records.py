@@ -85,7 +85,8 @@ class World:
 
     @cached_property
     def pairs(self) -> DataFrame:
-        return block(self.s1, self.pool, BLOCKING)
+        """Candidates: every later step reads them more than once, so they are kept."""
+        return block(self.s1, self.pool, BLOCKING).persist()
 
     @cached_property
     def aligned(self) -> DataFrame:
