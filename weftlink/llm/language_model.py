@@ -186,6 +186,27 @@ def train(docs: DataFrame, vocabulary: Vocabulary, width: int = 16, batch: int =
     return model
 
 
+def _commonest(counts: DataFrame, most: int) -> list:
+    """At most ``most`` of the rows ``h, c``, the commonest first: whole bands of counts, and a hash share of the next band.
+
+    A histogram over bands of counts, of a few hundred rows, sets the bounds, so that no more than ``most`` rows travel.
+    """
+    band = F.floor(8 * F.log2(F.col("c").cast("double"))).cast("int")
+    seen = sorted(((r["band"], r["n"]) for r in counts.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+    room, floor_ = most, None
+    for b, n in seen:
+        if n > room:
+            floor_ = b
+            break
+        room -= n
+    keep = F.lit(True)
+    if floor_ is not None:
+        share = int(0.9 * room / dict(seen)[floor_] * (1 << 20)) if room > 1000 else 0
+        keep = (band > floor_) | ((band == floor_) & (F.pmod(F.xxhash64("h"), F.lit(1 << 20)) < share))
+    rows = counts.where(keep).limit(most).collect()
+    return sorted(rows, key=lambda r: (-r["c"], r["h"]))
+
+
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2, words: int = 1000, classes: int = 32, head: int = 65_536) -> DataFrame:
     """Scores of every text, learnt from the texts whose ``crc32(id as text) mod folds`` is not ``held_fold``.
 
@@ -198,8 +219,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     Null and empty texts are one end token. A null id reads as empty text, so it is in training. Without training texts the
     counts are zero and the model is uniform. Rows that share an id are scored each. Other columns are not read.
 
-    Words are counted by 64-bit hash over all training texts. The ``head`` commonest counts, a fixed number, are broadcast;
-    the counts of all other words meet the texts by a join on the hash, pre-aggregated per text. Nothing depends on how many
+    Words are counted by 64-bit hash over all training texts. The commonest counts, ``head`` at most, are broadcast; the
+    counts of all other words meet the texts by a join on the hash, pre-aggregated per text. Nothing depends on how many
     different words there are.
     """
     fold = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(folds))
@@ -229,7 +250,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     counts = training.mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
     counts = materialise(counts, "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counts.orderBy(F.desc("c"), "h").limit(head).collect()
+    top = _commonest(counts, head)
     top_h = np.array([r["h"] for r in top], np.int64).view(np.uint64)
     top_c = np.array([r["c"] for r in top], np.int64)
 

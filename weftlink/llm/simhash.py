@@ -151,7 +151,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     result. Other columns are not read.
 
     Texts are read once, into a table of fingerprints. Equal fingerprints are one point, so copies cost no comparisons. A tree
-    over a sample of at most ``sample`` points, the only fingerprints the driver sees, deals all points to about
+    over a hash sample of at most ``sample`` points, the only fingerprints the driver sees, deals all points to about
     sqrt(n) / ``shard_points`` shards with overlap at the bounds; each shard searches its own tree exactly and returns a
     forest, and star contractions join the forests.
     """
@@ -164,8 +164,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = materialise(batches(docs, prints, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long"), "fingerprints")
     points = materialise(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "points")
     n = points.count()
-    drawn = points.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()
-    router = Router(np.array([r[0] for r in drawn], np.int64).view(np.uint64), max(1, round(math.sqrt(n) / shard_points)), radius)
+    share = F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(min(1.0, 0.9 * sample / max(n, 1) if n > sample else 1.0) * (1 << 30))
+    drawn = np.array([r[0] for r in points.select("fp").where(share).limit(sample).collect()], np.int64).view(np.uint64)
+    router = Router(np.sort(drawn), max(1, round(math.sqrt(n) / shard_points)), radius)
     sent = docs.sparkSession.sparkContext.broadcast(router)
 
     def visits(batch):
