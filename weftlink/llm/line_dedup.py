@@ -36,7 +36,9 @@ def line_dedup(
     lines = lines.select("doc_id", "text_hash", "pos", digest(F.col("key")).alias("h"))
     lines = materialise(lines, "lines")
     common = lines.groupBy("h", "doc_id").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count("one").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
-    gone = lines.join(common.select("h", "keeper"), "h").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    # A table of its own, so that the join below deals out both sides itself and a hot line can be split.
+    common = materialise(common.select("h", "keeper"), "common")
+    gone = lines.join(common, "h").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     gone = gone.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("gone")).withColumnsRenamed({"doc_id": "g_id", "text_hash": "g_hash"})
     out = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("text_hash") == F.col("g_hash")), "left")
     carried = ["carried"] if carry else []
