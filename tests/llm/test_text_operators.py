@@ -35,9 +35,10 @@ def passages(seed, n=60):
 
 @pytest.mark.parametrize("docs", [B.EDGES, passages(1), passages(2), [], [(1, None)]], ids=["edges", "passages", "more", "empty", "null"])
 def test_substring_dedup(spark, docs):
-    got = substring_dedup(B.frame(spark, docs, clash=True), shard_words=200, key_rows=500)
-    got = got.withColumn("sha", F.sha2("text", 256))
-    assert rows(got, "doc_id", "n_words", "n_removed", "sha") == sorted(B.substring(docs), key=str)
+    for hot in (2_000, 3):
+        got = substring_dedup(B.frame(spark, docs, clash=True), shard_words=200, key_rows=500, hot_docs=hot)
+        got = got.withColumn("sha", F.sha2("text", 256))
+        assert rows(got, "doc_id", "n_words", "n_removed", "sha") == sorted(B.substring(docs), key=str)
 
 
 def test_substring_many_ties(spark):

@@ -142,26 +142,40 @@ def _search(it, window: int, shard_words: int):
         yield out
 
 
-def repeated_windows(docs: DataFrame, window: int, gram: int, shard_words: int, key_rows: int) -> DataFrame:
+def repeated_windows(docs: DataFrame, window: int, gram: int, shard_words: int, key_rows: int, hot_docs: int) -> DataFrame:
     """``doc_id, text_hash, runs``: (first window, number of windows) of the windows that an earlier document has too.
 
     A window's least n-gram hash is its key. Texts are cut into segments of windows with one key; segments whose key one
-    document alone has cannot repeat and go no further. Equal segments are one; each partition indexes its segments in shards
+    document alone has cannot repeat and go no further. Under a key of more than ``hot_docs`` documents each window is a
+    segment with the hash of all its words as key, so that the variants of a hot passage spread. Equal segments are one; each partition indexes its segments in shards
     of whole keys and streams them through the index, which reports every interval of full length with its smallest id.
     """
-    hits = materialise(_shared_keys(docs, window, gram, key_rows).groupBy("doc_id").agg(F.collect_set("key").alias("keys")), "hits")
+    shared = materialise(_shared_keys(docs, window, gram, key_rows), "shared")
+    hot = materialise(shared.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_docs).select("key", F.lit(True).alias("hot")), "hot")
+    marked = F.struct("key", F.coalesce("hot", F.lit(False)).alias("hot"))
+    hits = materialise(shared.join(hot, "key", "left").groupBy("doc_id").agg(F.collect_set(marked).alias("keys")).select("doc_id", "keys.key", "keys.hot"), "hits")
 
     def cut(batch):
         out = {"doc_id": [], "text_hash": [], "start": [], "key": [], "segment": []}
-        for doc_id, text_hash, text, keys in zip(*(batch[c].to_pylist() for c in ("doc_id", "text_hash", "text")), batch["keys"].to_numpy(zero_copy_only=False), strict=True):
-            words = split_words(text)
-            first, count, key = segments(text_hashes(text), window, gram)
-            some = np.flatnonzero(np.isin(key, np.asarray(keys, np.int64).view(np.uint64)))
-            out["doc_id"] += [doc_id] * len(some)
-            out["text_hash"] += [text_hash] * len(some)
-            out["start"] += first[some].tolist()
-            out["key"] += key[some].view(np.int64).tolist()
-            out["segment"] += [b" ".join(words[a : a + c + window - 1]).decode() for a, c in zip(first[some].tolist(), count[some].tolist(), strict=True)]
+        columns = [batch[c].to_pylist() for c in ("doc_id", "text_hash", "text")] + [batch[c].to_numpy(zero_copy_only=False) for c in ("key", "hot")]
+        for doc_id, text_hash, text, keys, hot in zip(*columns, strict=True):
+            words, hashes = split_words(text), text_hashes(text)
+            first, count, key = segments(hashes, window, gram)
+            keys = keys.view(np.uint64)
+            some = np.isin(key, keys)
+            each = np.isin(key, keys[hot.astype(bool)])
+            if each.any():
+                single = np.concatenate([np.arange(a, a + c) for a, c in zip(first[each].tolist(), count[each].tolist(), strict=True)])
+                some &= ~each
+                first, count = np.concatenate([first[some], single]), np.concatenate([count[some], np.ones(len(single), np.int64)])
+                key = np.concatenate([key[some], ngram_hashes(hashes, window)[single]])
+            else:
+                first, count, key = first[some], count[some], key[some]
+            out["doc_id"] += [doc_id] * len(first)
+            out["text_hash"] += [text_hash] * len(first)
+            out["start"] += first.tolist()
+            out["key"] += key.view(np.int64).tolist()
+            out["segment"] += [b" ".join(words[a : a + c + window - 1]).decode() for a, c in zip(first.tolist(), count.tolist(), strict=True)]
         return out if out["doc_id"] else None
 
     cuts = batches(docs.join(hits, "doc_id"), cut, "doc_id long, text_hash long, start int, key long, segment string")
@@ -179,7 +193,7 @@ def repeated_windows(docs: DataFrame, window: int, gram: int, shard_words: int,
 
 
 def substring_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, gram: int = 5, shard_words: int = 100_000, key_rows: int = 1_000_000
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, gram: int = 5, shard_words: int = 100_000, key_rows: int = 1_000_000, hot_docs: int = 2_000
 ) -> DataFrame:
     """``doc_id, n_words, n_removed, text``, one row per input row: the words that stay, joined by a space.
 
@@ -190,13 +204,13 @@ def substring_dedup(
     are one document, judged each: a run within one id is no repeat. An empty table gives an empty result. Other columns are
     not read.
 
-    Texts cross an exchange twice, to be cut and to be rebuilt; keys cross packed, once. Memory follows ``key_rows`` and
+    Texts cross an exchange twice, to be cut and to be rebuilt; keys cross packed. Memory follows ``key_rows`` and
     ``shard_words``, or the different segments of one key where these are more.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     docs = docs.withColumn("text_hash", F.xxhash64("text"))
     known = docs.where("doc_id IS NOT NULL")
-    runs = repeated_windows(known, window, gram, shard_words, key_rows)
+    runs = repeated_windows(known, window, gram, shard_words, key_rows, hot_docs)
 
     def rebuild(batch):
         out = {"doc_id": batch["doc_id"], "n_words": [], "n_removed": [], "text": []}
