@@ -93,27 +93,30 @@ class TopK:
 
 
 def weighted_terms(s1: DataFrame, pool: DataFrame, spec: TopK) -> DataFrame:
-    """``side, country, id, term, w``: unit-length TF-IDF rows (1 + ln tf, smooth idf) over terms that are neither too rare nor too common."""
+    """``side, country, id, term, w``: unit-length TF-IDF rows (1 + ln tf, smooth idf) over terms that are neither too rare nor too common.
+
+    Term counts are kept, as document frequencies and weights both read them.
+    """
     grams = word_grams if spec.terms == "word" else char_grams
     rows = s1.select(F.lit(1).alias("side"), "country", F.col("entity_id").alias("id"), spec.column)
     rows = rows.unionByName(pool.select(F.lit(2).alias("side"), "country", F.col("entity_id").alias("id"), spec.column))
     n = rows.groupBy("country").agg(F.count(F.lit(1)).alias("n"))
-    tf = rows.select("side", "country", "id", F.explode(grams(F.col(spec.column))).alias("term")).groupBy("side", "country", "id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = rows.select("side", "country", "id", F.explode(grams(F.col(spec.column))).alias("term")).groupBy("side", "country", "id", "term").agg(F.count(F.lit(1)).alias("tf")).persist()
     limit = F.greatest(spec.max_df * F.col("n"), F.lit(float(spec.min_df)))
     if spec.max_df_rows:
         limit = F.least(limit, F.lit(float(spec.max_df_rows)))
     df = tf.groupBy("country", "term").agg(F.count(F.lit(1)).alias("df")).join(n, "country")
     idf = df.where((F.col("df") >= spec.min_df) & (F.col("df") <= limit)).select("country", "term", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
     raw = tf.join(idf, ["country", "term"]).select("side", "country", "id", "term", ((1.0 + F.log(F.col("tf"))) * F.col("idf")).alias("raw"))
-    norm = raw.groupBy("side", "country", "id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return raw.join(norm, ["side", "country", "id"]).select("side", "country", "id", "term", (F.col("raw") / F.col("norm")).alias("w"))
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(W.partitionBy("side", "country", "id")))
+    return raw.select("side", "country", "id", "term", (F.col("raw") / norm).alias("w"))
 
 
 def topk_join(s1: DataFrame, pool: DataFrame, spec: TopK) -> DataFrame:
     """The ``k`` most similar pool records of each entity above ``min_sim``: posting lists join on the term, bounded by the df limits."""
     if spec.max_addr_tokens is not None:
         pool = pool.where(F.col("addr_tokens") <= spec.max_addr_tokens)
-    terms = weighted_terms(s1, pool, spec)
+    terms = weighted_terms(s1, pool, spec).persist()
     left = terms.where("side = 1").select("country", "term", F.col("id").alias(L), F.col("w").alias("wl"))
     right = terms.where("side = 2").select("country", "term", F.col("id").alias(R), F.col("w").alias("wr"))
     sims = left.join(right, ["country", "term"]).groupBy(L, R).agg(F.least(F.lit(1.0), F.round(F.sum(F.col("wl") * F.col("wr")), 6)).alias("sim"))

@@ -217,7 +217,7 @@ def frequency(df, ctx):
 
 
 def idf_overlap(df: DataFrame, pool: DataFrame, column: str, prefix: str) -> DataFrame:
-    """Cosine, top shared and shared shares of both sides under the smooth idf of the pair's country.
+    """Cosine, top shared and shared shares of both sides under the smooth idf of the pair's country, per pair.
 
     Each pair's words join the idf table once and are summed per pair; the table is never a broadcast map.
     """
@@ -239,12 +239,13 @@ def idf_overlap(df: DataFrame, pool: DataFrame, column: str, prefix: str) -> Dat
         clip(total(both) / total(F.col("in_l"))).alias(f"{prefix}_cover_l"),
         clip(total(both) / total(F.col("in_r"))).alias(f"{prefix}_cover_r"),
     )
-    return df.join(found, [L, R], "left")
+    return found
 
 
 @group("idf", "idf_name_cos idf_name_top idf_name_cover_l idf_name_cover_r idf_addr_cos idf_addr_top idf_addr_cover_l idf_addr_cover_r")
 def idf(df, ctx):
-    return idf_overlap(idf_overlap(df, ctx.pool, "name_core", "idf_name"), ctx.pool, "addr_norm", "idf_addr")
+    found = [idf_overlap(df, ctx.pool, c, p) for c, p in (("name_core", "idf_name"), ("addr_norm", "idf_addr"))]
+    return df.join(found[0], [L, R], "left").join(found[1], [L, R], "left")
 
 
 @group("token_freq", "freq_name_l freq_name_r freq_addr_l freq_addr_r")
