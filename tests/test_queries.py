@@ -11,7 +11,7 @@ from weftlink.plans.queries import ORACLE_SQL, QUERIES
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
 #: Queries whose models take long to fit; the unit tests hold them.
-SLOW = {"gbt_crossfit", "logreg", "rule_tuning", "isotonic"}
+SLOW = {"two_stage", "gbt_crossfit", "logreg", "rule_tuning", "isotonic"}
 
 
 @pytest.fixture(scope="module")

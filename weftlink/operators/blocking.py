@@ -195,3 +195,24 @@ def one_word_pairs(s1: DataFrame, pool: DataFrame, max_group: int = 20, share: f
     b = right.join(few, ["country", "name_sorted"]).select("country", F.col("name_sorted").alias("key"), F.col("entity_id").alias(R))
     s1_more = less(left).select("country", "key", "word", F.col("entity_id").alias(L)).join(b, ["country", "key"])
     return pool_more.select(F.lit("pool").alias("side"), "word", L, R).unionByName(s1_more.select(F.lit("s1").alias("side"), "word", L, R))
+
+
+def derive(pairs: DataFrame, word_k: int, max_per_s1: int, address_pass: bool = True, cap_order: str = "exact_first") -> DataFrame:
+    """The candidates of a narrower configuration, from those of a wider one.
+
+    Word-pass bits beyond the entity's ``word_k`` best leave, and the address pass if it is off; pairs left without a bit go,
+    similarities of lost passes become null, and the cap is applied again.
+    """
+    word = F.col("pass").bitwiseAND(WORD_SPACE) != 0
+    order = W.partitionBy(L).orderBy(F.when(word, F.col("sim_name_addr_word")).desc_nulls_last(), R)
+    bits = F.when(word & (F.col("_rk") > word_k), F.col("pass").bitwiseAND(~WORD_SPACE)).otherwise(F.col("pass"))
+    rows = pairs.withColumn("_rk", F.row_number().over(order)).withColumn("pass", bits if address_pass else bits.bitwiseAND(~ADDRESS_SPACE))
+    for sim, bit in zip(SIMS, (NAME_SPACE, WORD_SPACE, ADDRESS_SPACE), strict=True):
+        rows = rows.withColumn(sim, F.when(F.col("pass").bitwiseAND(bit) != 0, F.col(sim)))
+    return union_passes([rows.where("pass <> 0").drop("_rk")], max_per_s1, cap_order)
+
+
+def compose(base: DataFrame, other: DataFrame, s1: DataFrame, countries: Sequence[str]) -> DataFrame:
+    """``base`` with the rows of some countries' entities taken from ``other``."""
+    own = s1.where(F.col("country").isin(*countries)).select(F.col("entity_id").alias(L))
+    return base.join(own, L, "left_anti").unionByName(other.join(own, L, "left_semi"))

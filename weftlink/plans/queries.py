@@ -1050,6 +1050,34 @@ def target_shape(w: World) -> DataFrame:
     return SP.shape(w.s1, w.pool)
 
 
+@query(
+    f"""SELECT {P}, pass, sim FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY (pass & 199) <> 0 DESC, coalesce(sim, 0) DESC, e) AS rk FROM
+  (SELECT s, e, CASE WHEN wr > 2 THEN pass & ~16 ELSE pass END AS pass, CASE WHEN wr > 2 THEN NULL ELSE sim END AS sim FROM
+  (SELECT *, CASE WHEN (pass & 16) <> 0 THEN row_number() OVER (PARTITION BY s ORDER BY CASE WHEN (pass & 16) <> 0 THEN sim END DESC NULLS LAST, e) ELSE 0 END AS wr FROM cand)) WHERE pass <> 0) WHERE rk <= 4"""
+)
+def derive_narrower(w: World) -> DataFrame:
+    return B.derive(w.pairs, 2, 4).select(L, R, "pass", F.col("sim_name_addr_word").alias("sim"))
+
+
+@query(f"SELECT {P} FROM pred JOIN s1 ON s = entity_id WHERE country NOT IN ('de', 'fr') UNION ALL SELECT {P} FROM rk JOIN s1 ON s = entity_id WHERE country IN ('de', 'fr') AND rnk = 1")
+def compose_countries(w: World) -> DataFrame:
+    return B.compose(D.decide(w.scored).select(L, R), D.decide(w.scored, D.Rule(0.0, 0.0, 0.0, 1)).select(L, R), w.s1, ["de", "fr"])
+
+
+@query(
+    f"""SELECT country, count(*) AS n_s1, {q6("avg(coalesce(c, 0)) AS cands_per_s1", "avg((coalesce(m, 0) > 0)::INT) AS matched_share", "avg(coalesce(m, 0)) AS matches_per_s1")} FROM s1
+  LEFT JOIN (SELECT s, count(*) AS c FROM cand GROUP BY s) a ON entity_id = a.s LEFT JOIN (SELECT s, count(*) AS m FROM pred GROUP BY s) b ON entity_id = b.s GROUP BY country"""
+)
+def country_table(w: World) -> DataFrame:
+    return E.country_table(w.s1, w.pairs, D.decide(w.scored)).select("country", "n_s1", *r6("cands_per_s1", "matched_share", "matches_per_s1"))
+
+
+@query()
+def error_tags(w: World) -> DataFrame:
+    x = X.build_features(w.pairs, w.s1, w.pool, ("name_fuzzy", "name_tokens", "numeric", "address", "meta", "address_extra"))
+    return E.error_tags(E.error_pairs(D.decide(w.scored), w.truth), x)
+
+
 # ---- models ---------------------------------------------------------------------------------------------------------
 
 
@@ -1059,6 +1087,15 @@ def _training(w: World) -> tuple[DataFrame, tuple[str, ...]]:
     return B.label_pairs(X.build_features(w.pairs, w.s1, w.pool, groups), w.truth), names
 
 
+@query()
+def two_stage(w: World) -> DataFrame:
+    """The whole learned path on the record view: two stages, cross-fitted, calibrated and decoded."""
+    from . import pipeline
+
+    fold = SP.Fold(w.s1, w.pool, w.truth)
+    return pipeline.run(fold, fold, pipeline.Config(kind="logreg", groups=("blocking", "name_tokens", "numeric", "meta")))[0]
+
+
 @query()
 def isotonic(w: World) -> DataFrame:
     rows = B.label_pairs(w.scored.select(L, R, "prob"), w.truth)

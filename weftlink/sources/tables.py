@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +55,21 @@ def cached(spark: SparkSession, path: str, build, key: dict | None = None) -> Da
     return found
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Where tables between stages go: the cluster's shared folder; a temporary one only where none is set, as in tests."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = shared_folder.own = getattr(shared_folder, "own", None) or "file://" + tempfile.mkdtemp(prefix="weftlink-")
+    return found
+
+
+def stage_table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: a stage's rows once, without the plan that made them."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def parse_id_list(field: Column) -> Column:
     """``"a, b,"`` as an array: trimmed, without empty items, order and repeats kept."""
     return F.filter(F.transform(F.split(F.coalesce(field, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
