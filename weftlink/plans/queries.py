@@ -1089,10 +1089,14 @@ def _training(w: World) -> tuple[DataFrame, tuple[str, ...]]:
 
 @query()
 def two_stage(w: World) -> DataFrame:
-    """The whole learned path on the record view: two stages, cross-fitted, calibrated and decoded."""
+    """The whole learned path on the record view: two stages, cross-fitted, calibrated and decoded.
+
+    Pairs of one name stand for the truth, as equal texts are too few to learn from.
+    """
     from . import pipeline
 
-    fold = SP.Fold(w.s1, w.pool, w.truth)
+    true = B.exact_pass(w.s1, w.pool, "name_core", Q.MAX_GROUP).select(L, R)
+    fold = SP.Fold(IO.stage_table(w.s1, "s1"), IO.stage_table(w.pool, "pool"), IO.stage_table(true, "truth"))
     return pipeline.run(fold, fold, pipeline.Config(kind="logreg", groups=("blocking", "name_tokens", "numeric", "meta")))[0]
 
 
