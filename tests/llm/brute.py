@@ -168,3 +168,37 @@ def contained(docs, items, size=5, percent=80):
 
 def held_out(doc_id):
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % 7 == 2
+
+
+def quality(docs):
+    """(kept, the text without its host's furniture) of each (id, text, host)."""
+    key = lambda x: lower(strip(x))
+    held, hosts = defaultdict(set), defaultdict(set)
+    for i, t, h in docs:
+        hosts[h].add(i)
+        for x in (t or "").split("\n"):
+            if 0 < len(words(x)) <= 20:
+                held[h, key(x)].add(i)
+    above = {k for k, v in held.items() if len(v) > 10 and len(v) > 0.01 * len(hosts[k[0]])}
+    out = []
+    for i, t, h in docs:
+        lines = (t or "").split("\n")
+        gone = [x for x in lines if (h, key(x)) in above and 0 < len(words(x)) <= 20]
+        n = len(words(t))
+        left = n - sum(len(words(x)) for x in gone)
+        kept = not quality_base(t)[5] and left >= 10 and left >= 0.3 * n
+        out.append((i, kept, "\n".join(x for x in lines if (h, key(x)) not in above)))
+    return out
+
+
+def pipeline(docs, items, coder):
+    """The five stages over (id, text, host) with ids that differ: id, number of tokens, ids, decoded text."""
+    hosts = {i: h for i, _, h in docs}
+    rows = [(i, t) for i, kept, t in quality(docs) if kept]
+    rows = [(i, t) for i, _, _, t in line_dedup(rows)]
+    classes = {i: c for i, _, c in near(rows)}
+    rows = [(i, t) for i, t in rows if classes[i] == i]
+    found = {x[0] for x in contained(rows, items)}
+    rows = [(i, t) for i, t in rows if i not in found]
+    assert all(i in hosts for i, _ in rows)
+    return [(i, len(x := coder.library.encode(t)), x, coder.library.decode(x)) for i, t in rows]
