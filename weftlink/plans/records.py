@@ -63,7 +63,8 @@ class World:
 
     @cached_property
     def records(self) -> DataFrame:
-        return records(self.spark, self.sf_dir)
+        """Normalised records: each pass reads them, so they are kept."""
+        return records(self.spark, self.sf_dir).persist()
 
     @property
     def s1(self) -> DataFrame:
