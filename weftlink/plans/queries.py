@@ -73,17 +73,40 @@ _NORM = _PUNCT.format("lower(" + _FOLD.format("t") + ")")
 
 
 def _raw(w: World) -> DataFrame:
+    """The first 60 characters, as ``_RAW`` fixes them for the queries with that SQL."""
     return w.spark.read.parquet(f"{w.sf_dir}/documents.parquet").select("doc_id", "lang", F.substring("text", 1, 60).alias("t"))
 
 
+def _whole(w: World) -> DataFrame:
+    return w.spark.read.parquet(f"{w.sf_dir}/documents.parquet").select("doc_id", "lang", F.col("text").alias("t"))
+
+
+def _norm_names(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", T.basic_norm(F.col("t")).alias("norm"))
+
+
 @query(f"SELECT doc_id, {_NORM} AS norm FROM rawtext", rawtext=_RAW)
 def norm_names(w: World) -> DataFrame:
-    return _raw(w).select("doc_id", T.basic_norm(F.col("t")).alias("norm"))
+    return _norm_names(_raw(w))
+
+
+@query()
+def norm_names_whole(w: World) -> DataFrame:
+    return _norm_names(_whole(w))
+
+
+def _transliterate(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", T.fold(F.col("t"), scripts=True).alias("folded"))
 
 
 @query(f"SELECT doc_id, lower({_FOLD.format('t')}) AS folded FROM rawtext", rawtext=_RAW)
 def transliterate(w: World) -> DataFrame:
-    return _raw(w).select("doc_id", T.fold(F.col("t"), scripts=True).alias("folded"))
+    return _transliterate(_raw(w))
+
+
+@query()
+def transliterate_whole(w: World) -> DataFrame:
+    return _transliterate(_whole(w))
 
 
 _TOKENS = {"street": "st", "the": "le", "of": "", "and": "et al", "blue": "azure"}
@@ -102,8 +125,17 @@ def map_tokens(w: World) -> DataFrame:
     rawtext=_RAW,
 )
 def name_keys(w: World) -> DataFrame:
+    return _name_keys(_raw(w))
+
+
+@query()
+def name_keys_whole(w: World) -> DataFrame:
+    return _name_keys(_whole(w))
+
+
+def _name_keys(rows: DataFrame) -> DataFrame:
     n = F.col("n")
-    rows = _raw(w).select("doc_id", T.basic_norm(F.col("t")).alias("n"))
+    rows = rows.select("doc_id", T.basic_norm(F.col("t")).alias("n"))
     return rows.select("doc_id", T.sorted_words(n).alias("name_sorted"), T.first_word(n).alias("name_first"), T.squash(n).alias("name_squash"))
 
 
@@ -120,16 +152,25 @@ _WORDS_ONLY = "list_filter(string_split(x, ' '), lambda t: t <> '' AND NOT regex
     rawtext=_RAW,
 )
 def addr_parts(w: World) -> DataFrame:
+    return _addr_parts(_raw(w))
+
+
+@query()
+def addr_parts_whole(w: World) -> DataFrame:
+    return _addr_parts(_whole(w))
+
+
+def _addr_parts(rows: DataFrame) -> DataFrame:
     k = F.col("doc_id").cast("string")
     a = F.concat(F.lit("00"), k, F.lit("th b"), (F.col("doc_id") * 7919).cast("string"), F.lit(" "), T.basic_norm(F.col("t")))
-    rows = _raw(w).select("doc_id", N.split_tokens(a).alias("x"))
+    rows = rows.select("doc_id", N.split_tokens(a).alias("x"))
     return rows.select("doc_id", *[v.alias(k) for k, v in N.address_parts(F.col("x")).items()])
 
 
 @query()
 def norm_addresses(w: World) -> DataFrame:
     """The whole address normaliser with regions and street words."""
-    rows = _raw(w).select("doc_id", F.concat_ws(", ", "t", F.lit("Springfield"), F.when(F.col("doc_id") % 2 == 0, "New York 14610").otherwise("Tamil Nadu")).alias("business_address"))
+    rows = _whole(w).select("doc_id", F.concat_ws(", ", "t", F.lit("Springfield"), F.when(F.col("doc_id") % 2 == 0, "New York 14610").otherwise("Tamil Nadu")).alias("business_address"))
     return N.normalise_addresses(rows).drop("business_address")
 
 
@@ -191,9 +232,9 @@ def strip_fillers(w: World) -> DataFrame:
 
 @query()
 def normalise_records(w: World) -> DataFrame:
-    """The whole normaliser, Arrow pass for other scripts included."""
+    """The whole normaliser, Arrow pass for other scripts included; each text is both name and address, whole."""
     docs = w.spark.read.parquet(f"{w.sf_dir}/documents.parquet")
-    rows = docs.select(F.col("doc_id").cast("string").alias("entity_id"), F.substring("text", 1, 40).alias("business_name"), F.substring("text", 41, 60).alias("business_address"), F.col("lang").alias("country"))
+    rows = docs.select(F.col("doc_id").cast("string").alias("entity_id"), F.col("text").alias("business_name"), F.col("text").alias("business_address"), F.col("lang").alias("country"))
     return N.normalise_records(rows)
 
 
