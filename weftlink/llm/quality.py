@@ -53,14 +53,13 @@ def quality_rules(
     max_repeat_percent: int = 20,
     max_docs: int = 10,
     max_share: float = 0.01,
-    max_line_words: int = 20,
     min_left_share: float = 0.3,
 ) -> DataFrame:
     """Base figures of every text, lines above the host's limits, and the verdict; one row per input row.
 
     A line is normalised (ends stripped, A-Z lower-cased), hashed to 128 bits and counted once per document of its host.
-    A line of at most ``max_line_words`` words is above the limits if more than ``max_docs`` documents of the host and more
-    than ``max_share`` of them hold it; such lines are the host's furniture. A document is depleted if, without them, it has
+    A line of any length that has a word is above the limits if more than ``max_docs`` documents of the host and more than
+    ``max_share`` of them hold it; such lines are the host's furniture. A document is depleted if, without them, it has
     under ``min_words`` words or under ``min_left_share`` of its words. ``kept`` is false if a base rule fails or if the
     document is depleted. ``boilerplate`` lists the digests of the lines to remove.
 
@@ -74,7 +73,6 @@ def quality_rules(
     rows = _base(rows.withColumn("text_hash", F.xxhash64("text")))
     n_line_words = lambda x: F.size(words_of(x))
     lines = F.transform("_lines", lambda x: F.struct(digest(line_key(x)).alias("h"), n_line_words(x).alias("n")))
-    lines = F.filter(lines, lambda x: x["n"] <= max_line_words)
     figures = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     rows = materialise(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "host", "text_hash", *figures, lines.alias("lines")), "quality")
 
