@@ -49,18 +49,24 @@ class Vocabulary:
 class LogBilinear:
     """score(w | a, b) = (C1 * R[a] + C2 * R[b]) . Q[w] + bias[w], with a and b the two symbols before w.
 
+    Beside the symbols stand clusters (symbol mod their number, about its square root) with vectors of their own, so that a
+    probability is a cluster's softmax times one within the cluster: its cost grows with the root of the vocabulary.
+
     One more row of R stands before a text. Biases start at the noise distribution's logarithms and vectors near zero, so an
     untrained model is the unigram model.
     """
 
     def __init__(self, noise: np.ndarray, width: int = 16, seed: int = 7):
         rng, n = np.random.default_rng(seed), len(noise)
-        self.noise, self.start = noise, n
+        self.noise, self.start, self.clusters = noise, n, max(1, math.isqrt(n))
+        share = np.bincount(np.arange(n) % self.clusters, noise, self.clusters)
         self.params = [
             rng.normal(0, 0.1, (n + 1, width)).astype(np.float32),
             rng.normal(0, 0.1, (n, width)).astype(np.float32),
             np.log(noise).astype(np.float32),
             np.ones((2, width), np.float32),
+            rng.normal(0, 0.1, (self.clusters, width)).astype(np.float32),
+            np.log(share).astype(np.float32),
         ]
         self.squares = [np.full_like(p, 1e-3) for p in self.params]
         self.rng, self.trained = rng, 0
@@ -69,49 +75,85 @@ class LogBilinear:
         return np.concatenate([[self.start], symbols[:-1]]), np.concatenate([[self.start, self.start], symbols[:-2]])[: len(symbols)]
 
     def step(self, w: np.ndarray, a: np.ndarray, b: np.ndarray, k: int = 32, rate: float = 0.2) -> None:
-        """One Adagrad step on a batch: each token against ``k`` noise symbols drawn for the whole batch."""
-        r, q, bias, c = self.params
+        """One Adagrad step on a batch: each token, and its cluster, against ``k`` noise draws for the whole batch.
+
+        Only the rows that the batch meets are touched, so a step's cost does not depend on the vocabulary.
+        """
+        r, q, bias, c, cq, cbias = self.params
         ra, rb = r[a], r[b]
         hidden = c[0] * ra + c[1] * rb
         drawn = np.searchsorted(self.cumulative, self.rng.random(k)).astype(np.int32)
-        logs = self.log_noise + np.float32(math.log(k))
+        g_q, g_bias, at_q, g_hidden = self._contrast(hidden, w, drawn, q, bias, self.log_noise)
+        g_cq, g_cbias, at_cq, g_more = self._contrast(hidden, w % self.clusters, drawn % self.clusters, cq, cbias, self.log_share)
+        g_hidden += g_more
+        at_r, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)
+        g_r = _gather(inverse, np.concatenate([g_hidden * c[0], g_hidden * c[1]]), len(at_r))
+        g_c = np.stack([(g_hidden * ra).sum(0), (g_hidden * rb).sum(0)])
+        each = (at_r, g_r), (at_q, g_q), (at_q, g_bias), (slice(None), g_c), (at_cq, g_cq), (at_cq, g_cbias)
+        for p, s, (at, g) in zip(self.params, self.squares, each, strict=True):
+            g = (g / len(w)).astype(np.float32)
+            s[at] += g * g
+            p[at] -= rate * g / np.sqrt(s[at])
+        self.trained += len(w)
+
+    @staticmethod
+    def _contrast(hidden, w, drawn, q, bias, log_noise):
+        """Gradients of the targets' rows of vectors and biases, which rows, and those of ``hidden``."""
+        logs = log_noise + np.float32(math.log(len(drawn)))
         data = np.einsum("ij,ij->i", hidden, q[w]) + bias[w] - logs[w]
         fake = hidden @ q[drawn].T + (bias[drawn] - logs[drawn])
         e_data = (-1 / (1 + np.exp(np.clip(data, -30, 30)))).astype(np.float32)
         e_fake = (1 / (1 + np.exp(-np.clip(fake, -30, 30)))).astype(np.float32)
-        g_hidden = e_data[:, None] * q[w] + e_fake @ q[drawn]
-        n = len(bias)
-
-        def gather(at, rows, size):
-            return np.stack([np.bincount(at, rows[:, j], size) for j in range(rows.shape[1])], 1)
-
-        g_q = gather(w, e_data[:, None] * hidden, n)
-        np.add.at(g_q, drawn, e_fake.T @ hidden)
-        g_bias = np.bincount(w, e_data, n) + np.bincount(drawn, e_fake.sum(0), n)
-        g_r = gather(a, g_hidden * c[0], n + 1) + gather(b, g_hidden * c[1], n + 1)
-        g_c = np.stack([(g_hidden * ra).sum(0), (g_hidden * rb).sum(0)])
-        for p, s, g in zip(self.params, self.squares, (g_r, g_q, g_bias, g_c), strict=True):
-            g = (g / len(w)).astype(np.float32)
-            s += g * g
-            p -= rate * g / np.sqrt(s)
-        self.trained += len(w)
+        rows, inverse = np.unique(np.concatenate([w, drawn]), return_inverse=True)
+        g_q = _gather(inverse, np.concatenate([e_data[:, None] * hidden, e_fake.T @ hidden]), len(rows))
+        g_bias = np.bincount(inverse, np.concatenate([e_data, e_fake.sum(0)]), len(rows))
+        return g_q, g_bias, rows, e_data[:, None] * q[w] + e_fake @ q[drawn]
 
     def prepare(self) -> None:
         self.cumulative, self.log_noise = np.cumsum(self.noise / self.noise.sum()), np.log(self.noise).astype(np.float32)
         self.cumulative[-1] = 1
+        self.log_share = np.log(np.bincount(np.arange(len(self.noise)) % self.clusters, self.noise, self.clusters)).astype(np.float32)
+
+    def log_probs(self, w: np.ndarray, a: np.ndarray, b: np.ndarray, chunk: int = 1 << 15, block: int = 1 << 11) -> np.ndarray:
+        """Natural logarithms of P(cluster of w | a, b) * P(w | its cluster, a, b), each an exact softmax."""
+        r, q, bias, c, cq, cbias = self.params
+        out, n = np.empty(len(w)), self.clusters
+
+        def picked(scores, at):
+            scores -= scores.max(1, keepdims=True)
+            found = scores[np.arange(len(at)), at]
+            return found - np.log(np.exp(scores, out=scores).sum(1))
+
+        members = [(np.ascontiguousarray(q[k::n].T), bias[k::n]) for k in range(n)]
+        for lo in range(0, len(w), chunk):
+            part = slice(lo, lo + chunk)
+            hidden, own = c[0] * r[a[part]] + c[1] * r[b[part]], w[part] % n
+            blocks = range(0, len(own), block)
+            logs = np.concatenate([picked(hidden[i : i + block] @ cq.T + cbias, own[i : i + block]) for i in blocks]).astype(np.float64)
+            order = np.argsort(own, kind="stable")
+            bounds = np.searchsorted(own[order], np.arange(n + 1))
+            for k in np.flatnonzero(np.diff(bounds)):
+                at = order[bounds[k] : bounds[k + 1]]
+                logs[at] += picked(hidden[at] @ members[k][0] + members[k][1], w[part][at] // n)
+            out[part] = logs
+        return out
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Log-probabilities by matrix products: (a, w) and (b, w) scores, the latter with bias, and log Z of each (a, b).
 
         As both contexts add to the score, Z over all symbols is one product of exponentiated tables.
         """
-        r, q, bias, c = (p.astype(np.float64) for p in self.params)
+        r, q, bias, c = (p.astype(np.float64) for p in self.params[:4])
         near, far = (c[0] * r) @ q.T, (c[1] * r) @ q.T + bias
         m, f = near.max(1, keepdims=True), far.max(1, keepdims=True)
         log_z = np.log(np.exp(near - m) @ np.exp(far - f).T) + m + f.T
         return near, far, log_z
 
 
+def _gather(at: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
+    return np.stack([np.bincount(at, rows[:, j], size) for j in range(rows.shape[1])], 1)
+
+
 def _pack(model: LogBilinear) -> bytes:
     return np.concatenate([p.ravel() for p in model.params]).astype(np.float32).tobytes()
 
@@ -133,16 +175,15 @@ def _mean(table):
     return pa.table({"part": table["part"][:1], "tokens": pa.array([total], pa.int64()), "params": pa.array([(sum_ / max(1, total)).astype(np.float32).tobytes()], pa.binary())})
 
 
-def train(docs: DataFrame, vocabulary: Vocabulary, width: int = 16, batch: int = 4096, fan: int = 32) -> LogBilinear:
-    """Each partition trains a replica on all its training texts; replicas are averaged ``fan`` at a time until few are left.
+def train(docs: DataFrame, vocabulary: Vocabulary, width: int = 16, batch: int = 4096, replicas: int = 64, piece: int = 1 << 14) -> LogBilinear:
+    """At most ``replicas`` partitions each train a replica on all their texts; replicas are averaged piece by piece.
 
-    The driver receives at most ``fan`` parameter rows however many partitions there are.
+    A piece is ``piece`` parameters, so no task holds more than that of every replica, and the driver receives one model.
     """
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def fit(it):
         import pyarrow as pa
-        from pyspark import TaskContext
 
         model = LogBilinear(sent.value.noise, width)
         model.prepare()
@@ -167,22 +208,17 @@ def train(docs: DataFrame, vocabulary: Vocabulary, width: int = 16, batch: int =
         if rest:
             learn(True)
         if model.trained:
-            part = TaskContext.get().partitionId()
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "tokens": pa.array([model.trained], pa.int64()), "params": pa.array([_pack(model)], pa.binary())})
+            raw = _pack(model)
+            for part in range(-(-len(raw) // (4 * piece))):
+                own = raw[4 * piece * part : 4 * piece * (part + 1)]
+                yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "tokens": pa.array([model.trained], pa.int64()), "params": pa.array([own], pa.binary())})
 
     schema = "part long, tokens long, params binary"
-    found = materialise(docs.mapInArrow(fit, schema), "replicas")
-    parts = found.count()
-    while parts > fan:
-        groups = -(-parts // fan)
-        found = found.withColumn("part", F.pmod("part", F.lit(groups))).groupBy("part").applyInArrow(_mean, schema)
-        found, parts = materialise(found, "replicas"), groups
+    found = materialise(docs.coalesce(replicas).mapInArrow(fit, schema), "replicas")
     model = LogBilinear(vocabulary.noise, width)
-    rows = found.collect()
+    rows = sorted(found.groupBy("part").applyInArrow(_mean, schema).collect(), key=lambda r: r["part"])
     if rows:
-        import pyarrow as pa
-
-        _unpack(model, _mean(pa.Table.from_pylist([r.asDict() for r in rows]))["params"][0].as_py())
+        _unpack(model, b"".join(bytes(r["params"]) for r in rows))
     return model
 
 
@@ -207,13 +243,15 @@ def _commonest(counts: DataFrame, most: int) -> list:
     return sorted(rows, key=lambda r: (-r["c"], r["h"]))
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2, words: int = 1000, classes: int = 32, head: int = 65_536) -> DataFrame:
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2, words: int | None = None, classes: int | None = None, head: int = 65_536) -> DataFrame:
     """Scores of every text, learnt from the texts whose ``crc32(id as text) mod folds`` is not ``held_fold``.
 
     Returns one row per input row: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``. Tokens are words
     (between ASCII white space, A-Z lower-cased) and one end. ``base_score`` is the add-one unigram log10 probability.
     ``score`` is the log-bilinear model's: log10 of the softmax over its symbols given the two symbols before, and for a word
-    of a class, of its add-one share of the class; with the one unseen word that each class provides for, a text's
+    of a class, of its add-one share of the class. The symbols are the ``words`` commonest words, by default the number of different
+    words to the power 2/3 (1,000 at least), and ``classes`` of the others, by default its root (32 at least): both grow with
+    the texts. With the one unseen word that each class provides for, a text's
     probabilities sum to one.
 
     Null and empty texts are one end token. A null id reads as empty text, so it is in training. Without training texts the
@@ -250,7 +288,11 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     counts = training.mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
     counts = materialise(counts, "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    top = _commonest(counts, head)
+    if words is None:
+        words = max(1000, math.ceil(distinct ** (2 / 3)))
+    if classes is None:
+        classes = max(32, math.isqrt(words))
+    top = _commonest(counts, max(head, words))
     top_h = np.array([r["h"] for r in top], np.int64).view(np.uint64)
     top_c = np.array([r["c"] for r in top], np.int64)
 
@@ -266,15 +308,22 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     noise = np.concatenate([top_c[:own], class_c]) + 1.0
     vocabulary = Vocabulary(top_h[:own][by_hash], by_hash.astype(np.int32), noise / noise.sum(), classes)
     model = train(training, vocabulary)
-    near, far, log_z = model.tables()
+    model.squares = None
 
     order = np.argsort(top_h)
     spread = np.log10(class_c + class_n + 1)
-    sent = docs.sparkSession.sparkContext.broadcast((vocabulary, near.astype(np.float32), far.astype(np.float32), log_z.astype(np.float32), top_h[order], np.log10(top_c[order] + 1.0), spread, model.start))
+    sent = docs.sparkSession.sparkContext.broadcast((vocabulary, model, top_h[order], np.log10(top_c[order] + 1.0), spread))
 
     def score(batch):
-        vocab, near, far, log_z, head_h, head_log, spread, start = sent.value
+        vocab, model, head_h, head_log, spread = sent.value
         out = {k: [] for k in ("n_tokens", "known", "logs", "symbols", "tail_h", "tail_n")}
+        waiting, held, scores = [], 0, []
+
+        def flush():
+            parts = model.log_probs(*(np.concatenate(x) for x in zip(*waiting, strict=True))) / math.log(10)
+            scores.append(np.add.reduceat(parts, np.cumsum([0, *(len(x[0]) for x in waiting[:-1])])))
+            waiting.clear()
+
         for text in batch["text"].to_pylist():
             h, inverse, n = np.unique(tokens(text), return_inverse=True, return_counts=True)
             symbols = vocab.symbols(h)
@@ -285,16 +334,22 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
                 at, known = np.zeros(len(h), int), np.zeros(len(h), bool)
             logs = np.where(known, head_log[at] if len(head_h) else 0, 0)
             w = symbols[inverse]
-            a, b = np.concatenate([[start], w[:-1]]), np.concatenate([[start, start], w[:-2]])[: len(w)]
-            lm = (near[a, w].astype(np.float64) + far[b, w] - log_z[a, b]).sum() / math.log(10)
+            waiting.append((w, *model.contexts(w)))
+            held += len(w)
+            if held > 1 << 17:
+                flush()
+                held = 0
             listed = symbols < len(vocab.hashes)
             within = np.where(listed, 0, logs - spread[np.where(listed, 0, symbols - len(vocab.hashes))])
             out["n_tokens"].append(len(w))
             out["known"].append(int(n[known].sum()))
             out["logs"].append(float((n * logs).sum()))
-            out["symbols"].append(float(lm + (n * within).sum()))
+            out["symbols"].append(float((n * within).sum()))
             out["tail_h"].append(h[~known].view(np.int64))
             out["tail_n"].append(n[~known])
+        if waiting:
+            flush()
+        out["symbols"] = np.array(out["symbols"]) + np.concatenate(scores)
         return out | {"doc_id": batch["doc_id"], "held_out": batch["held_out"]}
 
     kind = dict(docs.dtypes)["doc_id"]
