@@ -72,3 +72,11 @@ def as_map(table: DataFrame, limit: int = 100_000) -> dict[str, str]:
     if len(rows) > limit:
         raise ValueError(f"the token map has more than {limit} words")
     return dict(map(tuple, rows))
+
+
+def as_list(table: DataFrame, limit: int = 10_000) -> list[str]:
+    """Learnt fillers in order; a table of more than ``limit`` words is refused, as they travel in the plan."""
+    rows = table.select("token").limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"there are more than {limit} fillers")
+    return sorted(r["token"] for r in rows)

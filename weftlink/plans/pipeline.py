@@ -126,7 +126,7 @@ def load(spark: SparkSession, folder: str, cfg: Config) -> SP.Fold:
 def link(spark: SparkSession, train_dir: str, test_dir: str, out_dir: str, cfg: Config = Config()) -> DataFrame:
     """Files to files: learns fillers and models on the train folder, writes both lists for the test folder; returns the check."""
     train = load(spark, train_dir, cfg)
-    fillers = [r["token"] for r in LN.fit_fillers(train.truth, train.s1, train.pool).limit(10_000).collect()]
+    fillers = LN.as_list(LN.fit_fillers(train.truth, train.s1, train.pool))
     train, test = (SP.Fold(N.add_nofill(f.s1, fillers), N.add_nofill(f.pool, fillers), f.truth) for f in (train, load(spark, test_dir, cfg)))
     matches, scored = run(train, test, cfg)
     ids = test.s1.select(F.col("entity_id").alias(L))
