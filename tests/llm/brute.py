@@ -177,13 +177,13 @@ def quality(docs):
     for i, t, h in docs:
         hosts[h].add(i)
         for x in (t or "").split("\n"):
-            if 0 < len(words(x)) <= 20:
+            if words(x):
                 held[h, key(x)].add(i)
     above = {k for k, v in held.items() if len(v) > 10 and len(v) > 0.01 * len(hosts[k[0]])}
     out = []
     for i, t, h in docs:
         lines = (t or "").split("\n")
-        gone = [x for x in lines if (h, key(x)) in above and 0 < len(words(x)) <= 20]
+        gone = [x for x in lines if (h, key(x)) in above]
         n = len(words(t))
         left = n - sum(len(words(x)) for x in gone)
         kept = not quality_base(t)[5] and left >= 10 and left >= 0.3 * n

@@ -15,6 +15,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         both = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
+    # A table of its own: the join below then deals out both sides itself, and the links of a hub can be split.
+    least = materialise(least, "least")
     near = both.join(least, both["u"] == least["w"])
     if large:
         out = near.where(F.col("v") > F.col("u")).select(F.col("m").alias("a"), F.col("v").alias("b"))
@@ -29,8 +31,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Null ends and loops are dropped. Alternating large and small stars take a number of rounds that grows with the logarithm
     of the component sizes; each round is a table in the shared folder, so lost executors cost one round at most. A node
-    with very many links is pre-aggregated, and the joins can be split by adaptive execution. Nothing is collected but two
-    numbers a round.
+    with very many links is pre-aggregated, and both sides of each join come from tables by exchanges of the join's own, so
+    that adaptive execution can split such a node's rows. Nothing is collected but two numbers a round.
     """
     edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct()
     edges = materialise(edges, "links")

@@ -26,7 +26,8 @@ class PieceCoder:
     such pieces the whole text is one word. Each newly met word is checked against the library; a difference raises.
     """
 
-    most = 500_000
+    #: How many bytes the remembered words may take, by a rough count.
+    most = 128_000_000
 
     def __init__(self, model: bytes):
         import sentencepiece
@@ -58,6 +59,7 @@ class PieceCoder:
         self.marked: dict[str, tuple[int, ...]] = {}
         self.bare: dict[str, tuple[int, ...]] = {}
         self.new: list[tuple[str, bool]] = []
+        self.held = 0
 
     def merge(self, text: str) -> tuple[int, ...]:
         """The ids of a text in which space marks stand for spaces."""
@@ -94,15 +96,17 @@ class PieceCoder:
         memo = self.marked if marked else self.bare
         ids = memo[word] = self.merge((SPACE if marked else "") + word.replace(" ", SPACE))
         self.new.append((word, marked))
+        self.held += 200 + 4 * len(word) + 8 * len(ids)
         return ids
 
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
-        if len(self.marked) + len(self.bare) > self.most:
+        if self.held > self.most:
             self.check()
             self.marked.clear()
             self.bare.clear()
+            self.held = 0
         if SPACE in text:
             text = text.replace(SPACE, " ")
         if not self.by_word:

@@ -61,7 +61,8 @@ def quality_rules(
     A line of any length that has a word is above the limits if more than ``max_docs`` documents of the host and more than
     ``max_share`` of them hold it; such lines are the host's furniture. A document is depleted if, without them, it has
     under ``min_words`` words or under ``min_left_share`` of its words. ``kept`` is false if a base rule fails or if the
-    document is depleted. ``boilerplate`` lists the digests of the lines to remove.
+    document is depleted. ``boilerplate`` lists the digests of the lines to remove. ``host`` and ``text_hash`` (XXH64 of the
+    text) come along, so that a caller can tell rows of one id apart.
 
     Null texts have no words and fail. A null host is a host of its own. Rows that share an id count as one document of a
     host; a null id counts as one document. An empty table gives an empty result. Other columns are not read.
@@ -90,6 +91,7 @@ def quality_rules(
     depleted = (left < min_words) | (left < min_left_share * F.col("n_words"))
     return out.select(
         "doc_id",
+        "host",
         "text_hash",
         *figures,
         failed.alias("base_failed"),

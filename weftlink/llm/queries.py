@@ -24,7 +24,7 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents")).drop("text_hash", "boilerplate", "depleted")
+    return quality_rules(table(spark, sf_dir, "documents")).drop("host", "text_hash", "boilerplate", "depleted")
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,11 +121,10 @@ keyed AS (SELECT doc_id, i, ws[i:i + 4] AS five FROM win),
 twice AS (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, five) AS c FROM keyed) WHERE c > 1),
 rep AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM twice GROUP BY doc_id),
 l AS (SELECT doc_id, host, len({_WORDS.format("line")}) AS n, {_KEY} AS k FROM (SELECT doc_id, host, unnest(ls) AS line FROM w)),
-short AS (SELECT DISTINCT doc_id, host, k, n FROM l WHERE n <= 20),
 hosts AS (SELECT host, count(DISTINCT doc_id) AS host_docs FROM d GROUP BY host),
-above AS (SELECT host, k FROM short JOIN hosts USING (host) GROUP BY host, k, host_docs
+above AS (SELECT host, k FROM l JOIN hosts USING (host) GROUP BY host, k, host_docs
   HAVING count(DISTINCT doc_id) > 10 AND count(DISTINCT doc_id) > 0.01::DOUBLE * host_docs),
-gone AS (SELECT doc_id, sum(n)::BIGINT AS n_line_words FROM l JOIN above USING (host, k) WHERE n <= 20 GROUP BY doc_id),
+gone AS (SELECT doc_id, sum(n)::BIGINT AS n_line_words FROM l JOIN above USING (host, k) GROUP BY doc_id),
 b AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
   (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
   coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(n_line_words, 0)::BIGINT AS n_line_words

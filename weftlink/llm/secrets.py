@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import digest, materialise
@@ -17,35 +17,41 @@ KINDS = {
 BASE = ("assign", "access", "hex")
 
 
-def _spans(rows: DataFrame, kind: str) -> DataFrame:
-    """Adds the kind's spans as an array: start and end in code points (end exclusive), digest of the secret.
+#: A match before its place is known: kind, code points since the match before it, its length, digest of the secret (null: no span).
+MATCH = "array<struct<kind:int,gap:int,len:int,h:binary>>"
 
-    The pieces between matches give the places: a match starts where the pieces and matches before it end.
-    """
+
+def _matches(kind: str) -> Column:
+    """The kind's matches in the text, in order; the pieces between matches give the gaps."""
     pattern, group, least = KINDS[kind]
-    m, v, p = f"_m_{kind}", f"_v_{kind}", f"_p_{kind}"
-    rows = rows.withColumn(m, F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
-    some = F.size(m) > 0
-    rows = rows.withColumn(v, F.when(some, F.regexp_extract_all("text", F.lit(pattern), F.lit(group))) if group else F.when(some, F.col(m)))
-    rows = rows.withColumn(p, F.when(some, F.split("text", pattern)))
-    lengths = F.zip_with(F.slice(p, 1, F.size(m)), m, lambda a, b: F.struct(F.length(a).alias("p"), F.length(b).alias("m")))
-    nothing = F.expr("array()").cast("array<int>")
-    starts = F.aggregate(
-        lengths,
-        F.struct(F.lit(0).alias("o"), nothing.alias("a")),
-        lambda acc, x: F.struct((acc["o"] + x["p"] + x["m"]).alias("o"), F.concat(acc["a"], F.array(acc["o"] + x["p"])).alias("a")),
-    )["a"]
-    rows = rows.withColumn(f"_s_{kind}", F.when(some, starts))
+    whole = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
+    secret = F.regexp_extract_all("text", F.lit(pattern), F.lit(group))
+    fits = lambda v: F.length(v) >= least
+    if kind == "owned":
+        fits = lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]")
     found = F.transform(
-        F.arrays_zip(F.col(f"_s_{kind}").alias("s"), F.col(m).alias("m"), F.col(v).alias("v")),
-        lambda x: F.struct(x["s"].alias("start"), F.lit(list(KINDS).index(kind)).alias("kind"), (x["s"] + F.length(x["m"])).alias("end"), x["v"].alias("v")),
+        F.arrays_zip(F.split("text", pattern).alias("gap"), whole.alias("m"), secret.alias("v")),
+        lambda x: F.struct(F.lit(list(KINDS).index(kind)).alias("kind"), F.length(x["gap"]).alias("gap"), F.length(x["m"]).alias("len"), F.when(fits(x["v"]), digest(x["v"])).alias("h")),
     )
-    fits = F.filter(found, lambda x: F.length(x["v"]) >= least)
-    if kind == "owned":
-        fits = F.filter(fits, lambda x: x["v"].rlike("[0-9]") & x["v"].rlike("[A-Za-z]"))
-    hashed = F.transform(fits, lambda x: F.struct(x["start"], x["kind"], x["end"], digest(x["v"]).alias("h")))
-    empty = F.expr("array()").cast("array<struct<start:int,kind:int,end:int,h:binary>>")
-    return rows.withColumn(f"_x_{kind}", F.coalesce(hashed, empty)).drop(m, v, p, f"_s_{kind}")
+    # One piece more than matches: the one behind the last.
+    return F.when(F.col("text").rlike(pattern), F.slice(found, 1, F.size(found) - 1)).otherwise(F.expr("array()").cast(MATCH)).cast(MATCH)
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """``row, doc_id, owner, kind, start, end, h``: one row per span; further tokens only where they overlap no base span.
+
+    Places are running sums of gaps and lengths. Of the base spans that start no later than a token, the one that ends last
+    must end before it; of those that start later, the first must start behind it: two running figures, one from each side.
+    """
+    each = rows.select("row", "doc_id", "owner", F.posexplode("matches").alias("pos", "x")).select("row", "doc_id", "owner", "pos", "x.*").repartition("row")
+    upto = Window.partitionBy("row", "kind").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    each = each.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(upto).cast("int")).withColumn("start", F.col("end") - F.col("len")).where("h IS NOT NULL")
+    before = Window.partitionBy("row").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
+    behind = Window.partitionBy("row").orderBy(F.col("start").desc()).rangeBetween(Window.unboundedPreceding, 0)
+    base = F.col("kind") < len(BASE)
+    each = each.withColumn("last_end", F.max(F.when(base, F.col("end"))).over(before)).withColumn("next_start", F.min(F.when(base, F.col("start"))).over(behind))
+    overlaps = (F.coalesce("last_end", F.lit(0)) > F.col("start")) | (F.coalesce(F.col("next_start") < F.col("end"), F.lit(False)))
+    return each.where(base | ~overlaps).select("row", "doc_id", "owner", "kind", "start", "end", "h")
 
 
 def span_text(spans: Column) -> Column:
@@ -57,46 +63,47 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Spans of secrets, each judged by how many owners and repositories hold its value; one row per input row.
 
     Base kinds are ``assign``, ``access`` and ``hex``. The method hashes the secret of each span, and of each further token
-    of 20 or more key characters with both a letter and a digit, and counts over the whole corpus the distinct owners
-    (``owner_col``) and repositories (documents) of each hash. A value of at most ``max_owners`` owners and ``max_repos``
-    repositories is owner-specific and looks live; a wider spread marks a copied example. Live further tokens that overlap no
-    base span are added as kind ``owned``; base spans always stay. ``n_live`` and ``n_example`` count all spans by verdict.
+    of 20 or more key characters with both a letter and a digit that overlaps no base span, and counts over the whole corpus the
+    distinct owners (``owner_col``) and repositories (documents) of each hash. A value of at most ``max_owners`` owners and
+    ``max_repos`` repositories is owner-specific and looks live; a wider spread marks a copied example. Live further tokens
+    are added as kind ``owned``; base spans always stay. ``n_live`` and ``n_example`` count all spans by verdict.
 
     Null texts are empty. Null owners count as one owner, null ids as one repository; rows that share an id are one
     repository. An empty table gives an empty result. Other columns are not read.
 
-    The text is read once, into a table of spans in the shared folder. A value held by many rows is pre-aggregated.
+    The text is read once, into a table of matches in the shared folder; places and overlaps are running figures over the
+    exploded matches, so a text costs no more than sorting them. A value held by many rows is pre-aggregated, and the
+    join that judges its rows is one that adaptive execution can split.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(owner_col).alias("owner"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    for kind in KINDS:
-        rows = _spans(rows, kind)
-    base = F.concat(*[F.col(f"_x_{k}") for k in BASE])
-    rows = rows.withColumn("base", F.array_sort(base))
-    clear = F.filter("_x_owned", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    rows = materialise(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "owner", "base", clear.alias("more")), "secrets")
-
-    each = rows.select("row", "doc_id", "owner", F.explode(F.concat("base", "more")).alias("x"))
-    held = each.groupBy(F.col("x.h").alias("h"), "owner", "doc_id").agg(F.lit(1).alias("one"))
+    rows = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "owner", F.concat(*[_matches(k) for k in KINDS]).alias("matches"))
+    rows = materialise(rows, "secrets")
+    spans = materialise(_placed(rows), "spans")
+
+    held = spans.groupBy("h", "owner", "doc_id").agg(F.lit(1).alias("one"))
     by_owner = held.groupBy("h", "owner").agg(F.count("one").alias("n"))
-    spread = by_owner.groupBy("h").agg(F.count(F.lit(1)).alias("owners"), F.sum("n").alias("held"))
+    spread = by_owner.groupBy("h").agg(F.count(F.lit(1)).alias("owners"))
     repos = held.groupBy("h", "doc_id").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count("one").alias("repos"))
     spread = spread.join(repos, "h").where((F.col("owners") <= max_owners) & (F.col("repos") <= max_repos)).select(F.col("h").alias("l_h"))
-    judged = each.join(spread, F.col("x.h") == F.col("l_h"), "left").withColumn("live", F.col("l_h").isNotNull())
-    place = F.struct("x.start", "x.kind", "x.end")
-    added = F.when(F.col("live") & (F.col("x.kind") == len(BASE)), place)
+    judged = spans.join(materialise(spread, "live"), F.col("h") == F.col("l_h"), "left").withColumn("live", F.col("l_h").isNotNull())
+    base, live, place = F.col("kind") < len(BASE), F.col("live"), F.struct("start", "kind", "end")
     judged = judged.groupBy("row").agg(
-        F.sum(F.col("live").cast("long")).alias("live"), F.sum(((F.col("x.kind") < len(BASE)) & ~F.col("live")).cast("long")).alias("example"), F.collect_list(added).alias("added")
+        *[F.count_if(F.col("kind") == k).alias(f"n_{BASE[k]}") for k in range(len(BASE))],
+        F.sort_array(F.collect_list(F.when(base, place))).alias("base"),
+        F.sort_array(F.collect_list(F.when(base | live, place))).alias("all"),
+        F.count_if(~base & live).alias("n_owned"),
+        F.count_if(live).alias("n_live"),
+        F.count_if(base & ~live).alias("n_example"),
     )
-    out = rows.join(judged, "row", "left")
-    plain = F.transform("base", lambda x: F.struct(x["start"], x["kind"], x["end"]))
+    out = rows.select("row", "doc_id").join(judged, "row", "left")
+    figure = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     none = F.expr("array()").cast("array<struct<start:int,kind:int,end:int>>")
-    count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == list(KINDS).index(k))).cast("long").alias(f"n_{k}")
     return out.select(
         "doc_id",
-        *[count(k) for k in BASE],
-        span_text(plain).alias("base_spans"),
-        span_text(F.array_sort(F.concat(plain, F.coalesce("added", none)))).alias("spans"),
-        F.size(F.coalesce("added", none)).cast("long").alias("n_owned"),
-        F.coalesce("live", F.lit(0)).alias("n_live"),
-        F.coalesce("example", F.lit(0)).alias("n_example"),
+        *[figure(f"n_{k}") for k in BASE],
+        span_text(F.coalesce("base", none)).alias("base_spans"),
+        span_text(F.coalesce("all", none)).alias("spans"),
+        figure("n_owned"),
+        figure("n_live"),
+        figure("n_example"),
     )

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .common import batches, materialise
 from .components import components
+from .ngrams import mix
 
 
 def fingerprint(text: str | None, size: int = 3, seed: int = 42) -> int:
@@ -54,17 +55,37 @@ def _split(points: np.ndarray, radius: int) -> tuple[np.uint64, int] | None:
     return best and best[1:]
 
 
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a.astype(np.uint64) << np.uint64(32)) | b.astype(np.uint64)
+
+
+def _by_hash(pairs: np.ndarray) -> np.ndarray:
+    return (mix(pairs) >> np.uint64(17)) & np.uint64(1) == 1
+
+
 class Router:
     """The upper levels of the tree: which shards can hold a neighbour of a fingerprint.
 
     Built on a bounded sample. A fingerprint's home is the shard it falls into; it also visits each shard that the triangle
-    bound cannot rule out: left of a bound mu if d - radius <= mu, right of it if d + radius > mu. As links are symmetric, only
-    shards numbered above the home are visited.
+    bound cannot rule out: left of a bound mu if d - radius <= mu, right of it if d + radius > mu. As links are symmetric, of two
+    shards only one visits the other: the one that has fewer points to send by the sample, or by a hash of both numbers where
+    the sample says nothing. So no shard receives from all others.
     """
 
     def __init__(self, sample: np.ndarray, shards: int, radius: int):
         self.radius, self.leaves = radius, 0
         self.root = self._build(sample, shards)
+        self.turned = np.empty(0, np.uint64)
+        at, shard, home = self._down(sample)
+        own = home[at]
+        pair, seen = np.unique(_pair(own, shard)[own != shard], return_counts=True)
+        up = pair >> np.uint64(32) < pair & np.uint64(0xFFFFFFFF)
+        both = np.where(up, pair, (pair << np.uint64(32)) | (pair >> np.uint64(32)))
+        order = np.argsort(both, kind="stable")
+        keys, first = np.unique(both[order], return_index=True)
+        if len(keys):
+            balance = np.add.reduceat(np.where(up, seen, -seen)[order], first)
+            self.turned = keys[(balance < 0) != _by_hash(keys)]
 
     def _build(self, points: np.ndarray, shards: int):
         cut = _split(points, self.radius) if shards > 1 and len(points) >= 16 else None
@@ -76,8 +97,8 @@ class Router:
         share = max(1, min(shards - 1, round(shards * left.mean())))
         return v, mu, self._build(points[left], share), self._build(points[~left], shards - share)
 
-    def route(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(index of the point, shard, whether it is the home) of every visit."""
+    def _down(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(index of the point, shard) of every shard that the bounds cannot rule out, and each point's home."""
         home = np.zeros(len(points), np.int32)
         out = []
 
@@ -94,7 +115,22 @@ class Router:
 
         down(self.root, np.arange(len(points)), np.ones(len(points), bool))
         at, shard = (np.concatenate(x) for x in zip(*out, strict=True))
-        keep = shard >= home[at]
+        return at, shard, home
+
+    def _visits(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether shard ``a`` visits shard ``b``: true for just one direction of each pair."""
+        pairs = _pair(np.minimum(a, b), np.maximum(a, b))
+        rises = _by_hash(pairs)
+        if len(self.turned):
+            at = np.minimum(np.searchsorted(self.turned, pairs), len(self.turned) - 1)
+            rises ^= self.turned[at] == pairs
+        return (a < b) == rises
+
+    def route(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(index of the point, shard, whether it is the home) of every visit."""
+        at, shard, home = self._down(points)
+        own = home[at]
+        keep = (shard == own) | self._visits(own, shard)
         at, shard = at[keep], shard[keep]
         return at, shard, shard == home[at]
 
@@ -153,7 +189,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Texts are read once, into a table of fingerprints. Equal fingerprints are one point, so copies cost no comparisons. A tree
     over a hash sample of at most ``sample`` points, the only fingerprints the driver sees, deals all points to about
     sqrt(n) / ``shard_points`` shards with overlap at the bounds; each shard searches its own tree exactly and returns a
-    forest, and star contractions join the forests.
+    forest, and star contractions join the forests. Of uniform fingerprints a point visits 6.8 shards at 1 M points and 9.3 at
+    4 M, and the largest shard is 2.3 and 2.1 times the mean.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
@@ -183,8 +220,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     edges = batches(points.select("fp"), visits, "shard int, fp long, home boolean").groupBy("shard").applyInArrow(search, "a long, b long")
     roots = components(edges)
-    of = points.join(roots, points["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = of.groupBy("root").agg(F.min("least").alias("component_id"))
+    of = materialise(points.join(roots, points["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
+    # Tables of their own, so that the rows of a large component can be split in the join.
+    least = materialise(of.groupBy("root").agg(F.min("least").alias("component_id")), "classes")
     classes = of.join(least, "root").select(F.col("fp").alias("c_fp"), "component_id")
     out = found.join(classes, found["fp"] == classes["c_fp"], "left")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
