@@ -1,11 +1,16 @@
-"""A corpus pipeline of five stages: quality rules, line dedup, near-duplicates, decontamination, tokens."""
+"""A corpus pipeline of five stages: quality rules, line dedup, near-duplicates, decontamination, tokens.
+
+A stage decides on rows, not on ids: a row is known by its id, its text and, where hosts matter, its host. So a null or
+repeated id carries no decision from one text to another.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
-from weftlink.llm.common import materialise, table
+from weftlink.llm.common import digest, materialise, table
 from weftlink.llm.decontaminate import contained_items
 from weftlink.llm.line_dedup import line_dedup
 from weftlink.llm.pieces import encode_decode, read_model
@@ -16,6 +21,20 @@ from weftlink.llm.simhash import near_duplicates
 ORACLE_SQL = None
 
 
+def _fresh(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def _row_key() -> Column:
+    """What tells rows apart: null ids behind all others, then the id, then the text (null reads as empty)."""
+    text = digest(F.coalesce("text", F.lit("")))
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), text.alias("text"))
+
+
 def _with_text(docs: DataFrame, rows: DataFrame, text: str) -> DataFrame:
     """``rows`` with the columns of ``docs``: the text from column ``text``, and its length where ``docs`` lists one."""
     new = {"text": F.col(text)}
@@ -25,36 +44,68 @@ def _with_text(docs: DataFrame, rows: DataFrame, text: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go; the others lose their host's furniture lines."""
-    judged = quality_rules(docs).groupBy("doc_id", "text_hash").agg(F.bool_and("kept").alias("kept"), F.first("boilerplate").alias("lines"))
-    judged = judged.where("kept").select(F.struct("doc_id", "text_hash", "lines").alias("_judged"))
-    own = F.coalesce(docs["text"], F.lit(""))
-    kept = docs.join(judged, docs["doc_id"].eqNullSafe(F.col("_judged.doc_id")) & (F.xxhash64(own) == F.col("_judged.text_hash")))
-    return _with_text(docs, kept.withColumn("_new_text", without_boilerplate(F.coalesce(docs["text"], F.lit("")), F.col("_judged.lines"))), "_new_text")
+    """Rejected documents go; the others lose their host's furniture lines.
+
+    Null and empty texts have too few words and go, long ones are judged whole. Rows that share an id are judged each by
+    their own text and host, so rows equal in all three stay or go together. Null ids and hosts are values like any other.
+    An empty table gives an empty one; further columns pass through under any name.
+    """
+    key, lines, text = _fresh(docs, "_key"), _fresh(docs, "_lines"), _fresh(docs, "_new_text")
+    judged = quality_rules(docs).where("kept").select(F.struct("doc_id", "host", "text_hash").alias("judged"), "boilerplate")
+    judged = judged.groupBy("judged").agg(F.first("boilerplate").alias(lines))  # equal rows have equal lines
+    own = F.struct(docs["doc_id"].alias("doc_id"), docs["source"].alias("host"), F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("text_hash"))
+    kept = docs.withColumn(key, own).join(judged, F.col(key) == F.col("judged"))
+    return _with_text(docs, kept.withColumn(text, without_boilerplate(F.coalesce(docs["text"], F.lit("")), F.col(lines))), text)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that many documents share stay in one of them."""
+    """Lines that many documents share stay in the largest id that holds them.
+
+    No row goes: there is one row per input row, repeated ones included, each cut on its own. Null texts become one empty
+    line; a null id counts as one document, smaller than any other. Texts of any length are cut whole. An empty table gives
+    an empty one; further columns pass through under any name.
+    """
     others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    text = _fresh(docs, "_new_text")
     found = line_dedup(docs, carry=others)
-    found = found.select("doc_id", F.col("text").alias("_new_text"), *([F.col(f"carried.`{c}`").alias(c) for c in others]))
-    return _with_text(docs, found, "_new_text")
+    found = found.select("doc_id", F.col("text").alias(text), *[F.col(f"carried.`{c}`").alias(c) for c in others])
+    return _with_text(docs, found, text)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the smallest id."""
-    firsts = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.struct("doc_id").alias("_first")).distinct()
-    return docs.join(firsts, docs["doc_id"].eqNullSafe(F.col("_first.doc_id")), "left_semi")
+    """One row of each class of near-duplicates stays: the one with the smallest id, null ids behind all others.
+
+    Ties of one id go to the smaller text digest, and of rows equal in id and text one stays, by a hash of all columns.
+    Null, empty and blank texts are one class, long texts are read whole. An empty table gives an empty one; further columns pass
+    through under any name.
+    """
+    key, place = _fresh(docs, "_key"), _fresh(docs, "_place")
+    keyed = docs.withColumn(key, _row_key())
+    firsts = near_duplicates(keyed, id_col=key).where("doc_id = component_id").select(F.col("doc_id").alias("first")).distinct()
+    whole = F.xxhash64(*[docs[c] for c in docs.columns if not isinstance(docs.schema[c].dataType, MapType)])
+    kept = keyed.join(firsts, F.col(key) == F.col("first"), "left_semi")
+    kept = kept.withColumn(place, F.row_number().over(Window.partitionBy(key).orderBy(whole))).where(F.col(place) == 1)
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a test item go."""
-    found = contained_items(docs, table(spark, sf_dir, "benchmark")).select(F.struct("doc_id").alias("_found")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("_found.doc_id")), "left_anti")
+    """Rows whose text holds a test item go, all that are equal in id and text; no other row does.
+
+    Null and empty texts hold no item and stay, long texts are searched whole. Null and repeated ids lose only the rows whose
+    own text holds an item. An empty table gives an empty one; further columns pass through under any name.
+    """
+    key = _fresh(docs, "_key")
+    keyed = docs.withColumn(key, _row_key())
+    found = contained_items(keyed, table(spark, sf_dir, "benchmark"), id_col=key).select(F.col("doc_id").alias("found")).distinct()
+    return keyed.join(found, F.col(key) == F.col("found"), "left_anti").drop(key)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, n_tokens, ids, decoded`` of every document that is left."""
+    """``doc_id, n_tokens, ids, decoded`` of every row that is left, one per row, repeated rows and null ids included.
+
+    Null and empty texts have no tokens; long texts are encoded whole. An empty table gives an empty one; other columns are
+    not read.
+    """
     return encode_decode(docs, read_model()).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 
