@@ -1,5 +1,6 @@
 """SentencePiece, language model, PII and URL filters."""
 
+import itertools
 import math
 import random
 from collections import Counter
@@ -8,6 +9,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from weftlink.llm.language_model import LogBilinear, lm_scores
 from weftlink.llm.pieces import PieceCoder, encode_decode, read_model
@@ -159,8 +161,71 @@ def test_url_mined(spark):
     assert all(got[i] == ("block" if i % 4 in (0, 2) else "allow") for i in range(400))
 
 
+def expanded(rules, classes):
+    """Mined rules as (confidence, sets of alternative tokens)."""
+    members = {}
+    for c in classes.collect():
+        members.setdefault(c["item"], set()).add(c["token"])
+    return [(r["confidence"], [members[i] for i in r["items"]]) for r in rules.collect()]
+
+
+def brute_rules(data, min_support, min_confidence, min_rows, max_share):
+    """All token sets by counting: (confidence, set) of those that reach the limits."""
+    least = max(min_support, min_rows / len(data)) * len(data)
+    count = Counter(t for tokens, _ in data for t in set(tokens))
+    tokens = sorted(t for t, n in count.items() if n >= least and n <= max_share * len(data))
+    out = []
+    for n in range(1, len(tokens) + 1):
+        for some in itertools.combinations(tokens, n):
+            held = [bad for own, bad in data if set(some) <= set(own)]
+            if sum(held) >= least and sum(held) / len(held) >= min_confidence:
+                out.append((sum(held) / len(held), set(some)))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_mining_against_counting(spark, seed):
+    """Every set of tokens gets the surest confidence that counting all token sets gives."""
+    r = random.Random(seed)
+    tokens = list("abcdefg")
+    data = []
+    for _ in range(120):
+        own = [t for t in tokens if r.random() < 0.4]
+        own += ["x", "y"] if "a" in own else []
+        own += ["all"]
+        data.append((own, r.random() < (0.9 if {"a", "b"} <= set(own) or "g" in own else 0.2)))
+    df = spark.createDataFrame([(i, t, b) for i, (t, b) in enumerate(data)], "row long, tokens array<string>, bad boolean")
+    mined = expanded(*mine_rules(df, 0.05, 0.7))
+    plain = brute_rules(data, 0.05, 0.7, 5, 0.95)
+    assert plain
+    for n in range(4):
+        for some in itertools.combinations([*tokens, "x", "all"], n):
+            got = max((c for c, sets in mined if all(s & set(some) for s in sets)), default=None)
+            want = max((c for c, own in plain if own <= set(some)), default=None)
+            assert got == pytest.approx(want) if want is not None else got is None, some
+
+
+def test_joint_tokens_do_not_explode(spark):
+    joint = [f"t{k}" for k in range(25)]
+    df = spark.createDataFrame([(i, [*joint, f"o{i % 3}"], i % 10 > 0) for i in range(60)] + [(100 + i, ["c"], False) for i in range(60)], "row long, tokens array<string>, bad boolean")
+    found = expanded(*mine_rules(df))
+    assert (pytest.approx(0.9), [set(joint)]) in found
+
+
+def test_url_filter_after_repartition(spark):
+    """The same verdicts however the pages are dealt, and from a plan whose partitions change."""
+    urls = [(i, f"http://{('spam', 'news')[i % 2]}.example.io/{'win' if i % 4 == 0 else 'a'}/{i}") for i in range(200)]
+    pages = spark.createDataFrame(urls, "page_id long, url string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(150)], "doc_id long, quality int, toxic int")
+    want = rows(url_filter(pages, labels), "page_id", "verdict", "confidence")
+    assert {v for _, v, _ in want} == {"allow", "block"}
+    assert rows(url_filter(pages.repartition(7, F.rand()), labels), "page_id", "verdict", "confidence") == want
+
+
 def test_mined_rules_are_minimal(spark):
-    df = spark.createDataFrame([(["a", "b"], True)] * 20 + [(["c"], False)] * 20, "tokens array<string>, bad boolean")
-    assert sorted(tuple(r["tokens"]) for r in mine_rules(df).collect()) == [("a",), ("b",)]
+    df = spark.createDataFrame([(i, ["a", "b"], True) for i in range(20)] + [(i, ["c"], False) for i in range(20, 40)], "row long, tokens array<string>, bad boolean")
+    rules, classes = mine_rules(df)
+    assert [tuple(r["items"]) for r in rules.collect()] == [("a",)]
+    assert {(r["token"], r["item"]) for r in classes.collect()} == {("a", "a"), ("b", "a"), ("c", "c")}
     one = spark.createDataFrame([("http://a.b.com/x1/y?u=1&v=2#k",)], "u string")
     assert one.select(url_tokens(one["u"]).alias("t")).first()["t"] == ["host:a", "host:b", "host:com", "path:x#", "path:y", "query:u", "query:v"]
