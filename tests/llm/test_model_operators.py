@@ -1,8 +1,11 @@
 """SentencePiece, language model, PII and URL filters."""
 
+import datetime
+import hashlib
 import itertools
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -92,6 +95,7 @@ def test_pii_replaces_and_restores():
     values = [new[a:b] for a, b, _, _ in p.spans(new)]
     assert len(values) == len(spans) and all(v not in PII for v in values)
     assert p.replace(new, back=True)[0] == PII
+    assert re.split("/", values[6])[::-1][0] == values[7].split(".")[2] and sorted(re.split("[/.]", values[6])) == sorted(values[7].split("."))
     cards = ["".join(c for c in v if c.isdigit()) for v in values[3:5]]
     assert cards[0] == cards[1] and luhn(cards[0])  # one value, written in two ways, stays one value
     assert iban_rest(values[8].replace(" ", "")) == 1
@@ -115,10 +119,100 @@ def test_pii_leaves_invalid():
 
 def test_pseudonymise(spark):
     docs = [*B.EDGES, (20, PII), (21, "again +1 (988) 555-2485"), (None, "70.123.182.155")]
-    got = pseudonymise(B.frame(spark, docs, clash=True))
-    p = Pseudonyms(b"weftlink")
+    got = pseudonymise(B.frame(spark, docs, clash=True), b"key")
+    p = Pseudonyms(b"key")
     assert rows(got, "doc_id", "text", "n_found") == sorted([(i, p.replace(t)[0], len(p.replace(t)[1])) for i, t in docs], key=str)
-    assert pseudonymise(B.frame(spark, [])).count() == 0
+    assert pseudonymise(B.frame(spark, []), b"key").count() == 0
+    with pytest.raises(ValueError, match="key"):
+        pseudonymise(B.frame(spark, []), b"")
+
+
+def planted(r):
+    """(kind, value, ways to write it) of random personal values; plain arithmetic, nothing of the operator's."""
+    kind = r.choice(["date", "phone", "card", "ssn", "ip"])
+    if kind == "date":
+        d = datetime.date(r.randint(1900, 2099), r.randint(1, 12), r.randint(1, 28))
+        ways = [d.isoformat(), f"{d.day:02d}.{d.month:02d}.{d.year}", f"{d.day:02d}/{d.month:02d}/{d.year}"] + ([f"{d.month:02d}/{d.day:02d}/{d.year}"] if d.day > 12 else [])
+        return kind, d.isoformat(), ways
+    if kind == "phone":
+        a, b, c = r.randint(200, 999), r.randint(200, 999), r.randint(0, 9999)
+        return kind, f"1{a}{b}{c:04d}", [f"+1{a}{b}{c:04d}", f"+1 {a} {b} {c:04d}", f"({a}) {b}-{c:04d}", f"{a}-{b}-{c:04d}", f"+1-{a}-{b}-{c:04d}"]
+    if kind == "card":
+        body = [4, *(r.randint(0, 9) for _ in range(14))]
+        check = -sum(sum(divmod(2 * x, 10)) if k % 2 == 0 else x for k, x in enumerate(body)) % 10
+        n = "".join(map(str, [*body, check]))
+        return kind, n, [n, "-".join(n[i : i + 4] for i in (0, 4, 8, 12)), " ".join(n[i : i + 4] for i in (0, 4, 8, 12))]
+    if kind == "ssn":
+        a = r.choice([r.randint(1, 665), r.randint(667, 899)])
+        s = f"{a:03d}-{r.randint(1, 99):02d}-{r.randint(1, 9999):04d}"
+        return kind, s, [s]
+    ip = f"{r.randint(11, 99)}.{r.randint(0, 255)}.{r.randint(0, 255)}.{r.randint(0, 255)}"
+    return kind, ip, [ip]
+
+
+def reading(kind, text):
+    """The value that a written form stands for."""
+    digits = re.sub("[^0-9]", "", text)
+    if kind == "date":
+        x, y, z = re.split("[-/.]", text)
+        return text if len(x) == 4 else f"{z}-{y}-{x}" if int(y) <= 12 else f"{z}-{x}-{y}"
+    if kind == "phone":
+        return digits if text[0] == "+" else "1" + digits
+    return digits if kind == "card" else text
+
+
+def test_pseudonyms_of_planted_values(spark):
+    """One value has one pseudonym in all texts and formats, no two share one, all else in a text stays, and all is restored."""
+    r = random.Random(6)
+    values = [planted(r) for _ in range(150)]
+    docs, own = [], []
+    for i in range(300):
+        some = [(k, v, r.choice(ways)) for k, v, ways in r.choices(values, k=r.randint(0, 4))]
+        docs.append((i, "; ".join(["text here", *(w for _, _, w in some), "end"])))
+        own.append(some)
+    seen: dict[tuple, set] = {}
+    for x in pseudonymise(B.frame(spark, docs), b"key").collect():
+        some = own[x["doc_id"]]
+        first, *new, last = x["text"].split("; ")
+        assert (first, last, len(new), x["n_found"]) == ("text here", "end", len(some), len(some))
+        for (kind, value, way), text in zip(some, new, strict=True):
+            assert re.sub("[0-9]+" if kind == "ip" else "[0-9]", "0", text) == re.sub("[0-9]+" if kind == "ip" else "[0-9]", "0", way)
+            seen.setdefault((kind, value), set()).add(reading(kind, text))
+        assert Pseudonyms(b"key").replace(x["text"], back=True)[0] == docs[x["doc_id"]][1]
+    assert len(seen) > 100 and all(len(v) == 1 for v in seen.values())
+    news = [(k[0], *v) for k, v in seen.items()]
+    assert len(set(news)) == len(news) and sum(k == n[:2] for k, n in zip(seen, news, strict=True)) <= 2
+
+
+def test_dates_are_permuted_whole():
+    """Over all days from 1900 to 2099 no two share a pseudonym, and days past the 12th stay among each other."""
+    p, days = Pseudonyms(b"key"), [datetime.date(1900, 1, 1) + datetime.timedelta(d) for d in range(73_049)]
+    new = [p._date(d.isoformat(), False) for d in days]
+    assert len(set(new)) == len(days) and all((int(n[8:]) > 12) == (d.day > 12) for d, n in zip(days, new, strict=True))
+
+
+def plain_feistel(key, tag, size, x):
+    """The permutation in plain words: two numbers of about the root's size take turns in adding a keyed hash of the other."""
+    key = hashlib.blake2b(key, digest_size=32).digest()
+    a = next(k for k in itertools.count(math.isqrt(size)) if k * k >= size)
+    b = math.ceil(size / a)
+    f = lambda k, v: int.from_bytes(hashlib.blake2b(f"{tag}:{size}|{k}|{v}".encode(), key=key, digest_size=32).digest(), "big")
+    while True:
+        left, right = x // b, x % b
+        for k in (0, 2, 4, 6):
+            right = (right + f(k, left)) % b
+            left = (left + f(k + 1, right)) % a
+        x = left * b + right
+        if x < size:
+            yield x
+
+
+def test_feistel_against_plain():
+    p = Pseudonyms(b"key")
+    for text in ("123-45-6789", "899-01-0001"):
+        valid = lambda s: s[:3] not in ("000", "666") and s[0] != "9" and s[3:5] != "00" and s[5:] != "0000"
+        want = next(s for s in (f"{x:09d}" for x in plain_feistel(b"key", "ssn", 10**9, int(text.replace("-", "")))) if valid(s))
+        assert p.value("ssn", text).replace("-", "") == want
 
 
 URLS = [

@@ -4,62 +4,94 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches
+from .common import batches, materialise
 from .ngrams import ngram_hashes, split_words, text_hashes
 
 TABLE_BITS = 20
 
 
-class Sketches:
-    """MinHash sketches of one block of test items, and their shingles for the exact check.
+class SizeClass:
+    """The items of one size class: an inverted index over their MinHash sketches, and the hits that each needs.
 
-    Items are partitioned by size: n distinct shingles fall into the class of the next power of two, m. An item of the class
-    keeps its ``missing * m + 1`` smallest shingle hashes (all, if it has fewer). A text with at least ``1 - missing`` of the
-    item's shingles lacks at most ``missing * n`` of them, so it holds one of the sketch: the search loses no item.
+    The class holds items of over m / 2 to m distinct shingles of ``n`` words. A text with the wanted share of an item lacks at
+    most ``missing`` of its shingles, a number that the class bounds by its own m; a sketch is one and a sixteenth of m more
+    than that bound (the whole item, if it has fewer), so such a text holds at least the sketch's size less ``missing`` of it.
+    The search loses no item, and larger classes ask for more hits before an item is compared.
     """
 
-    def __init__(self, items: list[tuple], size: int, percent: int):
-        self.percent = percent
-        self.items = []
-        by_length: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-        for item_id, text in items:
+    def __init__(self, n: int, m: int, percent: int):
+        self.n, self.percent = n, percent
+        self.sketch = (100 - percent) * m // 100 + 1 + m // 16
+        self.items: list[tuple[int, set, np.ndarray]] = []
+        self.need: list[int] = []
+        self.of: dict[int, list[int]] = defaultdict(list)
+
+    def add(self, key: int, strings: set, hashes: np.ndarray) -> None:
+        own = hashes[: self.sketch].tolist()
+        for h in own:
+            self.of[h].append(len(self.items))
+        self.need.append(max(1, len(own) - (100 - self.percent) * len(strings) // 100))
+        self.items.append((key, strings, hashes))
+
+    def close(self) -> None:
+        """Turns the index into sorted keys and their item lists, end to end."""
+        self.keys = np.array(sorted(self.of), np.uint64)
+        lists = [self.of[k] for k in self.keys.tolist()]
+        self.ends = np.cumsum([0, *map(len, lists)])
+        self.lists = np.fromiter((i for x in lists for i in x), np.int32, int(self.ends[-1]))
+        self.coarse = np.zeros(1 << TABLE_BITS, bool)
+        self.coarse[self.keys >> np.uint64(64 - TABLE_BITS)] = True
+        self.need = np.array(self.need)
+        del self.of
+
+    def candidates(self, grams: np.ndarray) -> list[int]:
+        """The items that have enough of their sketch among a text's shingle hashes."""
+        some = np.unique(grams[self.coarse[grams >> np.uint64(64 - TABLE_BITS)]])
+        at = np.searchsorted(self.keys, some)
+        at[at == len(self.keys)] = 0
+        at = at[self.keys[at] == some]
+        if not len(at):
+            return []
+        hits = np.bincount(np.concatenate([self.lists[self.ends[k] : self.ends[k + 1]] for k in at.tolist()]), minlength=len(self.items))
+        return np.flatnonzero(hits >= self.need).tolist()
+
+
+class Sketches:
+    """One block of test items, partitioned by size: a class per shingle length and power of two."""
+
+    def __init__(self, items: list[tuple[int, str]], size: int, percent: int):
+        self.percent, self.classes = percent, {}
+        for key, text in items:
             words = [w.lower() for w in split_words(text)]
             if not words:
                 continue
             n = min(size, len(words))
             strings = {b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)}
-            hashes = np.unique(ngram_hashes(text_hashes(text, lower=True), n))
             m = 1 << max(0, math.ceil(math.log2(len(strings))))
-            for h in hashes[: (100 - percent) * m // 100 + 1].tolist():
-                by_length[n][h].append(len(self.items))
-            self.items.append((item_id, strings, hashes))
-        self.index = {}
-        for n, of in by_length.items():
-            keys = np.array(sorted(of), np.uint64)
-            coarse = np.zeros(1 << TABLE_BITS, bool)
-            coarse[keys >> np.uint64(64 - TABLE_BITS)] = True
-            self.index[n] = keys, coarse, [of[k] for k in keys.tolist()]
+            own = self.classes.setdefault((n, m), SizeClass(n, m, percent))
+            own.add(key, strings, np.unique(ngram_hashes(text_hashes(text, lower=True), n)))
+        for own in self.classes.values():
+            own.close()
 
     def find(self, text: str | None) -> list[tuple]:
-        """(item id, shared, size) of each item of which the text holds the wanted share."""
-        hashed, found, words = text_hashes(text, lower=True), [], None
-        for n, (keys, coarse, of) in self.index.items():
-            grams = ngram_hashes(hashed, n)
-            some = np.unique(grams[coarse[grams >> np.uint64(64 - TABLE_BITS)]])
-            at = np.searchsorted(keys, some)
-            at[at == len(keys)] = 0
-            for i in sorted({i for k in at[keys[at] == some].tolist() for i in of[k]}):
-                item_id, strings, hashes = self.items[i]
+        """(item, shared, size) of each item of which the text holds the wanted share, class by class."""
+        hashed, found, words, grams = text_hashes(text, lower=True), [], None, {}
+        for (n, _), own in self.classes.items():
+            if n not in grams:
+                grams[n] = ngram_hashes(hashed, n)
+            for i in own.candidates(grams[n]):
+                key, strings, hashes = own.items[i]
                 words = words or [w.lower() for w in split_words(text)]
-                places = np.flatnonzero(np.isin(grams, hashes)).tolist()
+                places = np.flatnonzero(np.isin(grams[n], hashes)).tolist()
                 shared = len(strings & {b" ".join(words[p : p + n]) for p in places})
                 if 100 * shared >= self.percent * len(strings):
-                    found.append((item_id, shared, len(strings)))
+                    found.append((key, shared, len(strings)))
         return found
 
 
@@ -80,25 +112,31 @@ def contained_items(
     fewer words is one shingle of all its words, and an item without words is in no document. Null texts have no words.
     Repeated rows give repeated pairs; null ids are carried. Other columns are not read.
 
-    Items are sent to the tasks in blocks of about ``block_chars`` characters each, one pass over the documents per block,
-    so a task's memory does not depend on the size of either table. There is no shuffle.
+    Different item texts are sent to the tasks in blocks of about ``block_chars`` characters each, one pass over the documents
+    per block; a block's pairs are a table in the shared folder before the next block is sent, so memory does not depend on the
+    size of either table, nor on how many items are equal. Documents are not shuffled; pairs meet the item ids in a join.
     """
     spark = docs.sparkSession
-    items = items.select(F.col(item_id_col).alias("item_id"), F.col(item_text_col).alias("text"))
+    items = items.select(F.col(item_id_col).alias("item_id"), F.col(item_text_col).alias("text")).where("text IS NOT NULL")
+    texts = materialise(items.select("text").distinct().select("text", F.monotonically_increasing_id().alias("key")), "item-texts")
+    keys = materialise(items.join(texts, "text").select("item_id", "key"), "items")
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    types = dict(docs.dtypes) | {f"item {k}": v for k, v in items.dtypes}
-    schema = f"doc_id {types['doc_id']}, item_id {types['item item_id']}, n_shared long, n_shingles long"
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, item long, n_shared long, n_shingles long"
+    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = math.ceil(chars / block_chars) or 1
-    out = None
+    parts = []
     for block in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block) if blocks > 1 else items
-        sent = spark.sparkContext.broadcast(Sketches([tuple(r) for r in own.where("text IS NOT NULL").collect()], size, percent))
+        own = texts.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block)
+        sent = spark.sparkContext.broadcast(Sketches([(r["key"], r["text"]) for r in own.collect()], size, percent))
 
         def search(batch, sent=sent):
-            rows = [(d, *x) for d, t in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True) for x in sent.value.find(t)]
-            return dict(zip(("doc_id", "item_id", "n_shared", "n_shingles"), zip(*rows, strict=True), strict=True)) if rows else None
-
-        part = batches(docs, search, schema)
-        out = part if out is None else out.unionByName(part)
-    return out
+            rows = [(d, *x) for d, t in zip(batch["doc_id"], batch["text"].to_pylist(), strict=True) for x in sent.value.find(t)]
+            if not rows:
+                return None
+            out = dict(zip(("doc_id", "item", "n_shared", "n_shingles"), zip(*rows, strict=True), strict=True))
+            return out | {"doc_id": [d.as_py() for d in out["doc_id"]]}
+
+        parts.append(materialise(batches(docs, search, schema), "contained"))
+        sent.destroy()
+    found = reduce(DataFrame.unionByName, parts)
+    return found.join(keys, found["item"] == keys["key"]).select("doc_id", "item_id", "n_shared", "n_shingles")

@@ -31,6 +31,19 @@ _NUMBERS = re.compile(
 )
 
 
+_NORTH = re.compile("[2-9][0-9]{2}[2-9][0-9]{6}")
+#: The country codes of one digit and of two; all others have three.
+CODES_1 = ("1", "7")
+CODES_2 = (
+    "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98"
+).split()
+
+
+def code_length(digits: str) -> int:
+    """How many digits the country code of an international number has."""
+    return 1 if digits[:1] in CODES_1 else 2 if digits[:2] in CODES_2 else 3
+
+
 class Feistel:
     """A keyed permutation of the numbers below any bound, the same in every process."""
 
@@ -101,17 +114,22 @@ class Pseudonyms:
         return self.memo[kind, text, back]
 
     def _phone(self, text, back):
+        """The number behind the country code is permuted; how it is written plays no part.
+
+        Ten digits that fit the North American plan, with or without the code 1, go among such numbers.
+        """
         digits = _digits(text)
         if not 7 <= len(digits) <= 15:
             return None
-        code = len(re.match(r"\+([0-9]{1,3})|", text)[1] or "") if text[0] == "+" else 0
-        body = digits[code:]
-        north = len(body) == 10 and (not code or digits[:code] == "1")
-        rule = re.compile("[2-9][0-9]{2}[2-9][0-9]{6}" if north and re.fullmatch("[2-9][0-9]{2}[2-9][0-9]{6}", body) else "[0-9]+")
+        code = digits[: code_length(digits)] if text[0] == "+" else ""
+        body = digits[len(code) :]
         if not body:
             return None
-        new = self.feistel.permute(int(body), 10 ** len(body), "phone", lambda x: bool(rule.fullmatch(f"{x:0{len(body)}d}")), back)
-        return _refill(text, digits[:code] + f"{new:0{len(body)}d}")
+        plan = lambda x: bool(_NORTH.fullmatch(f"{x:0{len(body)}d}"))
+        own = plan(int(body))
+        fits = (lambda x: plan(x) == own) if code in ("", "1") else (lambda x: True)
+        new = self.feistel.permute(int(body), 10 ** len(body), "phone" + ("" if code == "1" else code), fits, back)
+        return _refill(text, code + f"{new:0{len(body)}d}")
 
     def _card(self, text, back):
         digits = _digits(text)
@@ -151,6 +169,7 @@ class Pseudonyms:
         return str(ipaddress.IPv4Address(new))
 
     def _date(self, text, back):
+        """The day is permuted whatever its format: days past the 12th among each other, so that any order can be read back."""
         order = re.split(r"[-/.]", text)
         year_first = len(order[0]) == 4
         y, (m, d) = (order[0], order[1:]) if year_first else (order[2], (order[1], order[0]))
@@ -162,8 +181,7 @@ class Pseudonyms:
         except ValueError:
             return None
         read = lambda v: datetime.date.fromordinal(v + _FIRST_DAY)
-        fits = (lambda v: read(v).day > 12) if american else (lambda v: True)  # keeps month and day told apart
-        new = read(self.feistel.permute(x, _DAYS, "date/us" if american else "date", fits, back))
+        new = read(self.feistel.permute(x, _DAYS, "date", lambda v: (read(v).day > 12) == (int(d) > 12), back))
         parts = [f"{new.year:04d}", f"{new.month:02d}", f"{new.day:02d}"]
         return _refill(text, "".join(parts if year_first else [parts[1], parts[2], parts[0]] if american else parts[::-1]))
 
@@ -213,18 +231,21 @@ class Pseudonyms:
         return "".join([*parts, text[end:]]) if spans else text, spans
 
 
-def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: bytes = b"weftlink") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, text, n_found, spans``: the text with valid personal values replaced; one row per input row.
 
     ``spans`` lists ``kind:start:end`` in the input's code points (end exclusive). Kinds: e-mail addresses, phone numbers,
     Luhn-valid card numbers, social security numbers, IBANs with valid check digits, IPv4 addresses and calendar dates
-    of 1900 to 2099. Each is permuted within its format under ``key``: separators, lengths of digits, check digits and
-    validity stay, and one value has one pseudonym in every document. With the key, ``Pseudonyms.replace(text, back=True)``
+    of 1900 to 2099. Each is read as one value, permuted under the secret ``key`` and printed in the format it had: separators,
+    lengths of digits, check digits and validity stay, and one value has one pseudonym in every document and format (a date in
+    three orders, a card with and without separators, a phone number with and without its North American code). With the key, ``Pseudonyms.replace(text, back=True)``
     restores it. Values that fail validation stay. A permutation may keep a value of a tiny format as it is.
 
     A null text stays null with no spans. Nulls in other columns, repeated rows and empty tables pass through; other columns
     are not read. There is no shuffle.
     """
+    if not key:
+        raise ValueError("a secret key is needed")
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     state: list[Pseudonyms] = []
 

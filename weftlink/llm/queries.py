@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from secrets import token_bytes
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ from .simhash import near_duplicates
 from .substring_dedup import substring_dedup
 from .url_filters import url_filter
 
+_OWN_KEY = token_bytes(32)
+
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup(table(spark, sf_dir, "documents"))
@@ -60,7 +64,9 @@ def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(table(spark, sf_dir, "documents"))
+    """The key is the setting ``spark.weftlink.pii.key``; without one, a key of this process alone, which nobody can reverse later."""
+    key = spark.conf.get("spark.weftlink.pii.key", None)
+    return pseudonymise(table(spark, sf_dir, "documents"), key.encode() if key else _OWN_KEY)
 
 
 QUERIES = {
