@@ -7,8 +7,9 @@ import pytest
 
 from weftlink.llm.components import components
 from weftlink.llm.decontaminate import contained_items
-from weftlink.llm.fm_index import FMIndex
+from weftlink.llm.fm_index import FMIndex, WaveletMatrix
 from weftlink.llm.simhash import Router, fingerprint, near_duplicates, shard_links
+from weftlink.llm.substring_dedup import earliest_windows
 
 from . import brute as B
 from .test_text_operators import rows
@@ -97,6 +98,44 @@ def test_fm_index_against_search():
     assert index.least(low[full], high[full]).tolist() == [min(where(query[e - 5 : e + 1].tolist())) for e in np.flatnonzero(full)]
 
 
+def test_wavelet_rank_over_superblocks():
+    rng = np.random.default_rng(1)
+    symbols = rng.integers(0, 5, 200_000)
+    matrix = WaveletMatrix(symbols, 5)
+    assert all(c.dtype == np.uint16 for c in matrix.counts)
+    at = np.concatenate([[0, 1, 63, 64, 65_535, 65_536, 65_537, 131_072, 200_000], rng.integers(0, 200_001, 300)])
+    for c in range(5):
+        assert matrix.rank(np.full(len(at), c), at).tolist() == np.concatenate([[0], np.cumsum(symbols == c)])[at].tolist()
+
+
+def test_earliest_windows_against_search():
+    """Many variants under one key, beside keys of one segment: each window's least id is that of a plain search."""
+    r = random.Random(3)
+    base = [str(r.randint(0, 9)) for _ in range(30)]
+    seen, segments, keys, ids = set(), [], [], []
+    for key, n in ((5, 60), (7, 1), (8, 2), (9, 13)):
+        own = []
+        for _ in range(n):
+            a = r.randint(0, 10)
+            w = [f"{key}k{x}" for x in base[a : a + r.randint(5, 12)]]
+            w[r.randrange(len(w))] += r.choice(["", "x"])
+            if " ".join(w) not in seen:
+                seen.add(" ".join(w))
+                own.append((r.randint(0, 99), " ".join(w)))
+        own.sort()
+        segments, keys, ids = segments + [t for _, t in own], keys + [key] * len(own), ids + [i for i, _ in own]
+    got, windows = earliest_windows(segments, np.array(keys), np.array(ids), 5)
+    first = {}
+    for i, t in zip(ids, segments, strict=True):
+        w = t.split()
+        for k in range(len(w) - 4):
+            g = tuple(w[k : k + 5])
+            first[g] = min(i, first.get(g, i))
+    want = [first[tuple(w[k : k + 5])] for w in map(str.split, segments) for k in range(len(w) - 4)]
+    assert got.tolist() == want and windows.tolist() == [len(t.split()) - 4 for t in segments]
+    assert sum(w < i for w, i in zip(want, np.repeat(ids, windows), strict=True)) > 50
+
+
 ITEMS = [
     (1, "a b c d e f g h i j"),
     (2, "Other WORDS stand in this line of text and then some"),

@@ -104,28 +104,51 @@ def _shared_keys(docs: DataFrame, window: int, gram: int, key_rows: int) -> Data
     return met.unionByName(batches(packed.where("range < 0"), unpack, "doc_id long, key long"))
 
 
+def earliest_windows(segments: list[str], keys: np.ndarray, ids: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of each segment the least id of a segment that has it, and how many windows each segment has.
+
+    ``segments`` are different texts of one or more keys, in the order of key and id; windows of different keys differ. The
+    segments of a key are halved by id again and again: each time an FM-index of the earlier halves is built once and the later
+    halves are streamed through it, which gives matching statistics for every place of theirs; where a statistic reaches
+    the window, the interval's least id counts. So each segment meets every earlier one of its key in just one index.
+    """
+    # A form feed stands alone behind each segment; no word holds one.
+    words = " \f ".join([*segments, ""]).split(" ")[:-1]
+    number: dict[str, int] = defaultdict(count(1).__next__, {"\f": 0})
+    text = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+    lengths = np.diff(np.concatenate([[-1], np.flatnonzero(text == 0)]))
+    windows = lengths - window  # a segment of w words has w - window + 1 windows; lengths count the 0 too
+    earliest, of = np.repeat(ids, windows), np.repeat(np.arange(len(ids)), windows)
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    sizes = np.diff(np.concatenate([first, [len(keys)]]))
+    place, size = np.arange(len(keys)) - np.repeat(first, sizes), np.repeat(sizes, sizes)
+    row = np.repeat(np.arange(len(ids)), lengths)
+    for level in range(int(sizes.max() - 1).bit_length()):
+        half = place >> level
+        asks = half & 1 == 1
+        told = ~asks & ((half + 1 << level) < size)
+        known = text[told[row]]
+        symbols = np.unique(known)
+        code = np.zeros(len(number), np.int64)  # words that the index lacks are 0, as are the ends
+        code[symbols] = np.arange(len(symbols))
+        index = FMIndex(code[known], len(symbols), np.repeat(ids[told], lengths[told]), window)
+        some, starts = windows[asks], np.cumsum(lengths[asks]) - lengths[asks]
+        ends = np.repeat(starts + window - 1 - (np.cumsum(some) - some), some) + np.arange(some.sum())
+        run, low, high = index.matching_statistics(code[text[asks[row]]], ends)
+        found = run >= window
+        at = np.flatnonzero(asks[of])[found]
+        earliest[at] = np.minimum(earliest[at], index.least(low[found], high[found]))
+    return earliest, windows
+
+
 def _search(it, window: int, shard_words: int):
-    """Answers for the segments of one partition, which come in the order of their keys, shard by shard of whole keys."""
+    """Answers for the segments of one partition, which come in the order of key and id, shard by shard of whole keys."""
     import pyarrow as pa
 
     def shard(rows):
-        # A form feed stands alone behind each segment; no word holds one.
-        words = " \f ".join([*(r[1] for r in rows), ""]).split(" ")[:-1]
-        number: dict[str, int] = defaultdict(count(1).__next__, {"\f": 0})
-        text = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-        ends = np.flatnonzero(text == 0)
-        lengths = np.diff(np.concatenate([[-1], ends]))
-        least = np.fromiter((r[2] for r in rows), np.int64, len(rows))
-        index = FMIndex(text, len(number), np.repeat(least, lengths), window)
-        starts = ends - lengths + 1
-        windows = lengths - window  # a segment of w words has w - window + 1 windows; lengths count the 0 too
-        at = np.repeat(starts + window - 1 - np.concatenate([[0], np.cumsum(windows)[:-1]]), windows) + np.arange(windows.sum())
-        run, low, high = index.matching_statistics(text, at)
-        if (run < window).any():
-            raise AssertionError("an indexed window was not found")
-        earliest = index.least(low, high)
-        cuts = np.cumsum(windows)[:-1]
-        keep = [(r[0], r[1], e.tolist()) for r, e in zip(rows, np.split(earliest, cuts), strict=True) if e.min() < r[3]]
+        key, segment, least, _ = zip(*rows, strict=True)
+        earliest, windows = earliest_windows(segment, np.array(key, np.int64), np.array(least, np.int64), window)
+        keep = [(r[0], r[1], e.tolist()) for r, e in zip(rows, np.split(earliest, np.cumsum(windows)[:-1]), strict=True) if e.min() < r[3]]
         if keep:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*keep, strict=True), (pa.int64(), pa.string(), pa.list_(pa.int64())), strict=True)], ["key", "segment", "earliest"])
 
@@ -147,8 +170,9 @@ def repeated_windows(docs: DataFrame, window: int, gram: int, shard_words: int,
 
     A window's least n-gram hash is its key. Texts are cut into segments of windows with one key; segments whose key one
     document alone has cannot repeat and go no further. Under a key of more than ``hot_docs`` documents each window is a
-    segment with the hash of all its words as key, so that the variants of a hot passage spread. Equal segments are one; each partition indexes its segments in shards
-    of whole keys and streams them through the index, which reports every interval of full length with its smallest id.
+    segment with the hash of all its words as key, so that the variants of a hot passage spread. Equal segments are one; each
+    partition takes its segments in shards of whole keys, and streams those of later documents through the compressed indexes of
+    those of earlier ones (``earliest_windows``); windows that follow each other join to intervals of any length.
     """
     shared = materialise(_shared_keys(docs, window, gram, key_rows), "shared")
     hot = materialise(shared.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_docs).select("key", F.lit(True).alias("hot")), "hot")
@@ -181,7 +205,7 @@ def repeated_windows(docs: DataFrame, window: int, gram: int, shard_words: int,
     cuts = batches(docs.join(hits, "doc_id"), cut, "doc_id long, text_hash long, start int, key long, segment string")
     cuts = materialise(cuts.withColumn("of", F.xxhash64("segment")), "segments")
     distinct = cuts.groupBy("key", "segment").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last"))
-    found = distinct.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _search(it, window, shard_words), "key long, segment string, earliest array<long>")
+    found = distinct.repartition("key").sortWithinPartitions("key", "least").mapInArrow(lambda it: _search(it, window, shard_words), "key long, segment string, earliest array<long>")
     found = materialise(found.select(F.col("key").alias("f_key"), F.xxhash64("segment").alias("f_of"), "earliest"), "answers")
     each = cuts.select("doc_id", "text_hash", "start", "key", "of").join(found, (F.col("key") == F.col("f_key")) & (F.col("of") == F.col("f_of")))
     single = F.transform(
