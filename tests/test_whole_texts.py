@@ -5,7 +5,8 @@ import unicodedata
 
 import pytest
 
-from weftlink.functions.text import LIGATURES, latin_accents, transliterate_text
+from weftlink.functions.scripts import transliterate_text
+from weftlink.functions.text import LIGATURES, latin_accents
 from weftlink.plans.queries import QUERIES
 
 PAD = "plain words before the rest of it, " * 6
@@ -37,10 +38,10 @@ def parts(text, i):
 
 
 WANT = {
-    "norm_names_whole": lambda i, t: (norm(t),),
-    "transliterate_whole": lambda i, t: (transliterate_text(folded(t)).lower(),),
-    "name_keys_whole": lambda i, t: (" ".join(sorted(set(norm(t).split()))), norm(t).split()[0], norm(t).replace(" ", "").replace("+", "")),
-    "addr_parts_whole": lambda i, t: parts(t, i),
+    "norm_names": lambda i, t: (norm(t),),
+    "transliterate": lambda i, t: (transliterate_text(folded(t)).lower(),),
+    "name_keys": lambda i, t: (" ".join(sorted(set(norm(t).split()))), norm(t).split()[0], norm(t).replace(" ", "").replace("+", "")),
+    "addr_parts": lambda i, t: parts(t, i),
 }
 
 

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import text as T
 from ..functions.hashing import hash_unit
+from ..sources.tables import stage_table
 
 CORE, SORTED, SQUASH, NAME_SPACE, WORD_SPACE, ADDRESS_SPACE, NAME_NUMBER, NOFILL = (1 << k for k in range(8))
 EXACT = CORE | SORTED | SQUASH
@@ -86,40 +87,61 @@ class TopK:
     min_sim: float = 0.2
     min_df: int = 2
     max_df: float = 0.02
-    max_df_rows: int | None = None
+    max_df_rows: int = 10_000
     max_addr_tokens: int | None = None
     bit: int = WORD_SPACE
     sim: str = "sim_name_addr_word"
 
 
 def weighted_terms(s1: DataFrame, pool: DataFrame, spec: TopK) -> DataFrame:
-    """``side, country, id, term, w``: unit-length TF-IDF rows (1 + ln tf, smooth idf) over terms that are neither too rare nor too common.
+    """``side, country, id, term, df, w``: unit-length TF-IDF rows (1 + ln tf, smooth idf) over terms that are neither too rare nor too common.
 
-    Term counts are kept, as document frequencies and weights both read them.
+    A term is too common in over a share of the country's rows, or in over ``max_df_rows`` of them. Term counts are a table, as
+    document frequencies and weights both read them.
     """
     grams = word_grams if spec.terms == "word" else char_grams
     rows = s1.select(F.lit(1).alias("side"), "country", F.col("entity_id").alias("id"), spec.column)
     rows = rows.unionByName(pool.select(F.lit(2).alias("side"), "country", F.col("entity_id").alias("id"), spec.column))
     n = rows.groupBy("country").agg(F.count(F.lit(1)).alias("n"))
-    tf = rows.select("side", "country", "id", F.explode(grams(F.col(spec.column))).alias("term")).groupBy("side", "country", "id", "term").agg(F.count(F.lit(1)).alias("tf")).persist()
-    limit = F.greatest(spec.max_df * F.col("n"), F.lit(float(spec.min_df)))
-    if spec.max_df_rows:
-        limit = F.least(limit, F.lit(float(spec.max_df_rows)))
+    tf = rows.select("side", "country", "id", F.explode(grams(F.col(spec.column))).alias("term")).groupBy("side", "country", "id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = stage_table(tf, "terms")
+    limit = F.least(F.greatest(spec.max_df * F.col("n"), F.lit(float(spec.min_df))), F.lit(float(spec.max_df_rows)))
     df = tf.groupBy("country", "term").agg(F.count(F.lit(1)).alias("df")).join(n, "country")
-    idf = df.where((F.col("df") >= spec.min_df) & (F.col("df") <= limit)).select("country", "term", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
-    raw = tf.join(idf, ["country", "term"]).select("side", "country", "id", "term", ((1.0 + F.log(F.col("tf"))) * F.col("idf")).alias("raw"))
+    idf = df.where((F.col("df") >= spec.min_df) & (F.col("df") <= limit)).select("country", "term", "df", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
+    raw = tf.join(idf, ["country", "term"]).select("side", "country", "id", "term", "df", ((1.0 + F.log(F.col("tf"))) * F.col("idf")).alias("raw"))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(W.partitionBy("side", "country", "id")))
-    return raw.select("side", "country", "id", "term", (F.col("raw") / norm).alias("w"))
+    return raw.select("side", "country", "id", "term", "df", (F.col("raw") / norm).alias("w"))
+
+
+def posting_terms(terms: DataFrame, min_sim: float) -> DataFrame:
+    """The rows of ``terms`` less each record's commonest terms whose weights together cannot reach ``min_sim``.
+
+    Terms of a record are ordered from the commonest on. Where the rarest term that two records share is among those that
+    leave one of them, all that they share is, and their similarity is at most the length of that part: no pair above
+    ``min_sim`` is lost, and the longest posting lists shrink most.
+    """
+    order = W.partitionBy("side", "country", "id").orderBy(F.desc("df"), "term").rowsBetween(W.unboundedPreceding, 0)
+    return terms.withColumn("_part", F.sum(F.col("w") * F.col("w")).over(order)).where(F.col("_part") > min_sim * min_sim - 1e-9).drop("_part")
 
 
 def topk_join(s1: DataFrame, pool: DataFrame, spec: TopK) -> DataFrame:
-    """The ``k`` most similar pool records of each entity above ``min_sim``: posting lists join on the term, bounded by the df limits."""
+    """The ``k`` most similar pool records of each entity above ``min_sim``.
+
+    Posting lists, less what ``posting_terms`` leaves out, propose pairs; their vectors give the similarities. A list holds at most
+    ``max_df_rows`` records of a country, so a term proposes a bounded number of pairs however many records there are.
+    """
     if spec.max_addr_tokens is not None:
         pool = pool.where(F.col("addr_tokens") <= spec.max_addr_tokens)
-    terms = weighted_terms(s1, pool, spec).persist()
-    left = terms.where("side = 1").select("country", "term", F.col("id").alias(L), F.col("w").alias("wl"))
-    right = terms.where("side = 2").select("country", "term", F.col("id").alias(R), F.col("w").alias("wr"))
-    sims = left.join(right, ["country", "term"]).groupBy(L, R).agg(F.least(F.lit(1.0), F.round(F.sum(F.col("wl") * F.col("wr")), 6)).alias("sim"))
+    terms = stage_table(weighted_terms(s1, pool, spec), "weights")
+    posted = posting_terms(terms, spec.min_sim)
+    left = posted.where("side = 1").select("country", "term", F.col("id").alias(L))
+    right = posted.where("side = 2").select("country", "term", F.col("id").alias(R))
+    pairs = left.join(right, ["country", "term"]).select(L, R).distinct()
+    vector = lambda side, key, name: terms.where(F.col("side") == side).groupBy(F.col("id").alias(key)).agg(F.sort_array(F.collect_list(F.struct("term", "w"))).alias(name))
+    both = pairs.join(vector(1, L, "_l"), L).join(vector(2, R, "_r"), R)
+    weights = F.map_from_entries("_r")
+    dot = F.aggregate("_l", F.lit(0.0), lambda a, x: a + x["w"] * F.coalesce(F.try_element_at(F.col("_m"), x["term"]), F.lit(0.0)))
+    sims = both.withColumn("_m", weights).select(L, R, F.least(F.lit(1.0), F.round(dot, 6)).alias("sim"))
     best = W.partitionBy(L).orderBy(F.desc("sim"), R)
     kept = sims.where(F.col("sim") > spec.min_sim).withColumn("_rk", F.row_number().over(best)).where(F.col("_rk") <= spec.k)
     return _pairs(kept, spec.bit, spec.sim)

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
+from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import fold_of, hash_unit
+from .blocking import label_pairs
 
 L, R = "source1_entity_id", "entity_id"
 
@@ -47,9 +48,10 @@ class Matcher:
     max_iter: int = 20
     max_depth: int = 5
     model: PipelineModel | None = field(default=None)
+    stop: str | None = None  # the column that marks rows which only say when to stop
 
     def fit(self, df: DataFrame) -> Matcher:
-        check_features(df, self.columns)
+        check_features(df.drop(self.stop) if self.stop else df, self.columns)
         if self.kind == "heuristic":
             return self
         inputs = [f"{p}_{c}" for c in self.columns for p in ("_x", "_m")]
@@ -58,7 +60,8 @@ class Matcher:
         if self.kind == "logreg":
             steps += [StandardScaler(inputCol="_v", outputCol="_f", withMean=True), LogisticRegression(featuresCol="_f", labelCol="label", regParam=1e-3, **weight)]
         elif self.kind == "gbt":
-            steps.append(GBTClassifier(featuresCol="_v", labelCol="label", seed=self.seed, maxIter=self.max_iter, maxDepth=self.max_depth, **weight))
+            stop = {"validationIndicatorCol": self.stop} if self.stop else {}
+            steps.append(GBTClassifier(featuresCol="_v", labelCol="label", seed=self.seed, maxIter=self.max_iter, maxDepth=self.max_depth, **weight, **stop))
         else:
             raise ValueError(f"unknown kind {self.kind!r}")
         self.model = Pipeline(stages=steps).fit(_filled(df.withColumn("label", F.col("label").cast("double")), self.columns))
@@ -66,6 +69,10 @@ class Matcher:
 
     def predict(self, df: DataFrame, name: str = "prob") -> DataFrame:
         check_features(df, self.columns)
+        return self.score(df, name)
+
+    def score(self, df: DataFrame, name: str) -> DataFrame:
+        """``df``, whatever further columns it has, with the probability as ``name``: one projection, no join."""
         if self.kind == "heuristic":
             return df.withColumn(name, heuristic())
         out = self.model.transform(_filled(df, self.columns))
@@ -103,9 +110,10 @@ class Ensemble:
     parts: list[Matcher]
 
     def predict(self, df: DataFrame, name: str = "prob") -> DataFrame:
+        check_features(df, self.parts[0].columns)
         out = df
         for i, m in enumerate(self.parts):
-            out = out.join(m.predict(df, f"_p{i}").select(L, R, f"_p{i}"), [L, R])
+            out = m.score(out, f"_p{i}")
         mean = sum((F.col(f"_p{i}") for i in range(1, len(self.parts))), F.col("_p0")) / len(self.parts)
         return out.withColumn(name, mean).drop(*[f"_p{i}" for i in range(len(self.parts))])
 
@@ -122,9 +130,10 @@ def cross_fit(train: DataFrame, columns: Sequence[str], folds: int = 2, kind: st
 
 def cross_predict(models: Sequence[Matcher], df: DataFrame, train_ids: DataFrame, name: str = "prob") -> DataFrame:
     """Training entities are scored by the model that has not seen them, others by the mean of all."""
+    check_features(df, models[0].columns)
     out = df
     for i, m in enumerate(models):
-        out = out.join(m.predict(df, f"_p{i}").select(L, R, f"_p{i}"), [L, R])
+        out = m.score(out, f"_p{i}")
     ids = train_ids.select(L).distinct().withColumn("_seen", F.lit(True))
     fold = fold_of(F.col(L), len(models))
     mean = sum((F.col(f"_p{i}") for i in range(1, len(models))), F.col("_p0")) / len(models)
@@ -140,6 +149,15 @@ class Isotonic:
         self.model = IsotonicRegression(featuresCol="_f", labelCol="_l", predictionCol="_c").fit(data)
         return self
 
+    def save(self, path: str) -> None:
+        self.model.write().overwrite().save(path)
+
+    @classmethod
+    def load(cls, path: str) -> Isotonic:
+        own = cls()
+        own.model = IsotonicRegressionModel.load(path)
+        return own
+
     def apply(self, rows: DataFrame, prob: str = "prob") -> DataFrame:
         out = self.model.transform(rows.withColumn("_f", F.col(prob).cast("double")))
         return out.withColumn(prob, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("_c")))).drop("_f", "_c")
@@ -150,25 +168,38 @@ def log_loss(rows: DataFrame, prob: str = "prob", label: str = "label") -> DataF
     return rows.agg(F.avg(F.when(F.col(label) == 1, -F.log(p)).otherwise(-F.log(1 - p))).alias("log_loss"))
 
 
-KINDS = ("same_name_diff_addr", "same_addr_diff_name", "top_cosine_nonmatch", "singleton_decoy")
+# Kinds of hard negatives and their conditions, and what makes a negative easy.
+MINED = {
+    "same_name_diff_addr": "core_eq = 1 AND ad_jaccard < 0.2",
+    "same_addr_diff_name": "ad_token_set >= 0.9 AND core_token_set < 0.5",
+    "top_cosine_nonmatch": "ctx_rank_name = 1",
+    "singleton_decoy": "singleton",
+}
+EASY = "sim_name_char < 0.5 AND ad_jaccard < 0.1 AND NOT singleton"
+ROUND2_MARGIN = 0.002
+KINDS = tuple(MINED)
 
 
 def mined(kind: str) -> Column:
-    """Whether a pair is a hard negative of a kind; needs ``label, singleton`` and the features it reads."""
-    rules = {
-        "same_name_diff_addr": lambda: (F.col("core_eq") == 1) & (F.col("ad_jaccard") < 0.2),
-        "same_addr_diff_name": lambda: (F.col("ad_token_set") >= 0.9) & (F.col("core_token_set") < 0.5),
-        "top_cosine_nonmatch": lambda: F.col("ctx_rank_name") == 1,
-        "singleton_decoy": lambda: F.col("singleton"),
-    }
-    if kind not in rules:
+    """Whether a pair is a hard negative of a kind; needs ``label, singleton`` and the features that its condition reads."""
+    if kind not in MINED:
         raise ValueError(f"unknown kind {kind!r}; known: {KINDS}")
-    return F.coalesce((F.col("label") == 0) & rules[kind](), F.lit(False))
+    return F.coalesce((F.col("label") == 0) & F.expr(MINED[kind]), F.lit(False))
 
 
 def easy_negative() -> Column:
     """Negatives that both similarities call distant; never a singleton's, never where one is undefined."""
-    return F.coalesce((F.col("label") == 0) & (F.col("sim_name_char") < 0.5) & (F.col("ad_jaccard") < 0.1) & ~F.col("singleton"), F.lit(False))
+    return F.coalesce((F.col("label") == 0) & F.expr(EASY), F.lit(False))
+
+
+def false_positives(scored: DataFrame, truth: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Rows scored ``threshold`` or more that are no true pairs, ``label`` 0."""
+    return label_pairs(scored, truth).where((F.col("prob") >= threshold) & (F.col("label") == 0))
+
+
+def near_misses(scored: DataFrame, truth: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """True pairs scored under ``threshold``, ``label`` 1."""
+    return label_pairs(scored, truth).where((F.col("prob") < threshold) & (F.col("label") == 1))
 
 
 def with_singleton(pairs: DataFrame, truth: DataFrame) -> DataFrame:
@@ -186,6 +217,7 @@ def hard_negative_weights(
     fp_weight: float = 1.0,
     miss_weight: float = 1.0,
     seed: int = 7,
+    threshold: float = 0.5,
 ) -> DataFrame:
     """``weight`` of each pair.
 
@@ -202,6 +234,74 @@ def hard_negative_weights(
     if singleton_weight > 1:
         base = F.when(F.col("singleton"), F.greatest(base, F.lit(singleton_weight))).otherwise(base)
     if "prob" in pairs.columns:
-        wrong, lost = (F.col("label") == 0) & (F.col("prob") >= 0.5), (F.col("label") == 1) & (F.col("prob") < 0.5)
+        wrong, lost = (F.col("label") == 0) & (F.col("prob") >= threshold), (F.col("label") == 1) & (F.col("prob") < threshold)
         base = base + F.when(wrong, fp_weight - 1).when(lost, miss_weight - 1).otherwise(0.0)
     return pairs.withColumn("weight", base)
+
+
+@dataclass(frozen=True)
+class HardNegatives:
+    """What a round of fitting weighs; see ``hard_negative_weights``."""
+
+    kinds: tuple[str, ...] = ()
+    rule_weight: float = 3.0
+    singleton_weight: float = 1.0
+    easy_keep: float = 1.0
+    fp_weight: float = 2.0
+    miss_weight: float = 1.0
+    threshold: float = 0.5
+    seed: int = 7
+
+    def weigh(self, pairs: DataFrame) -> DataFrame:
+        return hard_negative_weights(pairs, self.kinds, self.rule_weight, self.singleton_weight, self.easy_keep, self.fp_weight, self.miss_weight, self.seed, self.threshold)
+
+
+def weight_counts(weighted: DataFrame) -> DataFrame:
+    """One row: rows, positives, kept rows, sum of weights."""
+    return weighted.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.sum("label").alias("positives"),
+        F.count_if(F.col("weight") > 0).alias("kept_rows"),
+        F.sum("weight").alias("weight_sum"),
+    )
+
+
+def fit_rounds(rows: DataFrame, truth: DataFrame, columns: Sequence[str], cfg: HardNegatives, gain: Callable[[Matcher], float], kind: str = "gbt", **params) -> tuple[Matcher, dict]:
+    """A model of one round of weights, or of two if the second is better on the tune side by ``ROUND2_MARGIN``.
+
+    ``rows`` has keys, ``columns``, ``label`` and what the mining conditions read; rows of weight 0 are left out. The second
+    round adds weight to what the first got wrong on its own rows. ``gain`` scores a model on entities that ``rows`` lacks.
+    """
+    marked = with_singleton(rows, truth)
+
+    def fit(pairs):
+        weighted = cfg.weigh(pairs).where("weight > 0").select(L, R, *columns, "label", "weight")
+        return Matcher(tuple(columns), kind, cfg.seed, **params).fit(weighted)
+
+    first = fit(marked)
+    own = first.predict(rows.select(L, R, *columns)).select(L, R, "prob")
+    second = fit(marked.join(own, [L, R]))
+    scores = gain(first), gain(second)
+    kept = scores[1] >= scores[0] + ROUND2_MARGIN
+    return (second if kept else first), {"round2_kept": kept, "tune_round1": scores[0], "tune_round2": scores[1]}
+
+
+def fit_bags(rows: DataFrame, columns: Sequence[str], bags: int, kind: str = "gbt", seed: int = 42, **params) -> Ensemble:
+    """One model per disjoint hash slice of the entities; they score as their mean."""
+    parts = rows.withColumn("fold", fold_of(F.col(L), bags, seed))
+    return Ensemble([Matcher(tuple(columns), kind, seed, **params).fit(parts.where(F.col("fold") == b).drop("fold")) for b in range(bags)])
+
+
+def capped_rows(rows: DataFrame, most: int, seed: int = 7) -> DataFrame:
+    """About ``most`` rows at most: a hash share of the entities, each with all its rows."""
+    total = rows.count()
+    return rows if total <= most else rows.where(hash_unit(F.col(L), seed) < most / total)
+
+
+def fit_stopping(rows: DataFrame, columns: Sequence[str], stop_share: float = 0.1, max_iter: int = 100, seed: int = 42, **params) -> Matcher:
+    """Boosted trees whose number of rounds is set by a hash slice of entities that the fit leaves out.
+
+    The slice is marked for the learner, which stops when the slice's error no longer falls.
+    """
+    marked = rows.withColumn("_stop", hash_unit(F.col(L), seed) < stop_share)
+    return Matcher(tuple(columns), "gbt", seed, max_iter, stop="_stop", **params).fit(marked)

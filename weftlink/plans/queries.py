@@ -11,6 +11,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import similarity as S
 from ..functions import text as T
+from ..functions import vocab
 from ..functions.hashing import fold_of, hash_unit
 from ..operators import blocking as B
 from ..operators import competition as C
@@ -63,7 +64,7 @@ def er_end_to_end_heuristic(w: World) -> DataFrame:
 
 # ---- normalisation --------------------------------------------------------------------------------------------------
 
-_RAW = """SELECT doc_id, lang, substr("text", 1, 60) AS t FROM documents"""
+_RAW = """SELECT doc_id, lang, "text" AS t FROM documents"""
 _FROM, _TO = T.latin_accents()
 _FOLD = f"translate({{}}, '{_FROM}', '{_TO}')"
 for _k, _v in T.LIGATURES.items():
@@ -73,40 +74,17 @@ _NORM = _PUNCT.format("lower(" + _FOLD.format("t") + ")")
 
 
 def _raw(w: World) -> DataFrame:
-    """The first 60 characters, as ``_RAW`` fixes them for the queries with that SQL."""
-    return w.spark.read.parquet(f"{w.sf_dir}/documents.parquet").select("doc_id", "lang", F.substring("text", 1, 60).alias("t"))
-
-
-def _whole(w: World) -> DataFrame:
     return w.spark.read.parquet(f"{w.sf_dir}/documents.parquet").select("doc_id", "lang", F.col("text").alias("t"))
 
 
-def _norm_names(rows: DataFrame) -> DataFrame:
-    return rows.select("doc_id", T.basic_norm(F.col("t")).alias("norm"))
-
-
 @query(f"SELECT doc_id, {_NORM} AS norm FROM rawtext", rawtext=_RAW)
 def norm_names(w: World) -> DataFrame:
-    return _norm_names(_raw(w))
-
-
-@query()
-def norm_names_whole(w: World) -> DataFrame:
-    return _norm_names(_whole(w))
-
-
-def _transliterate(rows: DataFrame) -> DataFrame:
-    return rows.select("doc_id", T.fold(F.col("t"), scripts=True).alias("folded"))
+    return _raw(w).select("doc_id", T.basic_norm(F.col("t")).alias("norm"))
 
 
 @query(f"SELECT doc_id, lower({_FOLD.format('t')}) AS folded FROM rawtext", rawtext=_RAW)
 def transliterate(w: World) -> DataFrame:
-    return _transliterate(_raw(w))
-
-
-@query()
-def transliterate_whole(w: World) -> DataFrame:
-    return _transliterate(_whole(w))
+    return _raw(w).select("doc_id", T.fold(F.col("t"), scripts=True).alias("folded"))
 
 
 _TOKENS = {"street": "st", "the": "le", "of": "", "and": "et al", "blue": "azure"}
@@ -125,17 +103,8 @@ def map_tokens(w: World) -> DataFrame:
     rawtext=_RAW,
 )
 def name_keys(w: World) -> DataFrame:
-    return _name_keys(_raw(w))
-
-
-@query()
-def name_keys_whole(w: World) -> DataFrame:
-    return _name_keys(_whole(w))
-
-
-def _name_keys(rows: DataFrame) -> DataFrame:
     n = F.col("n")
-    rows = rows.select("doc_id", T.basic_norm(F.col("t")).alias("n"))
+    rows = _raw(w).select("doc_id", T.basic_norm(F.col("t")).alias("n"))
     return rows.select("doc_id", T.sorted_words(n).alias("name_sorted"), T.first_word(n).alias("name_first"), T.squash(n).alias("name_squash"))
 
 
@@ -152,49 +121,51 @@ _WORDS_ONLY = "list_filter(string_split(x, ' '), lambda t: t <> '' AND NOT regex
     rawtext=_RAW,
 )
 def addr_parts(w: World) -> DataFrame:
-    return _addr_parts(_raw(w))
-
-
-@query()
-def addr_parts_whole(w: World) -> DataFrame:
-    return _addr_parts(_whole(w))
-
-
-def _addr_parts(rows: DataFrame) -> DataFrame:
     k = F.col("doc_id").cast("string")
     a = F.concat(F.lit("00"), k, F.lit("th b"), (F.col("doc_id") * 7919).cast("string"), F.lit(" "), T.basic_norm(F.col("t")))
-    rows = rows.select("doc_id", N.split_tokens(a).alias("x"))
+    rows = _raw(w).select("doc_id", N.split_tokens(a).alias("x"))
     return rows.select("doc_id", *[v.alias(k) for k, v in N.address_parts(F.col("x")).items()])
 
 
 @query()
 def norm_addresses(w: World) -> DataFrame:
     """The whole address normaliser with regions and street words."""
-    rows = _whole(w).select("doc_id", F.concat_ws(", ", "t", F.lit("Springfield"), F.when(F.col("doc_id") % 2 == 0, "New York 14610").otherwise("Tamil Nadu")).alias("business_address"))
+    rows = _raw(w).select("doc_id", F.concat_ws(", ", "t", F.lit("Springfield"), F.when(F.col("doc_id") % 2 == 0, "New York 14610").otherwise("Tamil Nadu")).alias("business_address"))
     return N.normalise_addresses(rows).drop("business_address")
 
 
-_REGIONS = {"en": "english", "de": "german", "fr": "french"}
+_NAMES = sorted(vocab.REGION)
+_lit = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+_table = lambda words: f"MAP({_lit(words)}, {_lit(words.values())})"
+_BARE = rf"trim(regexp_replace(regexp_replace({_PUNCT.format('c')}, '\b\d+\b', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
 @query(
-    """SELECT doc_id, CASE lang WHEN 'en' THEN 'english' WHEN 'de' THEN 'german' WHEN 'fr' THEN 'french' END AS code FROM rawtext""",
+    f"""SELECT doc_id, coalesce(list_filter(list_transform(list_transform(string_split(a, ','), lambda c: {_BARE}), lambda c: (m[c])), lambda c: c IS NOT NULL)[1], '') AS code
+  FROM (SELECT doc_id, lower({_FOLD.format("t")}) || ', ' || {_lit(_NAMES)}[doc_id % {len(_NAMES)} + 1] || ' 14610' AS a, {_table(vocab.REGION)} AS m FROM rawtext)""",
     rawtext=_RAW,
 )
 def region_lookup(w: World) -> DataFrame:
-    found = N.region_components(F.concat(F.lit("somewhere 12, "), F.col("lang"), F.lit(" 77")), _REGIONS)
-    return _raw(w).select("doc_id", F.get(F.filter(found, lambda x: x["code"].isNotNull()), 0)["code"].alias("code"))
+    """The first component that names a region, of each text and one region's name in turn."""
+    name = F.get(F.array(*map(F.lit, _NAMES)), (F.col("doc_id") % len(_NAMES)).cast("int"))
+    rows = _raw(w).select("doc_id", N.region_components(F.concat(T.fold(F.col("t")), F.lit(", "), name, F.lit(" 14610")), vocab.REGION).alias("c"))
+    return rows.select("doc_id", T.missing(F.get(F.filter("c", lambda x: x["code"].isNotNull()), 0)["code"]).alias("code"))
 
 
-_LEGAL_CASES = ("acme pvt ltd", "globex llc", "sharma 1td", "dover and co", "initech", "c0rp five", "x2 gmbh")
-_LEGAL_OUT = (("acme", "pvt ltd"), ("globex", "llc"), ("sharma", "ltd"), ("dover and", "co"), ("initech", ""), ("five", "corp"), ("x2", "gmbh"))
+_FORMS = sorted(vocab.LEGAL)
+_LEET = "CASE WHEN regexp_matches(x, '^[a-z]+$') OR regexp_matches(x, '^[0-9]+$') THEN x ELSE translate(x, '0134578', 'oleastb') END"
 
 
-@query(f"""SELECT doc_id, CASE doc_id % 7 {" ".join(f"WHEN {i} THEN '{c}'" for i, (c, _) in enumerate(_LEGAL_OUT))} END AS core,
-  CASE doc_id % 7 {" ".join(f"WHEN {i} THEN '{f}'" for i, (_, f) in enumerate(_LEGAL_OUT))} END AS form FROM documents""")
+@query(
+    f"""SELECT doc_id, array_to_string(list_transform(list_filter(ws, lambda x: m[x] IS NULL AND m[{_LEET}] IS NULL), lambda x: {_LEET}), ' ') AS core,
+  array_to_string(list_filter(list_transform(ws, lambda x: coalesce(m[x], m[{_LEET}])), lambda x: x IS NOT NULL), ' ') AS form
+  FROM (SELECT doc_id, list_append({Q.words("n")}, {_lit(_FORMS)}[doc_id % {len(_FORMS)} + 1]) AS ws, {_table(vocab.LEGAL)} AS m FROM (SELECT doc_id, {_NORM} AS n FROM rawtext))""",
+    rawtext=_RAW,
+)
 def legal_forms(w: World) -> DataFrame:
-    names = F.array(*map(F.lit, _LEGAL_CASES))
-    rows = _raw(w).select("doc_id", F.get(names, (F.col("doc_id") % 7).cast("int")).alias("n"))
+    """Each text with one legal form behind it, parted into other words and legal forms."""
+    last = F.get(F.array(*map(F.lit, _FORMS)), (F.col("doc_id") % len(_FORMS)).cast("int"))
+    rows = _raw(w).select("doc_id", F.concat_ws(" ", T.basic_norm(F.col("t")), last).alias("n"))
     core, form = N.legal_split(F.col("n"))
     return rows.select("doc_id", core.alias("core"), form.alias("form"))
 
@@ -252,15 +223,42 @@ def id_lists_roundtrip(w: World) -> DataFrame:
     return IO.id_lists(w.pairs, w.ids).select(L, F.array_join("ids", ",").alias("ids"))
 
 
+_SIDES = {"matches": "bm", "candidates": "bc"}
+_CHECKS = {
+    "repeated entity": "SELECT s FROM {t} GROUP BY s HAVING count(*) > 1",
+    "missing entity": "SELECT entity_id FROM s1 WHERE entity_id NOT IN (SELECT s FROM {t})",
+    "unknown entity": "SELECT DISTINCT s FROM {t} WHERE s NOT IN (SELECT entity_id FROM s1)",
+    "repeated id": "SELECT s FROM {t} WHERE len(list_distinct(ids)) < len(ids)",
+    "foreign id": "SELECT x FROM (SELECT unnest(ids) AS x FROM {t}) WHERE NOT regexp_matches(x, '^S[23]-')",
+    "unknown id": "SELECT x FROM (SELECT unnest(ids) AS x FROM {t}) WHERE x NOT IN (SELECT entity_id FROM pool)",
+}
+_BROKEN = """SELECT s, CASE k % 5 WHEN 2 THEN list_concat(ids, ids) WHEN 3 THEN list_append(ids, 'X-' || k) WHEN 4 THEN list_append(ids, 'S2-none' || k) ELSE ids END AS ids, k FROM
+  (SELECT s1.entity_id AS s, list_filter(list(e ORDER BY e), lambda x: x IS NOT NULL) AS ids, substr(s1.entity_id, 4)::BIGINT // 3 AS k FROM s1 LEFT JOIN {t} t ON s1.entity_id = t.s GROUP BY ALL) WHERE k % 5 <> 0"""
+_SPOILT = "SELECT s, ids FROM {t}0 UNION ALL SELECT s, ids FROM {t}0 WHERE k % 5 = 1 UNION ALL SELECT 'S1-none' || k, ids FROM {t}0 WHERE k % 10 = 3"
+
+
 @query(
-    """SELECT * FROM (SELECT 'matches: repeated entity' AS rule, 0::BIGINT AS problems UNION ALL SELECT 'matches: missing entity', 0 UNION ALL SELECT 'matches: unknown entity', 0
-  UNION ALL SELECT 'matches: repeated id', 0 UNION ALL SELECT 'matches: foreign id', 0 UNION ALL SELECT 'matches: unknown id', 0
-  UNION ALL SELECT 'candidates: repeated entity', 0 UNION ALL SELECT 'candidates: missing entity', 0 UNION ALL SELECT 'candidates: unknown entity', 0
-  UNION ALL SELECT 'candidates: repeated id', 0 UNION ALL SELECT 'candidates: foreign id', 0 UNION ALL SELECT 'candidates: unknown id', 0
-  UNION ALL SELECT 'match outside candidates', count(DISTINCT t.s) FROM truth t LEFT JOIN cand c ON t.s = c.s AND t.e = c.e WHERE c.s IS NULL)"""
+    "SELECT * FROM ("
+    + " UNION ALL ".join(f"SELECT '{side}: {rule}' AS rule, (SELECT count(*) FROM ({c.format(t=t)})) AS problems" for side, t in _SIDES.items() for rule, c in _CHECKS.items())
+    + " UNION ALL SELECT 'match outside candidates', (SELECT count(*) FROM bm JOIN bc USING (s) WHERE len(list_filter(bm.ids, lambda x: NOT list_contains(bc.ids, x))) > 0))",
+    bm0=_BROKEN.format(t="truth"),
+    bc0=_BROKEN.format(t="cand"),
+    bm=_SPOILT.format(t="bm"),
+    bc=_SPOILT.format(t="bc"),
 )
 def submission_check(w: World) -> DataFrame:
-    return IO.validate(IO.id_lists(w.truth, w.ids), IO.id_lists(w.pairs, w.ids), w.ids, w.pool)
+    """The checks over lists of which some are lost, repeated, doubled within, or hold foreign and unknown ids."""
+
+    def spoilt(pairs):
+        k = F.floor(F.substring(L, 4, 20).cast("long") / 3)
+        lists = IO.id_lists(pairs, w.ids).withColumn("k", k).where("k % 5 <> 0")
+        more = lambda prefix: F.array_append("ids", F.concat(F.lit(prefix), F.col("k").cast("string")))
+        of = F.col("k") % 5
+        lists = lists.withColumn("ids", F.when(of == 2, F.concat("ids", "ids")).when(of == 3, more("X-")).when(of == 4, more("S2-none")).otherwise(F.col("ids")))
+        strange = lists.where("k % 10 = 3").select(F.concat(F.lit("S1-none"), F.col("k").cast("string")).alias(L), "ids")
+        return lists.select(L, "ids").unionByName(lists.where("k % 5 = 1").select(L, "ids")).unionByName(strange)
+
+    return IO.validate(spoilt(w.truth), spoilt(w.pairs), w.ids, w.pool)
 
 
 # ---- blocking -------------------------------------------------------------------------------------------------------
@@ -358,21 +356,43 @@ def absent_anti(w: World) -> DataFrame:
     return w.s1.select("entity_id").join(w.pairs.select(F.col(L).alias("entity_id")), "entity_id", "left_anti")
 
 
-_ONE = """SELECT l.country, l.entity_id AS s, l.name_sorted FROM s1 l WHERE name_sorted <> '' AND (SELECT count(*) FROM s1 x WHERE x.country = l.country AND x.name_sorted = l.name_sorted) = 1"""
+# Names of the documents seldom differ by one word; parts, whose names are few and whose type is added to half of them, often do.
+_PARTS = dict(
+    prec="""SELECT p_partkey % 4 = 0 AS mine, 'S' || (CASE WHEN p_partkey % 4 = 0 THEN 1 ELSE 2 END) || '-' || p_partkey AS entity_id, p_brand AS country, p_name, p_type,
+  CASE WHEN p_partkey // 4 % 2 = 0 THEN p_name ELSE p_name || ' ' || lower(p_type) END AS name_core FROM part""",
+    psort=f"SELECT *, array_to_string(list_sort(list_distinct({Q.words('name_core')})), ' ') AS name_sorted FROM prec",
+    ps1="SELECT * FROM psort WHERE mine",
+    ppool="SELECT * FROM psort WHERE NOT mine",
+    ptruth="SELECT l.entity_id AS s, r.entity_id AS e FROM ps1 l JOIN ppool r USING (country, p_name, p_type)",
+)
+_ONE = """SELECT l.country, l.entity_id AS s, l.name_sorted FROM ps1 l WHERE name_sorted <> '' AND (SELECT count(*) FROM ps1 x WHERE x.country = l.country AND x.name_sorted = l.name_sorted) = 1"""
 _LESS = "SELECT country, id, word, array_to_string(list_filter(toks, lambda t: t <> word), ' ') AS k FROM (SELECT country, {id} AS id, string_split(name_sorted, ' ') AS toks, unnest(string_split(name_sorted, ' ')) AS word FROM {src} WHERE name_sorted <> '')"
-_NEAR = dict(
+_NEAR = _PARTS | dict(
     onename=_ONE,
-    poolless=_LESS.format(id="entity_id", src="pool"),
+    poolless=_LESS.format(id="entity_id", src="ppool"),
     s1less=_LESS.format(id="s", src="onename"),
-    fewpool=f"SELECT * FROM (SELECT country, entity_id AS e, name_sorted, count(*) OVER (PARTITION BY country, name_sorted) AS n FROM pool WHERE name_sorted <> '') WHERE n <= {Q.MAX_GROUP}",
+    fewpool=f"SELECT * FROM (SELECT country, entity_id AS e, name_sorted, count(*) OVER (PARTITION BY country, name_sorted) AS n FROM ppool WHERE name_sorted <> '') WHERE n <= {Q.MAX_GROUP}",
     nearpairs="""SELECT 'pool' AS side, word, o.s, p.id AS e FROM poolless p JOIN onename o ON p.country = o.country AND p.k = o.name_sorted
   UNION ALL SELECT 's1', word, q.id, f.e FROM s1less q JOIN fewpool f ON q.country = f.country AND q.k = f.name_sorted""",
 )
 
 
+def _parts(w: World) -> SP.Fold:
+    part = w.spark.read.parquet(f"{w.sf_dir}/part.parquet")
+    mine = F.col("p_partkey") % 4 == 0
+    key = F.concat(F.lit("S"), F.when(mine, "1").otherwise("2"), F.lit("-"), F.col("p_partkey").cast("string"))
+    name = F.when(F.floor(F.col("p_partkey") / 4) % 2 == 0, F.col("p_name")).otherwise(F.concat_ws(" ", "p_name", F.lower("p_type")))
+    rows = part.select(mine.alias("mine"), key.alias("entity_id"), F.col("p_brand").alias("country"), "p_name", "p_type", name.alias("name_core"))
+    rows = rows.withColumn("name_sorted", T.sorted_words(F.col("name_core")))
+    s1, pool = rows.where("mine"), rows.where("NOT mine")
+    own = s1.select(F.col("entity_id").alias(L), "country", "p_name", "p_type")
+    return SP.Fold(s1, pool, pool.join(own, ["country", "p_name", "p_type"]).select(L, R))
+
+
 @query(f"SELECT side, word, {P} FROM nearpairs", **_NEAR)
 def near_duplicates(w: World) -> DataFrame:
-    return B.one_word_pairs(w.s1, w.pool, Q.MAX_GROUP)
+    world = _parts(w)
+    return B.one_word_pairs(world.s1, world.pool, Q.MAX_GROUP)
 
 
 # ---- statistics -----------------------------------------------------------------------------------------------------
@@ -620,31 +640,39 @@ def feat_phonetic(w: World) -> DataFrame:
 
 
 _EV = _NEAR | dict(
-    labelled="SELECT side, word, (truth.s IS NOT NULL)::INT AS m FROM nearpairs LEFT JOIN truth USING (s, e)",
+    labelled="SELECT side, word, (ptruth.s IS NOT NULL)::INT AS m FROM nearpairs LEFT JOIN ptruth USING (s, e)",
     base="SELECT side, avg(m) AS b FROM labelled GROUP BY side HAVING avg(m) > 0 AND avg(m) < 1",
-    evid="""SELECT side, word, count(*) AS n, round(ln(((sum(m) + 20 * b) / b) / ((count(*) - sum(m) + 20 * (1 - b)) / (1 - b))), 4) AS llr
-  FROM labelled JOIN base USING (side) GROUP BY side, word, b HAVING count(*) >= 1""",
+    evid="""SELECT side, word, count(*) AS n, round(ln(((sum(m) + 5 * b) / b) / ((count(*) - sum(m) + 5 * (1 - b)) / (1 - b))), 4) AS llr
+  FROM labelled JOIN base USING (side) GROUP BY side, word, b HAVING count(*) >= 2""",
 )
 
 
+def _evidence(world: SP.Fold) -> DataFrame:
+    return LN.fit_evidence(world.s1, world.pool, world.truth, Q.MAX_GROUP, 2, 5.0)
+
+
 @query("SELECT side, word, n, llr FROM evid", **_EV)
 def token_evidence(w: World) -> DataFrame:
-    return LN.fit_evidence(w.s1, w.pool, w.truth, Q.MAX_GROUP, 1)
+    return _evidence(_parts(w))
 
 
-_TE = ("pool", "r", "l"), ("s1", "l", "r")
+_TE = ("pool", "rc", "lc"), ("s1", "lc", "rc")
 
 
 @query(
-    f"""SELECT {P}, {", ".join(f"round(coalesce(sum(CASE WHEN side = '{d}' THEN llr END), 0), 6) AS te_{d}_sum, count(CASE WHEN side = '{d}' AND llr IS NULL THEN 1 END) AS te_{d}_unknown" for d, _, _ in _TE)}
-  FROM cand LEFT JOIN (SELECT * FROM ({" UNION ALL ".join(f"SELECT s, e, '{d}' AS side, unnest(list_filter(list_distinct({Q.words('name_core_' + a)}), lambda t: NOT list_contains({Q.words('name_core_' + b)}, t))) AS word FROM al" for d, a, b in _TE)})
+    f"""SELECT {P}, {", ".join(f"round(coalesce(sum(CASE WHEN side = '{d}' THEN llr END), 0), 6) AS te_{d}_sum, min(CASE WHEN side = '{d}' THEN llr END) AS te_{d}_min, max(CASE WHEN side = '{d}' THEN llr END) AS te_{d}_max, count(CASE WHEN side = '{d}' AND llr <= -0.1 THEN 1 END) AS te_{d}_decoy, count(CASE WHEN side = '{d}' AND llr >= 0.1 THEN 1 END) AS te_{d}_filler, count(CASE WHEN side = '{d}' AND llr IS NULL THEN 1 END) AS te_{d}_unknown" for d, _, _ in _TE)}
+  FROM psome LEFT JOIN (SELECT * FROM ({" UNION ALL ".join(f"SELECT s, e, '{d}' AS side, unnest(list_filter(list_distinct({Q.words(a)}), lambda t: NOT list_contains({Q.words(b)}, t))) AS word FROM psome" for d, a, b in _TE)})
   LEFT JOIN evid USING (side, word)) USING (s, e) GROUP BY s, e""",
+    psome="SELECT l.entity_id AS s, r.entity_id AS e, l.name_core AS lc, r.name_core AS rc FROM ps1 l JOIN ppool r USING (country, p_type)",
     **_EV,
 )
 def feat_tok_evidence(w: World) -> DataFrame:
-    evidence = LN.fit_evidence(w.s1, w.pool, w.truth, Q.MAX_GROUP, 1)
-    df = X.build_features(w.pairs, w.s1, w.pool, ("tok_evidence",), evidence)
-    return df.select(L, R, *[c for s in ("pool", "s1") for c in (F.round(f"te_{s}_sum", 6).alias(f"te_{s}_sum"), f"te_{s}_unknown")])
+    """All twelve columns, over parts of one brand and type; a word is strong from 0.1 on."""
+    world = _parts(w)
+    own = world.s1.select(F.col("entity_id").alias(L), "country", "p_type")
+    pairs = world.pool.join(own, ["country", "p_type"]).select(L, R)
+    df = X.tok_evidence(X.align(pairs, world.s1, world.pool), X.Context(evidence=_evidence(world)), strong=0.1)
+    return df.select(L, R, *[F.round(c, 6).alias(c) if c.endswith("sum") else F.col(c) for c in X.REGISTRY["tok_evidence"].columns])
 
 
 _N1L, _N1R = "la[1]", "lb[1]"
@@ -727,41 +755,55 @@ def keep_mask(w: World) -> DataFrame:
 
 
 _TOP2 = "SELECT s, e, prob, row_number() OVER (PARTITION BY s ORDER BY prob DESC, e) AS k FROM sc"
+_like = lambda a, b, c: Q.jaccard(Q.words(f"{a}.{c}"), Q.words(f"{b}.{c}"))
 
 
 @query(
-    f"""SELECT a.s AS source1_entity_id, a.e AS entity_id, coalesce(o.prob, 0) AS anc_p1,
-  {q6(f"CASE WHEN o.e IS NULL THEN 0 ELSE coalesce({Q.jaccard(Q.words('p.addr_norm'), Q.words('q.addr_norm'))}, 0) END AS anc_addr",
-      f"CASE WHEN o.e IS NULL THEN 0 ELSE coalesce({Q.jaccard(Q.words('p.name_core'), Q.words('q.name_core'))}, 0) END AS anc_name")},
-  CASE WHEN o.e IS NULL OR p.addr_nums = '' OR q.addr_nums = '' THEN NULL ELSE (p.addr_nums = q.addr_nums)::INT END AS anc_nums_eq
+    f"""SELECT a.s AS source1_entity_id, a.e AS entity_id, o.prob AS anc_p1,
+  {q6(f"{_like('p', 'q', 'addr_norm')} AS anc_addr_ts", f"{_like('p', 'q', 'addr_norm')} AS anc_addr_ratio", f"{_like('p', 'q', 'name_norm')} AS anc_name_ts")},
+  CASE WHEN p.addr_nums <> '' AND q.addr_nums <> '' THEN (p.addr_nums = q.addr_nums)::INT END AS anc_nums_eq
   FROM top2 a LEFT JOIN top2 o ON a.s = o.s AND o.k = CASE WHEN a.k = 1 THEN 2 ELSE 1 END JOIN pool p ON a.e = p.entity_id LEFT JOIN pool q ON o.e = q.entity_id""",
     top2=_TOP2,
 )
 def anchor(w: World) -> DataFrame:
-    return C.anchors(w.scored, w.pool).select(L, R, "anc_p1", *r6("anc_addr", "anc_name"), "anc_nums_eq")
+    """With word overlaps for scores, which SQL has too; ``anchor_scores`` has the real ones."""
+    return C.anchors(w.scored, w.pool, scores=C.OVERLAP).select(L, R, "anc_p1", *r6("anc_addr_ts", "anc_addr_ratio", "anc_name_ts"), "anc_nums_eq")
+
+
+@query()
+def anchor_scores(w: World) -> DataFrame:
+    return C.anchors(w.scored, w.pool)
 
 
 @query(
-    f"""SELECT a.s AS source1_entity_id, a.e AS entity_id, {q6("ra AS riv_addr",
-    f"CASE WHEN o.s IS NULL THEN 0 ELSE coalesce({Q.jaccard(Q.words('p.name_core'), Q.words('q.name_core'))}, 0) END AS riv_name",
-    f"coalesce({Q.jaccard(Q.words('p.addr_norm'), Q.words('m.addr_norm'))}, 0) - ra AS riv_addr_gap")}
-  FROM topr a LEFT JOIN topr o ON a.e = o.e AND o.k = CASE WHEN a.k = 1 THEN 2 ELSE 1 END JOIN pool p ON a.e = p.entity_id JOIN s1 m ON a.s = m.entity_id LEFT JOIN s1 q ON o.s = q.entity_id,
-  LATERAL (SELECT CASE WHEN o.s IS NULL THEN 0 ELSE coalesce({Q.jaccard(Q.words('p.addr_norm'), Q.words('q.addr_norm'))}, 0) END AS ra)""",
+    f"""SELECT a.s AS source1_entity_id, a.e AS entity_id, {q6(f"{_like('p', 'q', 'addr_norm')} AS riv_addr_ts", f"{_like('p', 'q', 'name_norm')} AS riv_name_ts",
+    f"{_like('p', 'm', 'addr_norm')} - {_like('p', 'q', 'addr_norm')} AS riv_addr_gap")}
+  FROM topr a LEFT JOIN topr o ON a.e = o.e AND o.k = CASE WHEN a.k = 1 THEN 2 ELSE 1 END JOIN pool p ON a.e = p.entity_id JOIN s1 m ON a.s = m.entity_id LEFT JOIN s1 q ON o.s = q.entity_id""",
     topr="SELECT s, e, prob, row_number() OVER (PARTITION BY e ORDER BY prob DESC, s) AS k FROM sc",
 )
 def rival(w: World) -> DataFrame:
-    return C.rivals(w.scored, w.s1, w.pool).select(L, R, *r6("riv_addr", "riv_name", "riv_addr_gap"))
+    return C.rivals(w.scored, w.s1, w.pool, scores=C.OVERLAP).select(L, R, *r6("riv_addr_ts", "riv_name_ts", "riv_addr_gap"))
+
+
+@query()
+def rival_scores(w: World) -> DataFrame:
+    return C.rivals(w.scored, w.s1, w.pool)
 
 
 @query(
-    f"""SELECT a.s AS source1_entity_id, a.e AS entity_id, {q6("coalesce(CASE WHEN sum(b.prob) > 0 THEN sum(b.prob * sa) / sum(b.prob) END, 0) AS coh_addr",
-    "coalesce(CASE WHEN sum(b.prob) > 0 THEN sum(b.prob * sn) / sum(b.prob) END, 0) AS coh_name")}, count(CASE WHEN b.prob >= 0.5 AND sa >= 0.8 THEN 1 END) AS coh_support
+    f"""SELECT a.s AS source1_entity_id, a.e AS entity_id, {q6("CASE WHEN sum(CASE WHEN sa IS NOT NULL THEN b.prob END) > 0 THEN sum(b.prob * sa) / sum(CASE WHEN sa IS NOT NULL THEN b.prob END) END AS coh_addr",
+    "CASE WHEN sum(CASE WHEN sn IS NOT NULL THEN b.prob END) > 0 THEN sum(b.prob * sn) / sum(CASE WHEN sn IS NOT NULL THEN b.prob END) END AS coh_name")}, count(CASE WHEN b.prob >= 0.5 AND sa >= 0.8 THEN 1 END) AS coh_support
   FROM sc a LEFT JOIN sc b ON a.s = b.s AND a.e <> b.e,
-  LATERAL (SELECT coalesce({Q.jaccard(Q.words('a.addr_norm_r'), Q.words('b.addr_norm_r'))}, 0) AS sa, coalesce({Q.jaccard(Q.words('a.name_core_r'), Q.words('b.name_core_r'))}, 0) AS sn)
+  LATERAL (SELECT {Q.jaccard(Q.words('a.addr_norm_r'), Q.words('b.addr_norm_r'))} AS sa, {Q.jaccard(Q.words('a.name_norm_r'), Q.words('b.name_norm_r'))} AS sn)
   GROUP BY a.s, a.e"""
 )
 def cohesion(w: World) -> DataFrame:
-    return C.cohesion(w.scored, w.pool).select(L, R, *r6("coh_addr", "coh_name"), "coh_support")
+    return C.cohesion(w.scored, w.pool, scores=C.OVERLAP).select(L, R, *r6("coh_addr", "coh_name"), "coh_support")
+
+
+@query()
+def cohesion_scores(w: World) -> DataFrame:
+    return C.cohesion(w.scored, w.pool)
 
 
 # ---- decisions ------------------------------------------------------------------------------------------------------
@@ -810,25 +852,69 @@ def decode_tight(w: World) -> DataFrame:
     return D.decode_tight(w.scored, 3.0, 0.2, 11, True)
 
 
-_GRID = D.Grid((0.3, 0.7, 0.1), (0.0, 0.6), (0.0, 0.2), (2, 11))
-_RULES = _GRID.rules()
+_RULES = D.rule_table((0.3, 0.4, 0.5, 0.6, 0.7), (0.0, 0.6), (0.0, 0.2), (2, 11))
 
 
-@query(
-    f"""SELECT rules.rule, tau_abs, tau_rel, tau_single, max_matches, round(avg({Q.f05("coalesce(tp, 0)", "coalesce(n_pred, 0)", "coalesce(n_true, 0)")}), 6) AS f_beta, coalesce(sum(n_pred), 0)::BIGINT AS n_pred
-  FROM rules CROSS JOIN s1 LEFT JOIN (SELECT s, count(*) AS n_true FROM truth GROUP BY s) t ON s1.entity_id = t.s
-  LEFT JOIN (SELECT rule, rk.s, count(*) AS n_pred, count(truth.s) AS tp FROM rk JOIN rules ON prob >= tau_abs AND prob >= tau_rel * p_max AND p_max >= tau_single AND rnk <= max_matches
-  LEFT JOIN truth ON rk.s = truth.s AND rk.e = truth.e GROUP BY ALL) c ON c.rule = rules.rule AND c.s = s1.entity_id GROUP BY ALL""",
-    rules=" UNION ALL ".join(f"SELECT {i} AS rule, {r.tau_abs!r}::DOUBLE AS tau_abs, {r.tau_rel!r}::DOUBLE AS tau_rel, {r.tau_single!r}::DOUBLE AS tau_single, {r.max_matches} AS max_matches" for i, r in enumerate(_RULES)),
-)
+def _tried(rules: str) -> str:
+    """SQL of the macro score of every rule of a table."""
+    return f"""SELECT {rules}.rule, tau_abs, tau_rel, tau_single, max_matches, avg({Q.f05("coalesce(tp, 0)", "coalesce(n_pred, 0)", "coalesce(n_true, 0)")}) AS f, coalesce(sum(n_pred), 0)::BIGINT AS n_pred
+  FROM {rules} CROSS JOIN s1 LEFT JOIN (SELECT s, count(*) AS n_true FROM truth GROUP BY s) t ON s1.entity_id = t.s
+  LEFT JOIN (SELECT rule, rk.s, count(*) AS n_pred, count(truth.s) AS tp FROM rk JOIN {rules} ON prob >= tau_abs AND prob >= tau_rel * p_max AND p_max >= tau_single AND rnk <= max_matches
+  LEFT JOIN truth ON rk.s = truth.s AND rk.e = truth.e GROUP BY ALL) c ON c.rule = {rules}.rule AND c.s = s1.entity_id GROUP BY ALL"""
+
+
+_VALUES = " UNION ALL ".join(f"SELECT {i} AS rule, {r.tau_abs!r}::DOUBLE AS tau_abs, {r.tau_rel!r}::DOUBLE AS tau_rel, {r.tau_single!r}::DOUBLE AS tau_single, {r.max_matches} AS max_matches" for i, r in enumerate(_RULES))
+_FIRST = "SELECT * FROM {t} WHERE f >= (SELECT max(f) FROM {t}) - 1e-4::DOUBLE ORDER BY tau_abs DESC, tau_rel DESC, tau_single DESC, max_matches LIMIT 1"
+
+
+@query("SELECT rule, tau_abs, tau_rel, tau_single, max_matches, round(f, 6) AS f_beta, n_pred FROM tried", rules=_VALUES, tried=_tried("rules"))
 def rule_grid(w: World) -> DataFrame:
     return D.evaluate_rules(w.scored, w.ids, w.truth, _RULES).select("rule", "tau_abs", "tau_rel", "tau_single", "max_matches", *r6("f_beta"), "n_pred")
 
 
-@query()
+@query(
+    "SELECT round(tau_abs, 6) AS tau_abs, round(tau_rel, 6) AS tau_rel, round(tau_single, 6) AS tau_single, max_matches, true AS one_to_one FROM best2",
+    rules=_VALUES,
+    tried=_tried("rules"),
+    best1=_FIRST.format(t="tried"),
+    rules2="SELECT 1000 + k AS rule, round(tau_abs + round(k * 0.005::DOUBLE, 10), 10) AS tau_abs, tau_rel, round(tau_single + round(k * 0.005::DOUBLE, 10), 10) AS tau_single, max_matches FROM best1, range(-6, 7) r(k)",
+    tried2=_tried("rules2"),
+    all_tried="SELECT * FROM tried UNION ALL SELECT * FROM tried2",
+    best2=_FIRST.format(t="all_tried"),
+)
 def rule_tuning(w: World) -> DataFrame:
-    best, _ = D.tune(w.scored, w.ids, w.truth, _GRID)
-    return w.spark.createDataFrame([asdict(best)])
+    best, _ = D.tune(w.scored, w.ids, w.truth, _RULES)
+    return w.spark.createDataFrame([asdict(best)]).select(*r6("tau_abs", "tau_rel", "tau_single"), F.col("max_matches").cast("int"), "one_to_one")
+
+
+_GAMMAS, _MISSES = (0.8, 1.2, 2.0), (0.0, 0.1, 0.4)
+
+
+@query(
+    f"""SELECT gamma, miss, round(avg({Q.f05("coalesce(tp, 0)", "coalesce(n_pred, 0)", "coalesce(n_true, 0)")}), 6) AS f_beta FROM (SELECT gamma, miss, entity_id FROM sets CROSS JOIN s1) g
+  LEFT JOIN (SELECT s, count(*) AS n_true FROM truth GROUP BY s) t ON g.entity_id = t.s
+  LEFT JOIN (SELECT gamma, miss, s, count(*) AS n_pred, count(t.e) AS tp FROM (SELECT * FROM xk WHERE rnk <= kk AND best > floor) LEFT JOIN truth t USING (s, e) GROUP BY ALL) c ON c.gamma = g.gamma AND c.miss = g.miss AND c.s = g.entity_id GROUP BY ALL""",
+    sets=" UNION ALL ".join(f"SELECT {g!r}::DOUBLE AS gamma, {m!r}::DOUBLE AS miss" for g in _GAMMAS for m in _MISSES),
+    xq="SELECT s, e, prob, rnk, gamma, miss, power(least(greatest(prob, 0.0::DOUBLE), 1 - 1e-7::DOUBLE), gamma) AS q FROM rk, sets",
+    xc="SELECT *, sum(q) OVER (PARTITION BY gamma, miss, s ORDER BY rnk) AS cum, sum(q) OVER (PARTITION BY gamma, miss, s) AS total, sum(ln(1 - q)) OVER (PARTITION BY gamma, miss, s) AS logs FROM xq",
+    xv="SELECT *, CASE WHEN rnk <= 11 THEN 1.25::DOUBLE * cum / (0.25::DOUBLE * (total + miss) + rnk) END AS v, exp(logs - miss) AS floor FROM xc",
+    xb="SELECT *, max(v) OVER (PARTITION BY gamma, miss, s) AS best FROM xv",
+    xk="SELECT *, min(CASE WHEN v >= best THEN rnk END) OVER (PARTITION BY gamma, miss, s) AS kk FROM xb",
+)
+def expected_tuning(w: World) -> DataFrame:
+    return D.tune_expected(w.scored, w.ids, w.truth, _GAMMAS, _MISSES)[1].select("gamma", "miss", *r6("f_beta"))
+
+
+@query(
+    f"""SELECT {P}, prob FROM rkc WHERE country = 'de' AND prob >= 0.4 AND prob >= 0.5::DOUBLE * p_max AND p_max >= 0.4 AND rnk <= 2
+  UNION ALL SELECT {P}, prob FROM rkc WHERE country = 'fr' AND prob >= 0.6 AND p_max >= 0.7 AND rnk <= 1
+  UNION ALL SELECT {P}, prob FROM rkc WHERE country NOT IN ('de', 'fr') AND prob >= 0.5 AND p_max >= 0.5 AND rnk <= 11""",
+    otc="SELECT * FROM (SELECT sc.s, sc.e, sc.prob, sc.country, row_number() OVER (PARTITION BY CASE WHEN country IN ('de', 'fr') THEN country ELSE '' END, e ORDER BY prob DESC, s) AS rp FROM sc) WHERE rp = 1",
+    rkc="SELECT *, max(prob) OVER (PARTITION BY s) AS p_max, row_number() OVER (PARTITION BY s ORDER BY prob DESC, e) AS rnk FROM otc",
+)
+def rules_by_country(w: World) -> DataFrame:
+    rules = {"de": D.Rule(0.4, 0.5, 0.4, 2), "fr": D.Rule(0.6, 0.0, 0.7, 1)}
+    return D.decide_by_country(w.scored.select(L, R, "prob"), w.s1, rules).select(L, R, "prob")
 
 
 # ---- evaluation -----------------------------------------------------------------------------------------------------
@@ -875,6 +961,7 @@ _SLICES = {
     "country": "country",
     "non_latin": _YES("non_latin"),
     "ambiguous": _YES("same > 1 AND name_core <> ''"),
+    "singleton": _YES("n_true = 0"),
     "n_matches": "CASE WHEN n_true = 0 THEN '0' WHEN n_true = 1 THEN '1' WHEN n_true = 2 THEN '2' WHEN n_true <= 4 THEN '3-4' ELSE '5+' END",
     "postcode": _YES("postcode <> ''"),
     "addr_empty": _YES("addr_norm = ''"),
@@ -890,7 +977,7 @@ _SLICES = {
     sl="SELECT ef.*, x.country, x.non_latin, x.name_core, x.postcode, x.addr_norm, x.same FROM ef JOIN (SELECT *, count(*) OVER (PARTITION BY country, name_core) AS same FROM s1) x ON ef.s = x.entity_id",
 )
 def slice_report(w: World) -> DataFrame:
-    rows = E.slice_report(D.decide(w.scored), w.s1, w.pool, w.truth)
+    rows = E.slice_report(D.decide(w.scored), w.s1, w.truth)
     return rows.select("family", "slice", "n_s1", *r6("f05", "precision", "recall"))
 
 
@@ -921,6 +1008,38 @@ def reliability(w: World) -> DataFrame:
     return E.reliability(labels, "p", "quality", "doc_id").select("bin", "n", *r6("mean_prob", "mean_label"))
 
 
+@query(
+    """SELECT round((SELECT (sum(r) - count(*) * (count(*) + 1) / 2.0::DOUBLE) / (count(*) * (SELECT count(*) FROM rk2 WHERE quality = 0)) FROM rk2 WHERE quality = 1), 6) AS auc,
+  round(avg((p - quality) ** 2), 6) AS brier, round(avg(-ln(CASE WHEN quality = 1 THEN p ELSE 1 - p END)), 6) AS log_loss FROM rel""",
+    rel=_REL,
+    rk2="SELECT quality, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0::DOUBLE AS r FROM rel",
+)
+def score_quality(w: World) -> DataFrame:
+    """Rank, squared and logarithmic scores of a probability against a label, in one row."""
+    labels = w.spark.read.parquet(f"{w.sf_dir}/labels.parquet").withColumn("p", F.round(hash_unit(F.col("doc_id"), 3), 9))
+    parts = E.auc(labels, "p", "quality"), E.brier(labels, "p", "quality"), M.log_loss(labels, "p", "quality")
+    return parts[0].select(*r6("auc")).withColumn("brier", F.round(parts[1].scalar(), 6)).withColumn("log_loss", F.round(parts[2].scalar(), 6))
+
+
+@query(
+    """SELECT round(sum(n * abs(mean_prob - mean_label)) / sum(n), 6) AS ece FROM (SELECT bin, count(*) AS n, avg(p) AS mean_prob, avg(quality) AS mean_label FROM
+  (SELECT p, quality, i, max(b)::INT AS bin FROM (SELECT *, row_number() OVER (ORDER BY p, doc_id) - 1 AS i, count(*) OVER () AS n FROM rel), range(1, 11) r(b) WHERE round_even(n * (b - 1) / 10.0::DOUBLE, 0) <= i GROUP BY ALL) GROUP BY bin)""",
+    rel=_REL,
+)
+def calibration_error(w: World) -> DataFrame:
+    labels = w.spark.read.parquet(f"{w.sf_dir}/labels.parquet").withColumn("p", F.round(hash_unit(F.col("doc_id"), 3), 9))
+    return E.calibration(E.reliability(labels, "p", "quality", "doc_id", 10)).select(*r6("ece"))
+
+
+@query(
+    f"""SELECT {q6("f AS f05", "f - t2 AS loss_fp", "1 - f - (f - t2) AS loss_fn", "t AS f_tight", "t - 0.0072::DOUBLE AS est_public")} FROM
+  (SELECT avg(f) AS f, avg(f - (g - f)) AS t2, avg(f - 0.45::DOUBLE * (g - f)) AS t FROM ef)""",
+    ef=_EF,
+)
+def loss_parts(w: World) -> DataFrame:
+    return E.loss_parts(D.decide(w.scored), w.ids, w.truth).select(*r6("f05", "loss_fp", "loss_fn", "f_tight", "est_public"))
+
+
 # ---- splits and samples ---------------------------------------------------------------------------------------------
 
 
@@ -1042,25 +1161,24 @@ def hard_negative_weights(w: World) -> DataFrame:
 
 
 @query(
-    f"""SELECT stage, {", ".join(f"round(count(CASE WHEN country = '{c}' THEN 1 END)::DOUBLE / nullif((SELECT count(*) FROM st WHERE country = '{c}'), 0), 6) AS {c}" for c in ("de", "en", "es", "fr"))} FROM st GROUP BY stage""",
-    st="""SELECT t.s, t.e, l.country, CASE WHEN c.s IS NULL THEN 'blocking' WHEN k.s IS NULL THEN 'one-to-one' WHEN p.s IS NULL THEN 'threshold' ELSE 'found' END AS stage FROM truth t JOIN s1 l ON t.s = l.entity_id
+    "SELECT country, stage, count(*) AS n, round(count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY country), 6) AS share FROM st GROUP BY country, stage",
+    st="""SELECT t.s, t.e, l.country, CASE WHEN c.s IS NULL THEN 'blocking' WHEN k.s IS NULL THEN 'one_to_one' WHEN p.s IS NULL THEN 'threshold' ELSE 'found' END AS stage FROM truth t JOIN s1 l ON t.s = l.entity_id
   LEFT JOIN cand c ON t.s = c.s AND t.e = c.e LEFT JOIN oto k ON t.s = k.s AND t.e = k.e LEFT JOIN pred p ON t.s = p.s AND t.e = p.e""",
 )
 def stage_crosstab(w: World) -> DataFrame:
-    """Where true pairs are lost, as shares of each country."""
-    rows = w.truth
-    for name, df in (("c", w.pairs), ("k", D.one_to_one(w.scored)), ("p", D.decide(w.scored))):
-        rows = B.existing(rows, df, name)
-    stage = F.when(~F.col("c"), "blocking").when(~F.col("k"), "one-to-one").when(~F.col("p"), "threshold").otherwise("found")
-    rows = rows.withColumn("stage", stage).join(w.s1.select(F.col("entity_id").alias(L), "country"), L)
-    table = rows.groupBy("stage").pivot("country", ["de", "en", "es", "fr"]).count()
-    return table.select("stage", *[F.round(F.coalesce(c, F.lit(0)) / F.sum(c).over(W.partitionBy(F.lit(1))), 6).alias(c) for c in ("de", "en", "es", "fr")])
+    """Where true pairs are lost, as shares of each country's."""
+    lost = E.lost_at(w.truth, {"blocking": w.pairs, "one_to_one": D.one_to_one(w.scored), "threshold": D.decide(w.scored)})
+    return E.stage_shares(lost, w.s1).select("country", "stage", "n", *r6("share"))
 
 
 @query("SELECT country, least(floor(p * 5), 4)::INT AS bin, count(*) AS n FROM (SELECT s, country, max(prob) AS p FROM sc GROUP BY s, country) GROUP BY ALL")
 def pmax_histogram(w: World) -> DataFrame:
-    top = w.scored.groupBy(L, "country").agg(F.max("prob").alias("p"))
-    return top.groupBy("country", F.least(F.floor(F.col("p") * 5), F.lit(4)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return E.score_histogram(E.best_scores(w.scored, w.s1), 5)
+
+
+@query("SELECT entity_id AS source1_entity_id, country, p_max, coalesce(n, 0) AS n_cands FROM s1 LEFT JOIN (SELECT s, max(prob) AS p_max, count(*) AS n FROM sc GROUP BY s) ON s = entity_id")
+def best_scores(w: World) -> DataFrame:
+    return E.best_scores(w.scored, w.s1)
 
 
 @query(
@@ -1068,22 +1186,22 @@ def pmax_histogram(w: World) -> DataFrame:
   FROM (SELECT s, e FROM rk WHERE prob >= 0.5 AND rnk <= 1) a FULL JOIN (SELECT s, e FROM rk WHERE prob >= 0.6 AND rnk <= 3) b ON a.s = b.s AND a.e = b.e"""
 )
 def submission_diff(w: World) -> DataFrame:
-    a, b = (D.decide(w.scored, D.Rule(t, 0.0, 0.0, m)).select(L, R, F.lit(True).alias(n)) for t, m, n in ((0.5, 1, "a"), (0.6, 3, "b")))
-    side = F.when(F.col("b").isNull(), "left").when(F.col("a").isNull(), "right").otherwise("both")
-    return a.join(b, [L, R], "full").select(L, R, side.alias("side"))
+    return E.match_diff(*(D.decide(w.scored, D.Rule(t, 0.0, 0.0, m)) for t, m in ((0.5, 1), (0.6, 3))))
+
+
+def _labelled(w: World) -> DataFrame:
+    rows = B.label_pairs(X.REGISTRY["name_tokens"].add(w.scored, X.Context()), w.truth).withColumnRenamed("tok_jaccard", "name")
+    return rows.withColumn("addr", F.coalesce(X.jaccard(*X.sets("addr_norm")), F.lit(0.0)))
 
 
-@query(f"SELECT label, {q6('avg(n) AS name', 'avg(a) AS addr', 'sum(a * prob) / sum(prob) AS weighted_addr')}, count(*) AS rows FROM hn GROUP BY label", hn=_HN)
+@query(f"SELECT label, {q6('avg(n) AS name', 'avg(a) AS addr', 'sum(n * prob) / sum(prob) AS weighted_name', 'sum(a * prob) / sum(prob) AS weighted_addr')}, count(*) AS rows FROM hn GROUP BY label", hn=_HN)
 def class_means(w: World) -> DataFrame:
-    rows = B.label_pairs(X.REGISTRY["name_tokens"].add(w.scored, X.Context()), w.truth)
-    rows = rows.withColumn("a", F.coalesce(X.jaccard(*X.sets("addr_norm")), F.lit(0.0)))
-    means = rows.groupBy("label").agg(F.avg("tok_jaccard").alias("name"), F.avg("a").alias("addr"), (F.sum(F.col("a") * F.col("prob")) / F.sum("prob")).alias("weighted_addr"), F.count(F.lit(1)).alias("rows"))
-    return means.select("label", *r6("name", "addr", "weighted_addr"), "rows")
+    return E.means_by_class(_labelled(w), ("name", "addr"), "prob").select("label", *r6("name", "addr", "weighted_name", "weighted_addr"), "rows")
 
 
-@query(f"SELECT {q6('corr(prob, label) AS r')} FROM hn", hn=_HN)
+@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", round(corr({v}, label), 6) AS r FROM hn" for c, v in (("prob", "prob"), ("name", "n"), ("addr", "a"))), hn=_HN)
 def label_correlation(w: World) -> DataFrame:
-    return B.label_pairs(w.scored, w.truth).agg(F.round(F.corr("prob", "label"), 6).alias("r"))
+    return E.correlations(_labelled(w), ("prob", "name", "addr")).select("column", *r6("r"))
 
 
 @query("SELECT country, count(*) FILTER (side = 1) AS n_s1, count(*) FILTER (side = 2) AS n_pool FROM (SELECT country, 1 AS side FROM s1 UNION ALL SELECT country, 2 FROM pool) GROUP BY country")
@@ -1115,6 +1233,7 @@ def country_table(w: World) -> DataFrame:
 
 @query()
 def error_tags(w: World) -> DataFrame:
+    """Tags of the errors of a rule that finds only some of the pairs of one name."""
     x = X.build_features(w.pairs, w.s1, w.pool, ("name_fuzzy", "name_tokens", "numeric", "address", "meta", "address_extra"))
     return E.error_tags(E.error_pairs(D.decide(w.scored), w.truth), x)
 
@@ -1156,6 +1275,6 @@ def logreg(w: World) -> DataFrame:
 @query()
 def gbt_crossfit(w: World) -> DataFrame:
     rows, names = _training(w)
-    rows = rows.persist()
+    rows = IO.stage_table(rows, "training")
     models = M.cross_fit(rows, names, 2, max_iter=5, max_depth=3)
     return M.cross_predict(models, rows, rows).select(L, R, "prob")

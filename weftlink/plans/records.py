@@ -12,10 +12,12 @@ from ..functions import text as T
 from ..operators.blocking import BlockingConfig, TopK, block
 from ..operators.features import align, jaccard, sets
 from ..operators.match import heuristic
+from ..sources.tables import stage_table
 
 L, R = "source1_entity_id", "entity_id"
 FILLERS = ("the", "of", "de", "la", "and")
 SPACE = TopK("name_addr", k=5, min_sim=0.2, min_df=2, max_df=0.02)
+_TABLES: dict[tuple[str, str, str], DataFrame] = {}
 BLOCKING = BlockingConfig(max_group=20, max_per_s1=60, spaces=(SPACE,))
 
 
@@ -63,8 +65,15 @@ class World:
 
     @cached_property
     def records(self) -> DataFrame:
-        """Normalised records: each pass reads them, so they are kept."""
-        return records(self.spark, self.sf_dir).persist()
+        """Normalised records: each pass reads them, so they are a table."""
+        return self._kept("records", lambda: records(self.spark, self.sf_dir))
+
+    def _kept(self, name: str, build) -> DataFrame:
+        """A table in the shared folder, made once per session and folder of input: it outlives lost executors."""
+        key = self.spark.sparkContext.applicationId, self.sf_dir, name
+        if key not in _TABLES:
+            _TABLES[key] = stage_table(build(), name)
+        return _TABLES[key]
 
     @property
     def s1(self) -> DataFrame:
@@ -86,8 +95,8 @@ class World:
 
     @cached_property
     def pairs(self) -> DataFrame:
-        """Candidates: every later step reads them more than once, so they are kept."""
-        return block(self.s1, self.pool, BLOCKING).persist()
+        """Candidates: every later step reads them more than once, so they are a table."""
+        return self._kept("candidates", lambda: block(self.s1, self.pool, BLOCKING))
 
     @cached_property
     def aligned(self) -> DataFrame:

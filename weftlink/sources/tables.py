@@ -6,6 +6,8 @@ import hashlib
 import json
 import tempfile
 import uuid
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,28 +40,106 @@ def check_source(df: DataFrame, source: int) -> DataFrame:
     return df
 
 
-def cached(spark: SparkSession, path: str, build, key: dict | None = None) -> DataFrame:
-    """The Parquet table at ``path``, built once. A table that another configuration has written is refused."""
-    mark = hashlib.sha256(json.dumps(key or {}, sort_keys=True, default=str).encode()).hexdigest()[:16]
+def _absent(e: Exception) -> bool:
+    return "PATH_NOT_FOUND" in str(e)
+
+
+def _mark(spark: SparkSession, path: str) -> tuple[str, str] | None:
+    """The mark and configuration of a whole table; a table without them was never finished."""
     try:
-        found = spark.read.parquet(path)
+        row = spark.read.schema("mark string, config string").json(path.rstrip("/") + ".key").first()
     except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
+        if not _absent(e):
             raise
-        build().write.parquet(path)
-        spark.createDataFrame([(mark, json.dumps(key or {}, default=str))], "mark string, config string").coalesce(1).write.mode("overwrite").json(path.rstrip("/") + ".key")
-        return spark.read.parquet(path)
-    seen = spark.read.schema("mark string, config string").json(path.rstrip("/") + ".key").first()
-    if seen is None or seen["mark"] != mark:
-        raise ValueError(f"{path} was written under another configuration: {seen and seen['config']}")
-    return found
+        return None
+    return row and tuple(row)
+
+
+def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame], key: Mapping | None = None, by: str | None = None) -> DataFrame:
+    """The Parquet table at ``path``, built once, in folders of column ``by``. A table of another ``key`` is refused.
+
+    The key is written behind the whole table: what a run that died has left has none, and is built again. Put marks of
+    the inputs (``fingerprint``) in the key where they can change.
+    """
+    config = json.dumps(key or {}, sort_keys=True, default=str)
+    mark = hashlib.sha256(config.encode()).hexdigest()[:16]
+    seen = _mark(spark, path)
+    if seen is None:
+        build().write.mode("overwrite").parquet(path, partitionBy=by)
+        spark.createDataFrame([(mark, config)], "mark string, config string").coalesce(1).write.mode("overwrite").json(path.rstrip("/") + ".key")
+    elif seen[0] != mark:
+        raise ValueError(f"{path} was written under another configuration: {seen[1]}")
+    return spark.read.parquet(path)
+
+
+class Store:
+    """The tables of a run's stages, by name. With a folder they stay, and a run that died goes on behind its last whole table;
+    a folder that another configuration has filled is refused. Without one they go to the shared folder.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str | None = None, key: Mapping | None = None):
+        self.spark, self.folder, self.key = spark, folder and folder.rstrip("/"), dict(key or {})
+
+    def __call__(self, name: str, build: Callable[[], DataFrame], by: str | None = None) -> DataFrame:
+        if self.folder is None:
+            return stage_table(build(), name)
+        return cached(self.spark, f"{self.folder}/{name}", build, self.key, by)
+
+    def under(self, name: str) -> Store:
+        return Store(self.spark, self.folder and f"{self.folder}/{name}", self.key)
+
+
+#: Where a dataset's folders may lie under its root.
+LAYOUTS = ("", "dataset")
+
+
+def find_dataset(spark: SparkSession, root: str) -> str:
+    """The first layout under ``root`` that has a ``train`` folder."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for layout in LAYOUTS:
+        found = f"{root.rstrip('/')}/{layout}".rstrip("/")
+        path = jvm.org.apache.hadoop.fs.Path(f"{found}/train")
+        if path.getFileSystem(conf).exists(path):
+            return found
+    raise ValueError(f"no train folder under {root}, in any of the layouts {LAYOUTS}")
+
+
+def source_path(folder: str, split: str, source: int) -> str:
+    """The file of a source: splits are train and test, sources 1 to 3."""
+    if split not in ("train", "test") or source not in (1, 2, 3):
+        raise ValueError(f"no source {source} in split {split!r}")
+    return f"{folder.rstrip('/')}/{split}/source{source}.tsv"
+
+
+def load_sources(spark: SparkSession, folder: str, split: str, sources: Sequence[int] = (1, 2, 3), columns: Sequence[str] | None = None, store: Store | None = None) -> DataFrame:
+    """The records of some sources, checked, with the columns asked for; from ``store`` where one is given."""
+
+    def one(k: int) -> DataFrame:
+        build = lambda: check_source(read_tsv(spark, source_path(folder, split, k)), k)
+        return build() if store is None else store(f"{split}-{k}", build)
+
+    rows = reduce(DataFrame.unionByName, map(one, sources))
+    return rows.select(*columns) if columns else rows
+
+
+def load_normalised(records: DataFrame, columns: Sequence[str] | None = None, countries: Sequence[str] | None = None, ids: DataFrame | None = None) -> DataFrame:
+    """Normalised records of some countries and of some ids (``entity_id``), with the columns asked for.
+
+    All three reach the scan: a table in folders by country reads only those asked for.
+    """
+    rows = records if countries is None else records.where(F.col("country").isin(*countries))
+    rows = rows if ids is None else rows.join(ids.select("entity_id").distinct(), "entity_id", "left_semi")
+    return rows.select(*columns) if columns else rows
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Where tables between stages go: the cluster's shared folder; a temporary one only where none is set, as in tests."""
+    """Where tables between stages go: the cluster's shared folder; a temporary one only where none is set and all run in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = shared_folder.own = getattr(shared_folder, "own", None) or "file://" + tempfile.mkdtemp(prefix="weftlink-")
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    found = shared_folder.own = getattr(shared_folder, "own", None) or "file://" + tempfile.mkdtemp(prefix="weftlink-")
     return found
 
 
@@ -147,3 +227,14 @@ def validate(matches: DataFrame, candidates: DataFrame, s1: DataFrame, pool: Dat
 def fingerprint(ids: DataFrame, column: str) -> DataFrame:
     """``n, key``: an order-free mark of a set of ids."""
     return ids.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(column)).alias("key"))
+
+
+def file_digest(path: str) -> str:
+    """SHA-256 of a local file."""
+    with open(path, "rb") as f:
+        return hashlib.file_digest(f, "sha256").hexdigest()
+
+
+def same_files(pairs: Mapping[str, str]) -> dict[str, bool]:
+    """Whether each file has the content of the one it is compared with."""
+    return {a: file_digest(a) == file_digest(b) for a, b in pairs.items()}
