@@ -663,8 +663,7 @@ _TE = ("pool", "rc", "lc"), ("s1", "lc", "rc")
     f"""SELECT {P}, {", ".join(f"round(coalesce(sum(CASE WHEN side = '{d}' THEN llr END), 0), 6) AS te_{d}_sum, min(CASE WHEN side = '{d}' THEN llr END) AS te_{d}_min, max(CASE WHEN side = '{d}' THEN llr END) AS te_{d}_max, count(CASE WHEN side = '{d}' AND llr <= -0.1 THEN 1 END) AS te_{d}_decoy, count(CASE WHEN side = '{d}' AND llr >= 0.1 THEN 1 END) AS te_{d}_filler, count(CASE WHEN side = '{d}' AND llr IS NULL THEN 1 END) AS te_{d}_unknown" for d, _, _ in _TE)}
   FROM psome LEFT JOIN (SELECT * FROM ({" UNION ALL ".join(f"SELECT s, e, '{d}' AS side, unnest(list_filter(list_distinct({Q.words(a)}), lambda t: NOT list_contains({Q.words(b)}, t))) AS word FROM psome" for d, a, b in _TE)})
   LEFT JOIN evid USING (side, word)) USING (s, e) GROUP BY s, e""",
-    psome="SELECT l.entity_id AS s, r.entity_id AS e, l.name_core AS lc, r.name_core AS rc FROM ps1 l JOIN ppool r USING (country, p_type)",
-    **_EV,
+    **_EV | {"psome": "SELECT l.entity_id AS s, r.entity_id AS e, l.name_core AS lc, r.name_core AS rc FROM ps1 l JOIN ppool r USING (country, p_type)"},
 )
 def feat_tok_evidence(w: World) -> DataFrame:
     """All twelve columns, over parts of one brand and type; a word is strong from 0.1 on."""
@@ -891,9 +890,9 @@ _GAMMAS, _MISSES = (0.8, 1.2, 2.0), (0.0, 0.1, 0.4)
 
 
 @query(
-    f"""SELECT gamma, miss, round(avg({Q.f05("coalesce(tp, 0)", "coalesce(n_pred, 0)", "coalesce(n_true, 0)")}), 6) AS f_beta FROM (SELECT gamma, miss, entity_id FROM sets CROSS JOIN s1) g
+    f"""SELECT g.gamma AS gamma, g.miss AS miss, round(avg({Q.f05("coalesce(tp, 0)", "coalesce(n_pred, 0)", "coalesce(n_true, 0)")}), 6) AS f_beta FROM (SELECT gamma, miss, entity_id FROM sets CROSS JOIN s1) g
   LEFT JOIN (SELECT s, count(*) AS n_true FROM truth GROUP BY s) t ON g.entity_id = t.s
-  LEFT JOIN (SELECT gamma, miss, s, count(*) AS n_pred, count(t.e) AS tp FROM (SELECT * FROM xk WHERE rnk <= kk AND best > floor) LEFT JOIN truth t USING (s, e) GROUP BY ALL) c ON c.gamma = g.gamma AND c.miss = g.miss AND c.s = g.entity_id GROUP BY ALL""",
+  LEFT JOIN (SELECT gamma, miss, s, count(*) AS n_pred, count(t.e) AS tp FROM (SELECT * FROM xk WHERE rnk <= kk AND best > floor) LEFT JOIN truth t USING (s, e) GROUP BY ALL) c ON c.gamma = g.gamma AND c.miss = g.miss AND c.s = g.entity_id GROUP BY g.gamma, g.miss""",
     sets=" UNION ALL ".join(f"SELECT {g!r}::DOUBLE AS gamma, {m!r}::DOUBLE AS miss" for g in _GAMMAS for m in _MISSES),
     xq="SELECT s, e, prob, rnk, gamma, miss, power(least(greatest(prob, 0.0::DOUBLE), 1 - 1e-7::DOUBLE), gamma) AS q FROM rk, sets",
     xc="SELECT *, sum(q) OVER (PARTITION BY gamma, miss, s ORDER BY rnk) AS cum, sum(q) OVER (PARTITION BY gamma, miss, s) AS total, sum(ln(1 - q)) OVER (PARTITION BY gamma, miss, s) AS logs FROM xq",
