@@ -52,8 +52,8 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-def materialise(df: DataFrame, what: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: computed once, and safe when an executor is lost.
+def materialise(df: DataFrame, what: str, by: str | None = None) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: computed once, and safe when an executor is lost; a folder per ``by``.
 
     The shuffle files that the write needed go as it ends, so a chain of tables holds one step's files at a time.
     """
@@ -63,7 +63,7 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     before = spark.conf.get(cleanup, "false")
     spark.conf.set(cleanup, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").parquet(path, partitionBy=by)
     finally:
         spark.conf.set(cleanup, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -4,21 +4,23 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches, materialise
-from .ngrams import text_hashes
 
-#: What stands for a text's end among hashed words.
-END = np.uint64(0x5851F42D4C957F2D)
+#: What stands for a text's end among hashed words: the hash of a line feed, which no word holds.
+END = xxhash.xxh64_intdigest(b"\n")
 
 
 def tokens(text: str | None) -> np.ndarray:
-    """Hashes of a text's words (A-Z lower-cased) and of its end."""
-    return np.concatenate([text_hashes(text, lower=True), [END]])
+    """XXH64 of each of a text's words (A-Z lower-cased) and of its end."""
+    words = text.encode().lower().split() if text else []
+    return np.fromiter(chain(map(xxhash.xxh64_intdigest, words), (END,)), np.uint64, len(words) + 1)
 
 
 @dataclass
@@ -138,87 +140,102 @@ class LogBilinear:
             out[part] = logs
         return out
 
-    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Log-probabilities by matrix products: (a, w) and (b, w) scores, the latter with bias, and log Z of each (a, b).
-
-        As both contexts add to the score, Z over all symbols is one product of exponentiated tables.
-        """
-        r, q, bias, c = (p.astype(np.float64) for p in self.params[:4])
-        near, far = (c[0] * r) @ q.T, (c[1] * r) @ q.T + bias
-        m, f = near.max(1, keepdims=True), far.max(1, keepdims=True)
-        log_z = np.log(np.exp(near - m) @ np.exp(far - f).T) + m + f.T
-        return near, far, log_z
-
 
 def _gather(at: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
     return np.stack([np.bincount(at, rows[:, j], size) for j in range(rows.shape[1])], 1)
 
 
-def _pack(model: LogBilinear) -> bytes:
-    return np.concatenate([p.ravel() for p in model.params]).astype(np.float32).tobytes()
+def _flat(arrays: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([x.ravel() for x in arrays]).astype(np.float32)
 
 
-def _unpack(model: LogBilinear, raw: bytes) -> None:
-    flat, at = np.frombuffer(raw, np.float32), 0
-    for i, p in enumerate(model.params):
-        model.params[i] = flat[at : at + p.size].reshape(p.shape).copy()
-        at += p.size
+def _unflat(flat: np.ndarray, like: list[np.ndarray]) -> list[np.ndarray]:
+    cuts = np.cumsum([x.size for x in like])[:-1]
+    return [part.reshape(x.shape).copy() for part, x in zip(np.split(flat, cuts), like, strict=True)]
 
 
 def _mean(table):
-    """The mean of some models, weighted by the tokens each has seen."""
+    """The mean of some replicas, each parameter weighted by the squared gradients it has met; what none has met stays."""
     import pyarrow as pa
 
-    total, sum_ = 0, 0.0
-    for n, raw in zip(table["tokens"].to_pylist(), table["params"].to_pylist(), strict=True):
-        total, sum_ = total + n, sum_ + n * np.frombuffer(raw, np.float32).astype(np.float64)
-    return pa.table({"part": table["part"][:1], "tokens": pa.array([total], pa.int64()), "params": pa.array([(sum_ / max(1, total)).astype(np.float32).tobytes()], pa.binary())})
+    total, params, learnt = 0.0, 0.0, 0.0
+    for p, g in zip(table["params"].to_pylist(), table["gained"].to_pylist(), strict=True):
+        p, g = (np.frombuffer(x, np.float32).astype(np.float64) for x in (p, g))
+        w = g + 1e-12
+        total, params, learnt = total + w, params + w * p, learnt + w * g
+    out = [(x / total).astype(np.float32).tobytes() for x in (params, learnt)]
+    return pa.table({"part": table["part"][:1], "params": pa.array(out[:1], pa.binary()), "gained": pa.array(out[1:], pa.binary())})
 
 
-def train(docs: DataFrame, vocabulary: Vocabulary, width: int = 16, batch: int = 4096, replicas: int = 64, piece: int = 1 << 14) -> LogBilinear:
-    """At most ``replicas`` partitions each train a replica on all their texts; replicas are averaged piece by piece.
+def train(docs: DataFrame, vocabulary: Vocabulary, total: int, width: int = 16, batch: int = 4096, least: int = 1 << 20, piece: int = 1 << 14) -> LogBilinear:
+    """The model after rounds of parallel training over all texts of ``row_hash, text``, ``total`` tokens.
 
-    A piece is ``piece`` parameters, so no task holds more than that of every replica, and the driver receives one model.
+    Rows are dealt to rounds and, within a round, to replicas by their hash alone, and a replica takes them in the order of the
+    hash: the model does not depend on how the input is partitioned. Rounds grow with the logarithm of the tokens. A replica
+    takes about ``least`` tokens, or four for each parameter where these are more, so the replicas of a round grow with
+    the tokens and what they hand over stays in proportion to what they read. Replicas start from the round's model and are averaged
+    piece by piece: no task holds more than ``piece`` parameters of every replica, and the driver receives one model a round.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    spark = docs.sparkSession
+    model = LogBilinear(vocabulary.noise, width)
+    rounds = max(1, (total >> 21).bit_length())
+    replicas = max(1, math.ceil(total / rounds / max(least, 4 * sum(p.size for p in model.params))))
+    sent = spark.sparkContext.broadcast(vocabulary)
 
-    def fit(it):
+    def read(rows):
         import pyarrow as pa
 
-        model = LogBilinear(sent.value.noise, width)
-        model.prepare()
-        rest: list[np.ndarray] = []
-
-        def learn(last: bool):
-            w, a, b = (np.concatenate(x) for x in zip(*rest, strict=True))
-            stop = len(w) if last else len(w) - len(w) % batch
-            for lo in range(0, stop, batch):
-                model.step(w[lo : lo + batch], a[lo : lo + batch], b[lo : lo + batch])
-            rest[:] = [(w[stop:], a[stop:], b[stop:])]
-
-        waiting = 0
-        for rows in it:
-            for text in rows["text"].to_pylist():
-                s = sent.value.symbols(tokens(text))
-                rest.append((s, *model.contexts(s)))
-                waiting += len(s)
-                if waiting > 64 * batch:
-                    learn(False)
-                    waiting = len(rest[0][0])
-        if rest:
-            learn(True)
-        if model.trained:
-            raw = _pack(model)
-            for part in range(-(-len(raw) // (4 * piece))):
-                own = raw[4 * piece * part : 4 * piece * (part + 1)]
-                yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "tokens": pa.array([model.trained], pa.int64()), "params": pa.array([own], pa.binary())})
-
-    schema = "part long, tokens long, params binary"
-    found = materialise(docs.coalesce(replicas).mapInArrow(fit, schema), "replicas")
-    model = LogBilinear(vocabulary.noise, width)
-    rows = sorted(found.groupBy("part").applyInArrow(_mean, schema).collect(), key=lambda r: r["part"])
-    if rows:
-        _unpack(model, b"".join(bytes(r["params"]) for r in rows))
+        each = [sent.value.symbols(tokens(t)) for t in rows["text"].to_pylist()]
+        return {"row_hash": rows["row_hash"], "round": rows["round"], "symbols": pa.ListArray.from_arrays(np.cumsum([0, *map(len, each)], dtype=np.int32), np.concatenate(each))}
+
+    in_round = F.pmod(F.xxhash64("row_hash", F.lit(1)), F.lit(rounds)).cast("int").alias("round")
+    dealt = materialise(batches(docs.select("row_hash", "text", in_round), read, "row_hash long, round int, symbols array<int>"), "symbols", by="round")
+
+    for turn in range(rounds):
+        state = spark.sparkContext.broadcast((model.params, model.squares))
+
+        def fit(it, turn=turn, state=state):
+            import pyarrow as pa
+
+            own = LogBilinear(sent.value.noise, width, seed=7 + turn)
+            own.params, own.squares = ([x.copy() for x in part] for part in state.value)
+            own.prepare()
+            rest: list[tuple] = []
+
+            def learn(last: bool):
+                w, a, b = (np.concatenate(x) for x in zip(*rest, strict=True))
+                stop = len(w) if last else len(w) - len(w) % batch
+                for lo in range(0, stop, batch):
+                    own.step(w[lo : lo + batch], a[lo : lo + batch], b[lo : lo + batch])
+                rest[:] = [(w[stop:], a[stop:], b[stop:])]
+
+            waiting = 0
+            for rows in it:
+                lists = rows["symbols"]
+                ends = lists.offsets.to_numpy()
+                for s in np.split(lists.flatten().to_numpy(), ends[1:-1] - ends[0]):
+                    rest.append((s, *own.contexts(s)))
+                    waiting += len(s)
+                    if waiting > 64 * batch:
+                        learn(False)
+                        waiting = len(rest[0][0])
+            if rest:
+                learn(True)
+            if own.trained:
+                params, gained = _flat(own.params), _flat(own.squares) - _flat(state.value[1])
+                for part, lo in enumerate(range(0, len(params), piece)):
+                    out = [(part, params[lo : lo + piece].tobytes(), gained[lo : lo + piece].tobytes())]
+                    yield pa.RecordBatch.from_pylist([dict(zip(("part", "params", "gained"), x, strict=True)) for x in out], pa.schema([("part", pa.int64()), ("params", pa.binary()), ("gained", pa.binary())]))
+
+        schema = "part long, params binary, gained binary"
+        mine = dealt.where(F.col("round") == turn).select("row_hash", "symbols").repartition(replicas, "row_hash").sortWithinPartitions("row_hash")
+        found = materialise(mine.mapInArrow(fit, schema), "replicas")
+        rows = sorted(found.groupBy("part").applyInArrow(_mean, schema).collect(), key=lambda r: r["part"])
+        if rows:
+            params, gained = (np.concatenate([np.frombuffer(r[c], np.float32) for r in rows]) for c in ("params", "gained"))
+            model.squares = [s + g for s, g in zip(model.squares, _unflat(gained, model.squares), strict=True)]
+            model.params = _unflat(params, model.params)
+        state.destroy()
     return model
 
 
@@ -257,13 +274,13 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     Null and empty texts are one end token. A null id reads as empty text, so it is in training. Without training texts the
     counts are zero and the model is uniform. Rows that share an id are scored each. Other columns are not read.
 
-    Words are counted by 64-bit hash over all training texts. The commonest counts, ``head`` at most, are broadcast; the
+    Words are counted by XXH64 over all training texts. The commonest counts, ``head`` at most, are broadcast; the
     counts of all other words meet the texts by a join on the hash, pre-aggregated per text. Nothing depends on how many
     different words there are.
     """
     fold = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(folds))
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), (fold == held_fold).alias("held_out"))
-    training = docs.where(~F.col("held_out")).select("text")
+    training = docs.where(~F.col("held_out")).select(F.xxhash64(F.col("doc_id").cast("string"), "text").alias("row_hash"), "text")
 
     def count(it):
         import pyarrow as pa
@@ -285,7 +302,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
         if hashes:
             yield flush()
 
-    counts = training.mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    counts = training.select("text").mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
     counts = materialise(counts, "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     if words is None:
@@ -307,7 +324,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     class_n -= np.bincount(own_class, minlength=classes)
     noise = np.concatenate([top_c[:own], class_c]) + 1.0
     vocabulary = Vocabulary(top_h[:own][by_hash], by_hash.astype(np.int32), noise / noise.sum(), classes)
-    model = train(training, vocabulary)
+    model = train(training, vocabulary, int(total))
     model.squares = None
 
     order = np.argsort(top_h)

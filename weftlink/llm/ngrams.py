@@ -59,10 +59,6 @@ def text_hashes(text: str | None, lower: bool = False) -> np.ndarray:
     return np.concatenate([_hash_bytes(raw[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
 
 
-def word_hash(word: bytes) -> np.uint64:
-    return _hash_bytes(np.frombuffer(word, np.uint8))[0]
-
-
 def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """A hash for each run of ``n`` words (none if there are fewer)."""
     if len(words) < n:
