@@ -37,6 +37,40 @@ def test_cached_table_refuses_other_configuration(spark, tmp_path):
         IO.cached(spark, path, build, {"k": 2})
 
 
+def test_half_written_table_is_built_again(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(5).write.parquet(path)  # what a run that died before its key has left
+    assert IO.cached(spark, path, lambda: spark.range(3), {"k": 1}).count() == 3
+    store = IO.Store(spark, str(tmp_path / "store"), {"k": 1})
+    calls = []
+    build = lambda: calls.append(1) or spark.range(4).selectExpr("id", "id % 2 AS country")
+    assert store("a", build, by="country").count() == 4 and store("a", build, by="country").count() == 4 and len(calls) == 1
+    assert store.under("deeper")("a", build).count() == 4 and len(calls) == 2
+    with pytest.raises(ValueError, match="another configuration"):
+        IO.Store(spark, str(tmp_path / "store"), {"k": 2})("a", build)
+    assert IO.Store(spark)("a", build).count() == 4 and len(calls) == 3
+
+
+def test_dataset_folders(spark, tmp_path):
+    with pytest.raises(ValueError, match="no train folder"):
+        IO.find_dataset(spark, str(tmp_path))
+    for split in ("train", "test"):
+        folder = tmp_path / "dataset" / split
+        folder.mkdir(parents=True)
+        for k in (1, 2, 3):
+            (folder / f"source{k}.tsv").write_text(f"entity_id\tbusiness_name\tbusiness_address\tcountry\nS{k}-1\tName {k}\t1 Road\tUS\nS{k}-2\tOther\t\tFrance\n")
+    root = IO.find_dataset(spark, str(tmp_path))
+    assert root.endswith("/dataset") and IO.find_dataset(spark, root) == root
+    rows = IO.load_sources(spark, root, "test", (2, 3), ["entity_id", "country"], IO.Store(spark, str(tmp_path / "kept")))
+    assert rows.columns == ["entity_id", "country"] and {r[0] for r in rows.collect()} == {"S2-1", "S2-2", "S3-1", "S3-2"}
+    ids = spark.createDataFrame([("S2-1",), ("S3-2",), ("S3-2",)], "entity_id string")
+    assert [tuple(r) for r in IO.load_normalised(rows, ["entity_id"], ["US"], ids).collect()] == [("S2-1",)]
+    with pytest.raises(ValueError, match="no source"):
+        IO.source_path(root, "dev", 1)
+    a, b = root + "/train/source1.tsv", root + "/test/source1.tsv"
+    assert IO.same_files({a: b, b: root + "/test/source2.tsv"}) == {a: True, b: False}
+
+
 def test_submission_roundtrip(spark, tmp_path):
     s1 = spark.createDataFrame([("S1-2", 0), ("S1-1", 1)], f"{L} string, position int")
     pairs = spark.createDataFrame([("S1-1", "S2-1"), ("S1-1", "S3-4"), ("S1-1", "S2-1")], f"{L} string, {R} string")

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions import similarity as S
 from ..functions import text as T
 from ..functions import vocab
 from ..functions.hashing import fold_of, hash_unit
@@ -620,13 +619,12 @@ def feat_missing(w: World) -> DataFrame:
 
 @query(f"SELECT {P}, {q6('1 - levenshtein(name_core_l, name_core_r)::DOUBLE / greatest(length(name_core_l), length(name_core_r), 1) AS core_lev')} FROM al")
 def feat_lev(w: World) -> DataFrame:
-    longest = F.greatest(F.length("name_core_l"), F.length("name_core_r"), F.lit(1))
-    return w.aligned.select(L, R, F.round(1 - F.levenshtein("name_core_l", "name_core_r") / longest, 6).alias("core_lev"))
+    return _features(w, "name_fuzzy", only=("core_lev",))
 
 
-@query(f"SELECT {P}, {q6('jaro_winkler_similarity(name_core_l, name_core_r) AS core_jw')} FROM al")
+@query(f"SELECT {P}, {q6('jaro_winkler_similarity(name_core_l, name_core_r) AS core_jw', 'jaro_winkler_similarity(name_norm_l, name_norm_r) AS nm_jw')} FROM al")
 def feat_jaro_winkler(w: World) -> DataFrame:
-    return w.aligned.select(L, R, F.round(S.jaro_winkler_ratio("name_core_l", "name_core_r"), 6).alias("core_jw"))
+    return _features(w, "name_fuzzy", only=("core_jw", "nm_jw"))
 
 
 @query()
