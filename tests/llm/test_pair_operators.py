@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from weftlink.llm.components import components
-from weftlink.llm.decontaminate import contained_items
+from weftlink.llm.decontaminate import Sketches, contained_items
 from weftlink.llm.fm_index import FMIndex, WaveletMatrix
 from weftlink.llm.simhash import Router, fingerprint, near_duplicates, shard_links
 from weftlink.llm.substring_dedup import earliest_windows
@@ -69,6 +69,19 @@ def test_tree_finds_all_links(shards):
     assert classes(edges) == classes(zip(points[i].tolist(), points[j].tolist(), strict=True))
 
 
+def test_visits_are_dealt_evenly():
+    """No shard receives far more visits than the mean, and each pair of shards is visited from one side only."""
+    points = np.random.default_rng(3).integers(0, 1 << 64, 200_000, dtype=np.uint64)
+    router = Router(np.sort(points[:20_000]), 150, 2)
+    at, shard, home = router.route(points)
+    counts = np.bincount(shard, minlength=router.leaves)
+    assert counts.max() < 4 * counts.mean() and home.sum() == len(points)
+    own = np.zeros(len(points), int)
+    own[at[home]] = shard[home]
+    pairs = {(a, b) for a, b in zip(own[at].tolist(), shard.tolist(), strict=True) if a != b}
+    assert not any((b, a) in pairs for a, b in pairs)
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(30)] + [(100, 90), (90, 95), (7, 7), (None, 3)] + [(200, 200 + k) for k in range(1, 50)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
@@ -159,6 +172,25 @@ def test_contained_items(spark):
     assert contained_items(B.frame(spark, B.EDGES), items.limit(0)).count() == 0
 
 
+def test_size_classes():
+    """Items fall in classes of powers of two; larger classes ask for more hits, and no class loses an item at the limit."""
+    r = random.Random(7)
+    items = [(k, " ".join(f"i{k}w{j}" for j in range(n))) for k, n in enumerate((3, 9, 20, 36, 68, 260))]
+    sketches = Sketches(items, 5, 80)
+    needs = [own.need.tolist() for _, own in sorted(sketches.classes.items())]
+    assert len(sketches.classes) == len(items) and needs[1:] == sorted(needs[1:]) and needs[-1] > needs[0]
+    for k, text in items:
+        words = text.split()
+        n = min(5, len(words))
+        whole = len(words) - n + 1
+        lacking = whole - -(-80 * whole // 100)  # as many shingles as may lack
+        cut = words[: len(words) - lacking]
+        for shift in (0, lacking):
+            doc = " ".join([*(f"x{r.random()}" for _ in range(50)), *words[shift : shift + len(cut)], "tail"])
+            assert [f[0] for f in sketches.find(doc)] == [k]
+        assert sketches.find(" ".join(words[: len(words) - lacking - 1])) == []
+
+
 def test_contained_random(spark):
     r = random.Random(4)
     vocab = [f"v{i}" for i in range(400)]
