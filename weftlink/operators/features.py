@@ -370,7 +370,10 @@ def feature_names(groups: Sequence[str] = DEFAULT) -> list[str]:
 
 
 def build_features(pairs: DataFrame, s1: DataFrame, pool: DataFrame, groups: Sequence[str] = DEFAULT, evidence: DataFrame | None = None) -> DataFrame:
-    """``source1_entity_id, entity_id`` and the columns of ``groups`` in order; undefined values are null, never NaN."""
+    """``source1_entity_id, entity_id`` and the columns of ``groups`` in order; undefined values are null, never NaN.
+
+    Every pair must name known records: pairs of others are left out, and ``check_aligned`` tells whether there are any.
+    """
     names = feature_names(groups)
     if "tok_evidence" in groups and evidence is None:
         raise ValueError("the group tok_evidence needs an evidence table")
