@@ -902,6 +902,49 @@ def expected_tuning(w: World) -> DataFrame:
     return D.tune_expected(w.scored, w.ids, w.truth, _GAMMAS, _MISSES)[1].select("gamma", "miss", *r6("f_beta"))
 
 
+_WEIGHTS = (1.0, 3.0)
+_TIGHT_SCORE = f"({Q.f05('coalesce(tp, 0)', 'coalesce(n_pred, 0)', 'coalesce(n_true, 0)')} - 2 * ({Q.f05('coalesce(tp, 0)', 'coalesce(tp, 0)', 'coalesce(n_true, 0)')} - {Q.f05('coalesce(tp, 0)', 'coalesce(n_pred, 0)', 'coalesce(n_true, 0)')}))"
+
+
+@query(
+    f"""SELECT g.w AS weight, g.miss AS miss, round(avg({_TIGHT_SCORE}), 6) AS tight FROM (SELECT w, miss, entity_id FROM sets CROSS JOIN s1) g
+  LEFT JOIN (SELECT s, count(*) AS n_true FROM truth GROUP BY s) t ON g.entity_id = t.s
+  LEFT JOIN (SELECT w, miss, s, count(*) AS n_pred, count(t.e) AS tp FROM (SELECT * FROM yk WHERE rnk <= kk AND best > floor) LEFT JOIN truth t USING (s, e) GROUP BY ALL) c ON c.w = g.w AND c.miss = g.miss AND c.s = g.entity_id GROUP BY g.w, g.miss""",
+    sets=" UNION ALL ".join(f"SELECT {w!r}::DOUBLE AS w, {m!r}::DOUBLE AS miss" for w in _WEIGHTS for m in _MISSES),
+    rkall="SELECT s, e, prob, row_number() OVER (PARTITION BY s ORDER BY prob DESC, e) AS rnk FROM sc",
+    yq="SELECT s, e, prob, rnk, w, miss, least(greatest(prob, 1e-7::DOUBLE), 1 - 1e-7::DOUBLE) AS q FROM rkall, sets",
+    yc="SELECT *, sum(q) OVER (PARTITION BY w, miss, s ORDER BY rnk) AS cum, miss + sum(q) OVER (PARTITION BY w, miss, s) AS total, sum(ln(1 - q)) OVER (PARTITION BY w, miss, s) AS logs FROM yq",
+    yv="SELECT *, CASE WHEN rnk <= 11 THEN w * 1.25::DOUBLE * cum / (0.25::DOUBLE * total + rnk) - (w - 1) * 1.25::DOUBLE * cum / (0.25::DOUBLE * total + cum) END AS v, exp(logs - miss) AS floor FROM yc",
+    yb="SELECT *, max(v) OVER (PARTITION BY w, miss, s) AS best FROM yv",
+    yk="SELECT *, min(CASE WHEN v >= best - 1e-12::DOUBLE THEN rnk END) OVER (PARTITION BY w, miss, s) AS kk FROM yb",
+)
+def tight_tuning(w: World) -> DataFrame:
+    """The tight score of every decoder of a grid, a false match weighing three."""
+    return D.tight_table(w.scored, w.ids, w.truth, _WEIGHTS, _MISSES, 3.0).select("weight", "miss", *r6("tight"))
+
+
+_ROLE = f"CASE WHEN {Q.hash_unit('entity_id', 42)} < 0.5 THEN 'val' ELSE 'fit' END"
+
+
+@query(
+    f"""SELECT slice, count(*) AS n_s1, {q6("avg(f) AS f05", "sum(tp)::DOUBLE / nullif(sum(n_pred), 0) AS precision", "sum(tp)::DOUBLE / nullif(sum(n_true), 0) AS recall",
+    "avg(f - 0.45::DOUBLE * (g - f)) AS f_tight", "avg(f - 0.45::DOUBLE * (g - f)) - 0.0072::DOUBLE AS est_public")} FROM
+  (SELECT *, {Q.f05()} AS f, {Q.f05('tp', 'tp', 'n_true')} AS g FROM vc) JOIN (SELECT entity_id, unnest(['all', country]) AS slice FROM s1 WHERE {_ROLE} = 'val') ON s = entity_id GROUP BY slice""",
+    vr="SELECT * FROM (SELECT sc.s, sc.e, sc.prob, row_number() OVER (PARTITION BY e ORDER BY prob DESC, s) AS rp FROM sc WHERE s IN (SELECT entity_id FROM s1 WHERE " + _ROLE + " = 'val')) WHERE rp = 1",
+    vp="SELECT v.s, v.e FROM (SELECT *, max(prob) OVER (PARTITION BY s) AS p_max FROM vr) v WHERE prob >= 0.5 AND p_max >= 0.5",
+    vc="""SELECT s1.entity_id AS s, coalesce(tp, 0) AS tp, coalesce(n_pred, 0) AS n_pred, coalesce(n_true, 0) AS n_true FROM s1
+  LEFT JOIN (SELECT s, count(*) AS n_pred FROM vp GROUP BY s) p ON s1.entity_id = p.s LEFT JOIN (SELECT s, count(*) AS n_true FROM truth GROUP BY s) t ON s1.entity_id = t.s
+  LEFT JOIN (SELECT s, count(*) AS tp FROM vp JOIN truth USING (s, e) GROUP BY s) b ON s1.entity_id = b.s""",
+)
+def mock_scores(w: World) -> DataFrame:
+    """A rule's scores on the entities of one role, over all and by country."""
+    from . import pipeline
+
+    roles = w.s1.select("entity_id", F.when(SP.val_mask(F.col("entity_id"), 0.5), "val").otherwise("fit").alias("role"))
+    rows = pipeline.mock_scores(w.scored.select(L, R, "prob"), SP.Fold(w.s1, w.pool, w.truth), roles, D.Rule(max_matches=60))
+    return rows.select("slice", "n_s1", *r6("f05", "precision", "recall", "f_tight", "est_public"))
+
+
 @query(
     f"""SELECT {P}, prob FROM rkc WHERE country = 'de' AND prob >= 0.4 AND prob >= 0.5::DOUBLE * p_max AND p_max >= 0.4 AND rnk <= 2
   UNION ALL SELECT {P}, prob FROM rkc WHERE country = 'fr' AND prob >= 0.6 AND p_max >= 0.7 AND rnk <= 1
@@ -1157,6 +1200,13 @@ def hard_negative_weights(w: World) -> DataFrame:
     return M.hard_negative_weights(rows, M.KINDS[:2], 3.0, 2.0, 0.5, 2.0, 1.5).select(L, R, "weight")
 
 
+@query(f"SELECT {P}, prob, label FROM hn WHERE (label = 0 AND prob >= 0.6) OR (label = 1 AND prob < 0.95)", hn=_HN)
+def mined_errors(w: World) -> DataFrame:
+    """False positives from 0.6 on and near misses under 0.95."""
+    rows = w.scored.select(L, R, "prob")
+    return M.false_positives(rows, w.truth, 0.6).unionByName(M.near_misses(rows, w.truth, 0.95))
+
+
 @query(
     "SELECT country, stage, count(*) AS n, round(count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY country), 6) AS share FROM st GROUP BY country, stage",
     st="""SELECT t.s, t.e, l.country, CASE WHEN c.s IS NULL THEN 'blocking' WHEN k.s IS NULL THEN 'one_to_one' WHEN p.s IS NULL THEN 'threshold' ELSE 'found' END AS stage FROM truth t JOIN s1 l ON t.s = l.entity_id
