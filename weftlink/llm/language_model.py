@@ -159,7 +159,7 @@ def _mean(table):
     import pyarrow as pa
 
     total, params, learnt = 0.0, 0.0, 0.0
-    for p, g in zip(table["params"].to_pylist(), table["gained"].to_pylist(), strict=True):
+    for p, g in sorted(zip(table["params"].to_pylist(), table["gained"].to_pylist(), strict=True)):  # one order, so one sum
         p, g = (np.frombuffer(x, np.float32).astype(np.float64) for x in (p, g))
         w = g + 1e-12
         total, params, learnt = total + w, params + w * p, learnt + w * g
@@ -195,40 +195,48 @@ def train(docs: DataFrame, vocabulary: Vocabulary, total: int, width: int = 16,
         state = spark.sparkContext.broadcast((model.params, model.squares))
 
         def fit(it, turn=turn, state=state):
+            """One model per replica of the partition, whose rows come replica by replica."""
             import pyarrow as pa
 
-            own = LogBilinear(sent.value.noise, width, seed=7 + turn)
-            own.params, own.squares = ([x.copy() for x in part] for part in state.value)
-            own.prepare()
-            rest: list[tuple] = []
+            names = pa.schema([("part", pa.int64()), ("params", pa.binary()), ("gained", pa.binary())])
 
-            def learn(last: bool):
+            def learn(rest: list, last: bool):
                 w, a, b = (np.concatenate(x) for x in zip(*rest, strict=True))
                 stop = len(w) if last else len(w) - len(w) % batch
                 for lo in range(0, stop, batch):
                     own.step(w[lo : lo + batch], a[lo : lo + batch], b[lo : lo + batch])
                 rest[:] = [(w[stop:], a[stop:], b[stop:])]
 
-            waiting = 0
+            def told():
+                if rest:
+                    learn(rest, True)
+                params, gained = _flat(own.params), _flat(own.squares) - _flat(state.value[1])
+                for part, lo in enumerate(range(0, len(params), piece)):
+                    yield pa.RecordBatch.from_pylist([{"part": part, "params": params[lo : lo + piece].tobytes(), "gained": gained[lo : lo + piece].tobytes()}], names)
+
+            now, rest, waiting = None, [], 0
             for rows in it:
                 lists = rows["symbols"]
                 ends = lists.offsets.to_numpy()
-                for s in np.split(lists.flatten().to_numpy(), ends[1:-1] - ends[0]):
+                for replica, s in zip(rows["replica"].to_pylist(), np.split(lists.flatten().to_numpy(), ends[1:-1] - ends[0]), strict=True):
+                    if replica != now:
+                        if now is not None:
+                            yield from told()
+                        own = LogBilinear(sent.value.noise, width, seed=7 + turn)
+                        own.params, own.squares = ([x.copy() for x in part] for part in state.value)
+                        own.prepare()
+                        now, rest, waiting = replica, [], 0
                     rest.append((s, *own.contexts(s)))
                     waiting += len(s)
                     if waiting > 64 * batch:
-                        learn(False)
+                        learn(rest, False)
                         waiting = len(rest[0][0])
-            if rest:
-                learn(True)
-            if own.trained:
-                params, gained = _flat(own.params), _flat(own.squares) - _flat(state.value[1])
-                for part, lo in enumerate(range(0, len(params), piece)):
-                    out = [(part, params[lo : lo + piece].tobytes(), gained[lo : lo + piece].tobytes())]
-                    yield pa.RecordBatch.from_pylist([dict(zip(("part", "params", "gained"), x, strict=True)) for x in out], pa.schema([("part", pa.int64()), ("params", pa.binary()), ("gained", pa.binary())]))
+            if now is not None:
+                yield from told()
 
         schema = "part long, params binary, gained binary"
-        mine = dealt.where(F.col("round") == turn).select("row_hash", "symbols").repartition(replicas, "row_hash").sortWithinPartitions("row_hash")
+        replica = F.pmod(F.xxhash64("row_hash", F.lit(2)), F.lit(replicas)).cast("int").alias("replica")
+        mine = dealt.where(F.col("round") == turn).select(replica, "row_hash", "symbols").repartition(replicas, "replica").sortWithinPartitions("replica", "row_hash")
         found = materialise(mine.mapInArrow(fit, schema), "replicas")
         rows = sorted(found.groupBy("part").applyInArrow(_mean, schema).collect(), key=lambda r: r["part"])
         if rows:
