@@ -91,13 +91,30 @@ def test_scores_against_plain(spark, trained):
 
 def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
     """Several rounds and replicas give one model, however the texts are dealt to partitions."""
-    train = M.train
-    monkeypatch.setattr(M, "train", lambda docs, vocabulary, total: train(docs, vocabulary, total * 400, least=1 << 18))
+    train, models = M.train, []
+
+    def rounds(docs, vocabulary, total):
+        models.append(train(docs, vocabulary, total * 400, least=1 << 18))
+        return models[-1]
+
+    monkeypatch.setattr(M, "train", rounds)
     r = random.Random(3)
     docs = [(i, " ".join(f"w{r.randrange(200)}" for _ in range(60))) for i in range(300)]
     df = B.frame(spark, docs)
     one, two = ({x["doc_id"]: x["score"] for x in M.lm_scores(d).collect()} for d in (df, df.repartition(9, F.rand(1))))
-    assert one == two
+    assert all(np.array_equal(p, q) for p, q in zip(models[0].params, models[1].params, strict=True))
+    assert not np.allclose(models[0].params[1], M.LogBilinear(models[0].noise).params[1])
+    assert one == pytest.approx(two, rel=1e-7)
+
+
+def test_sums_out_of_range():
+    """Scores too large or too small for plain sums still give the logarithms of a softmax."""
+    model = M.LogBilinear(np.full(40, 1 / 40))
+    for shift in (-200.0, 0.0, 200.0):
+        model.params[2] = np.linspace(-3, 3, 40, dtype=np.float32) + np.float32(shift)
+        model.params[5] = np.linspace(-3, 3, model.clusters, dtype=np.float32) + np.float32(shift)
+        logs = model.log_probs(np.arange(40), np.full(40, 2), np.full(40, 3))
+        assert np.isclose(np.exp(logs).sum(), 1, rtol=1e-4)
 
 
 def test_words_that_a_polynomial_confuses(spark):

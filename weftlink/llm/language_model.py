@@ -116,28 +116,41 @@ class LogBilinear:
         self.cumulative[-1] = 1
         self.log_share = np.log(np.bincount(np.arange(len(self.noise)) % self.clusters, self.noise, self.clusters)).astype(np.float32)
 
-    def log_probs(self, w: np.ndarray, a: np.ndarray, b: np.ndarray, chunk: int = 1 << 15, block: int = 1 << 11) -> np.ndarray:
+    def log_probs(self, w: np.ndarray, a: np.ndarray, b: np.ndarray, chunk: int = 1 << 15, block: int = 1 << 9) -> np.ndarray:
         """Natural logarithms of P(cluster of w | a, b) * P(w | its cluster, a, b), each an exact softmax."""
         r, q, bias, c, cq, cbias = self.params
         out, n = np.empty(len(w)), self.clusters
 
         def picked(scores, at):
-            scores -= scores.max(1, keepdims=True)
-            found = scores[np.arange(len(at)), at]
-            return found - np.log(np.exp(scores, out=scores).sum(1))
-
-        members = [(np.ascontiguousarray(q[k::n].T), bias[k::n]) for k in range(n)]
+            """Logs of softmaxes at some places; sums that leave the range of the numbers are taken from the maxima down."""
+            found = scores.take(np.arange(0, scores.size, scores.shape[1]) + at)
+            with np.errstate(over="ignore"):
+                sums = np.exp(scores) @ np.ones(scores.shape[1], np.float32)
+            lost = ~((sums > 1e-30) & (sums < 1e30))
+            logs = np.log(np.where(lost, 1, sums))
+            if lost.any():
+                top = scores[lost].max(1, keepdims=True)
+                logs[lost] = np.log(np.exp(scores[lost] - top).sum(1)) + top[:, 0]
+            return found - logs
+
+        # One more column of ones carries the biases through the product; tokens go in the order of their clusters.
+        near, far = c[0] * r, c[1] * r
+        cq, members = np.vstack([cq.T, cbias]), [np.vstack([q[k::n].T, bias[k::n]]) for k in range(n)]
         for lo in range(0, len(w), chunk):
             part = slice(lo, lo + chunk)
-            hidden, own = c[0] * r[a[part]] + c[1] * r[b[part]], w[part] % n
-            blocks = range(0, len(own), block)
-            logs = np.concatenate([picked(hidden[i : i + block] @ cq.T + cbias, own[i : i + block]) for i in blocks]).astype(np.float64)
-            order = np.argsort(own, kind="stable")
-            bounds = np.searchsorted(own[order], np.arange(n + 1))
+            own = w[part] % n
+            order = np.argsort(own.astype(np.uint16) if n <= 1 << 16 else own, kind="stable")
+            own, within = own[order], w[part][order] // n
+            hidden = np.ones((len(own), q.shape[1] + 1), np.float32)
+            np.add(near.take(a[part][order], 0), far.take(b[part][order], 0), out=hidden[:, :-1])
+            logs = np.empty(len(own))
+            for i in range(0, len(own), block):
+                logs[i : i + block] = picked(hidden[i : i + block] @ cq, own[i : i + block])
+            bounds = np.searchsorted(own, np.arange(n + 1))
             for k in np.flatnonzero(np.diff(bounds)):
-                at = order[bounds[k] : bounds[k + 1]]
-                logs[at] += picked(hidden[at] @ members[k][0] + members[k][1], w[part][at] // n)
-            out[part] = logs
+                i, j = bounds[k], bounds[k + 1]
+                logs[i:j] += picked(hidden[i:j] @ members[k], within[i:j])
+            out[lo + order] = logs
         return out
 
 
