@@ -135,7 +135,7 @@ class Router:
         return at, shard, shard == home[at]
 
 
-def shard_links(points: np.ndarray, homes: np.ndarray, radius: int, leaf: int = 256, block: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+def shard_links(points: np.ndarray, homes: np.ndarray, radius: int, leaf: int = 256, block: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
     """Exact links of one shard, as a forest: (point, root) of each point that is linked within the shard.
 
     The shard's own tree is walked by all points at once: a node passes on the points that its bound cannot rule out. Pairs
