@@ -1,9 +1,9 @@
 """The pipeline against the composition of plain readings, and its stages on edge cases."""
 
-import hashlib
 import random
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
@@ -93,7 +93,7 @@ def clashing(seed=4):
 
 
 def kept_near(docs):
-    """One (id, text) of each class: the least id, null ids last, then the least text digest."""
+    """One (id, text) of each class: the least id, null ids last, then the least text hash (signed)."""
     classes, fps = {}, [B.fingerprint(t) for _, t, _ in docs]
     label = list(range(len(docs)))
 
@@ -107,7 +107,7 @@ def kept_near(docs):
             if (fps[a] ^ fps[b]).bit_count() <= 2:
                 x, y = find(a), find(b)
                 label[max(x, y)] = min(x, y)
-    rank = lambda d: (d[0] is None, d[0] or 0, hashlib.md5((d[1] or "").encode()).digest())
+    rank = lambda d: (d[0] is None, d[0] or 0, (xxhash.xxh64_intdigest((d[1] or "").encode(), 42) + (1 << 63)) % (1 << 64))
     for k, d in enumerate(docs):
         classes.setdefault(find(k), []).append(d)
     return [min(c, key=rank)[:2] for c in classes.values()]

@@ -130,11 +130,13 @@ def contained_items(
         sent = spark.sparkContext.broadcast(Sketches([(r["key"], r["text"]) for r in own.collect()], size, percent))
 
         def search(batch, sent=sent):
-            rows = [(d, *x) for d, t in zip(batch["doc_id"], batch["text"].to_pylist(), strict=True) for x in sent.value.find(t)]
+            import pyarrow as pa
+
+            rows = [(k, *x) for k, t in enumerate(batch["text"].to_pylist()) for x in sent.value.find(t)]
             if not rows:
                 return None
-            out = dict(zip(("doc_id", "item", "n_shared", "n_shingles"), zip(*rows, strict=True), strict=True))
-            return out | {"doc_id": [d.as_py() for d in out["doc_id"]]}
+            at, item, shared, size = zip(*rows, strict=True)
+            return {"doc_id": batch["doc_id"].take(pa.array(at)), "item": item, "n_shared": shared, "n_shingles": size}
 
         parts.append(materialise(batches(docs, search, schema), "contained"))
         sent.destroy()
