@@ -6,11 +6,10 @@ repeated id carries no decision from one text to another.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import MapType
 
-from weftlink.llm.common import digest, materialise, table
+from weftlink.llm.common import materialise, table
 from weftlink.llm.decontaminate import contained_items
 from weftlink.llm.line_dedup import line_dedup
 from weftlink.llm.pieces import encode_decode, read_model
@@ -29,10 +28,10 @@ def _fresh(docs: DataFrame, name: str) -> str:
     return name
 
 
-def _row_key() -> Column:
-    """What tells rows apart: null ids behind all others, then the id, then the text (null reads as empty)."""
-    text = digest(F.coalesce("text", F.lit("")))
-    return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), text.alias("text"))
+def _row_key(*more: str) -> Column:
+    """What tells rows apart: null ids behind all others, then the id, then the text (null reads as empty), then ``more``."""
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), text.alias("text"), *[F.col(c).alias("row") for c in more])
 
 
 def _with_text(docs: DataFrame, rows: DataFrame, text: str) -> DataFrame:
@@ -75,17 +74,15 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class of near-duplicates stays: the one with the smallest id, null ids behind all others.
 
-    Ties of one id go to the smaller text digest, and of rows equal in id and text one stays, by a hash of all columns.
-    Null, empty and blank texts are one class, long texts are read whole. An empty table gives an empty one; further columns pass
-    through under any name.
+    Ties of one id go to the smaller text hash, and of rows equal in id and text the first stays: rows are numbered in a table of
+    their own. Null, empty and blank texts are one class, long texts are read whole. An empty table gives an empty one;
+    further columns pass through under any name.
     """
-    key, place = _fresh(docs, "_key"), _fresh(docs, "_place")
-    keyed = docs.withColumn(key, _row_key())
-    firsts = near_duplicates(keyed, id_col=key).where("doc_id = component_id").select(F.col("doc_id").alias("first")).distinct()
-    whole = F.xxhash64(*[docs[c] for c in docs.columns if not isinstance(docs.schema[c].dataType, MapType)])
-    kept = keyed.join(firsts, F.col(key) == F.col("first"), "left_semi")
-    kept = kept.withColumn(place, F.row_number().over(Window.partitionBy(key).orderBy(whole))).where(F.col(place) == 1)
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    row, key = _fresh(docs, "_row"), _fresh(docs, "_key")
+    rows = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(rows.withColumn(key, _row_key(row)), id_col=key)
+    firsts = found.where("doc_id = component_id").select(F.col("doc_id.row").alias("first"))
+    return rows.join(firsts, F.col(row) == F.col("first"), "left_semi").drop(row)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
