@@ -80,3 +80,14 @@ def test_rules_never_meet_pairs_in_a_join(spark):
     finally:
         D._gains = gains
     assert table.count() == 3906 and seen and not any("NestedLoop" in p or "Cartesian" in p for p in seen)
+
+
+def test_truth_shuffles_no_texts(spark, tmp_path):
+    """Texts are compared by digest: null texts own nothing, and no exchange carries a text."""
+    texts = ["a", "a", "a", None, None, "", "", "b", "a"]
+    docs = spark.createDataFrame([(i, t, "en", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    truth = World(spark, str(tmp_path)).truth
+    assert sorted(map(tuple, truth.collect())) == [("S1-000000", "S2-000001"), ("S1-000000", "S3-000002"), ("S1-000000", "S3-000008"), ("S1-000006", "S3-000005")]
+    lines = truth._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not any("Join" in x and "text#" in x for x in lines) and not any("Aggregate" in x and "text#" in x for x in lines)
