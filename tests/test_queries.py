@@ -91,3 +91,24 @@ def test_truth_shuffles_no_texts(spark, tmp_path):
     assert sorted(map(tuple, truth.collect())) == [("S1-000000", "S2-000001"), ("S1-000000", "S3-000002"), ("S1-000000", "S3-000008"), ("S1-000006", "S3-000005")]
     lines = truth._jdf.queryExecution().optimizedPlan().toString().splitlines()
     assert not any("Join" in x and "text#" in x for x in lines) and not any("Aggregate" in x and "text#" in x for x in lines)
+
+
+def test_record_table_holds_no_texts(spark, tmp_path):
+    """A record's size does not grow with its text: of the words behind the twelfth only the digest stays."""
+    rare = " ".join(map(str, range(20_000)))
+    docs = spark.createDataFrame([(i, f"a b c d e f g h i j k l {i} {rare}", "en", i) for i in range(8)], "doc_id long, text string, lang string, n_chars long")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    table = World(spark, str(tmp_path)).records
+    assert sum(os.path.getsize(f.removeprefix("file://")) for f in table.inputFiles()) < 100_000
+    assert "text" not in table.columns and table.select("text_key").distinct().count() == 8
+
+
+#: Queries whose disk at 1 GB is in the README: of each document they keep the record view and a digest.
+BOUND = ["house_number"]
+
+
+@pytest.mark.parametrize("name", BOUND)
+def test_no_texts_on_disk(spark, name):
+    """No table that the query's plan reads, in the shared folder or as input, has a column of whole texts."""
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Relation" in plan and "text#" not in plan

@@ -95,3 +95,15 @@ def test_streamed_arrivals(spark, tmp_path):
     query.awaitTermination(60)
     assert [tuple(r) for r in spark.table("arrived").select(L, R).collect()] == [("S1-1", "S2-1")]
     assert IO.fingerprint(pool, "entity_id").first()["n"] == 4 and F is not None
+
+
+def test_stage_tables_leave_no_shuffle_files(spark):
+    """A stage's shuffle files are gone when its table is there."""
+    from weftlink.sources.tables import stage_table
+
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {n for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(disk.getAllFiles()) if (n := f.getName()).startswith("shuffle_")}
+    before = shuffled()
+    table = stage_table(spark.range(1000).selectExpr("id % 10 AS k").groupBy("k").count(), "grouped")
+    assert not shuffled() - before
+    assert table.count() == 10
