@@ -107,6 +107,7 @@ def test_record_table_holds_no_texts(spark, tmp_path):
 BOUND = [
     "house_number",
     "rival",
+    "absent_anti",
 ]
 
 
