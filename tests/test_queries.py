@@ -108,6 +108,7 @@ BOUND = [
     "house_number",
     "rival",
     "absent_anti",
+    "anchor_scores",
 ]
 
 
