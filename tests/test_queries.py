@@ -109,6 +109,7 @@ BOUND = [
     "rival",
     "absent_anti",
     "anchor_scores",
+    "best_scores",
 ]
 
 
