@@ -110,6 +110,7 @@ BOUND = [
     "absent_anti",
     "anchor_scores",
     "best_scores",
+    "class_means",
 ]
 
 
