@@ -111,6 +111,7 @@ BOUND = [
     "anchor_scores",
     "best_scores",
     "class_means",
+    "cohesion",
 ]
 
 
