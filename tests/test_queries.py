@@ -112,6 +112,7 @@ BOUND = [
     "best_scores",
     "class_means",
     "cohesion",
+    "cohesion_scores",
 ]
 
 
