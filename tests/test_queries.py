@@ -113,6 +113,7 @@ BOUND = [
     "class_means",
     "cohesion",
     "cohesion_scores",
+    "competition",
 ]
 
 
