@@ -114,6 +114,7 @@ BOUND = [
     "cohesion",
     "cohesion_scores",
     "competition",
+    "decide_threshold",
 ]
 
 
