@@ -115,6 +115,7 @@ BOUND = [
     "cohesion_scores",
     "competition",
     "decide_threshold",
+    "decoy_groups",
 ]
 
 
