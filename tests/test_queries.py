@@ -116,6 +116,7 @@ BOUND = [
     "competition",
     "decide_threshold",
     "decoy_groups",
+    "error_samples",
 ]
 
 
