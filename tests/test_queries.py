@@ -117,6 +117,7 @@ BOUND = [
     "decide_threshold",
     "decoy_groups",
     "error_samples",
+    "error_tags",
 ]
 
 
