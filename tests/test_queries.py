@@ -118,6 +118,7 @@ BOUND = [
     "decoy_groups",
     "error_samples",
     "error_tags",
+    "feat_address",
 ]
 
 
