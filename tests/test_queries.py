@@ -119,6 +119,7 @@ BOUND = [
     "error_samples",
     "error_tags",
     "feat_address",
+    "feat_blocking",
 ]
 
 
