@@ -120,6 +120,7 @@ BOUND = [
     "error_tags",
     "feat_address",
     "feat_blocking",
+    "feat_ctx_idf",
 ]
 
 
