@@ -121,6 +121,7 @@ BOUND = [
     "feat_address",
     "feat_blocking",
     "feat_ctx_idf",
+    "feat_idf",
 ]
 
 
