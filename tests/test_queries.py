@@ -122,6 +122,7 @@ BOUND = [
     "feat_blocking",
     "feat_ctx_idf",
     "feat_idf",
+    "feat_lev",
 ]
 
 
