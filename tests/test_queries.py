@@ -123,6 +123,7 @@ BOUND = [
     "feat_ctx_idf",
     "feat_idf",
     "feat_lev",
+    "feat_numeric",
 ]
 
 
