@@ -124,6 +124,7 @@ BOUND = [
     "feat_idf",
     "feat_lev",
     "feat_numeric",
+    "fit_fillers",
 ]
 
 
