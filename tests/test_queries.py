@@ -125,6 +125,7 @@ BOUND = [
     "feat_lev",
     "feat_numeric",
     "fit_fillers",
+    "hard_negative_weights",
 ]
 
 
