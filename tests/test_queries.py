@@ -134,3 +134,9 @@ def test_no_texts_on_disk(spark, name):
     """No table that the query's plan reads, in the shared folder or as input, has a column of whole texts."""
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "Relation" in plan and "text#" not in plan
+
+
+def test_evidence_of_parts_joins_no_pairs(spark):
+    """The query spells its pairs out behind its last join."""
+    plan = QUERIES["feat_tok_evidence"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.split("Join")[0].count("Generate explode(_ids_") == 2
