@@ -140,3 +140,19 @@ def test_evidence_of_parts_joins_no_pairs(spark):
     """The query spells its pairs out behind its last join."""
     plan = QUERIES["feat_tok_evidence"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.split("Join")[0].count("Generate explode(_ids_") == 2
+
+
+#: Queries that read the candidates, or the join that makes them: no number of rows bounds a term of theirs.
+UNBOUND = ["absent_anti"]
+
+
+@pytest.mark.parametrize("name", UNBOUND)
+def test_no_term_is_bounded_in_rows(spark, monkeypatch, tmp_path, name):
+    """Every similarity join that the query makes has no bound in rows, as its SQL has none."""
+    from weftlink.operators import blocking as B
+
+    os.symlink(SF, tmp_path / "tables")
+    seen, of = [], B.weighted_terms
+    monkeypatch.setattr(B, "weighted_terms", lambda s1, pool, spec: (seen.append(spec), of(s1, pool, spec))[1])
+    QUERIES[name](spark, f"{tmp_path}/tables")
+    assert seen and all(spec.max_df_rows is None for spec in seen)
