@@ -143,7 +143,7 @@ def test_evidence_of_parts_joins_no_pairs(spark):
 
 
 #: Queries that read the candidates, or the join that makes them: no number of rows bounds a term of theirs.
-UNBOUND = ["absent_anti", "best_scores", "class_means", "cohesion_scores", "competition", "decide_threshold", "feat_blocking", "feat_idf", "feat_lev", "feat_numeric", "rival"]
+UNBOUND = ["absent_anti", "best_scores", "class_means", "cohesion_scores", "competition", "decide_threshold", "feat_blocking", "feat_idf", "feat_lev", "feat_numeric", "rival", "topk_word"]
 
 
 @pytest.mark.parametrize("name", UNBOUND)
